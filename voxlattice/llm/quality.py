@@ -95,4 +95,5 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = 50
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     rows = measures(packed, "text")
     passed = (F.col("n_words") >= least_words) & (100 * F.col("n_repeat_words") <= most_repeat * F.col("n_words")) & (F.size(failed(rules)) == 0)
-    return rows.where(passed).select("row.*")
+    # a filter on a column that isn't deterministic stays above the projection; pushed below, it would repeat its arrays
+    return rows.select("row", passed.alias("passed"), F.monotonically_increasing_id().alias("at")).where("passed and at >= 0").select("row.*")
