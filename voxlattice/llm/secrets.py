@@ -156,15 +156,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = MARK, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The rows with every secret replaced by a mark (overlapping spans by one) and, where that column exists, the length renewed."""
-    found = C.materialise(spans(docs, rules, doc_id, text), "secret-spans")
-    found = C.small(found).withColumnsRenamed({"doc": "_d", "h": "_h", "spans": "_spans"})
-    rows = docs.join(found, F.col(doc_id).eqNullSafe(F.col("_d")) & (C.text_key(text) == F.col("_h")), "left")
-    body = F.col(text)
+    found = C.small(C.materialise(spans(docs, rules, doc_id, text), "secret-spans"))
+    own = lambda c: F.col(f"row.`{c}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{text}`")).alias("key"))
+    rows = rows.join(found, own(doc_id).eqNullSafe(F.col("doc")) & (F.col("key") == F.col("h")), "left")
+    body = own(text)
     at = lambda x: F.coalesce(x["upto"], F.lit(0).cast("long"))
-    kept = F.transform("_spans", lambda x: F.when(x["start"] >= at(x), F.concat(F.substring(body, (at(x) + 1).cast("int"), (x["start"] - at(x)).cast("int")), F.lit(mark))).otherwise(F.lit("")))
-    tail = F.substring(body, (F.array_max(F.transform("_spans", lambda x: x["end"])) + 1).cast("int"), F.length(body))
-    clean = F.when(F.col("_spans").isNull(), body).otherwise(F.concat(F.array_join(kept, ""), tail))
-    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text: clean}
+    kept = F.transform("spans", lambda x: F.when(x["start"] >= at(x), F.concat(F.substring(body, (at(x) + 1).cast("int"), (x["start"] - at(x)).cast("int")), F.lit(mark))).otherwise(F.lit("")))
+    tail = F.substring(body, (F.array_max(F.transform("spans", lambda x: x["end"])) + 1).cast("int"), F.length(body))
+    clean = F.when(F.col("spans").isNull(), body).otherwise(F.concat(F.array_join(kept, ""), tail))
+    out = {c: own(c) for c in docs.columns} | {text: clean}
     if n_chars in docs.columns:
-        out[n_chars] = F.when(F.col("_spans").isNull(), F.col(n_chars)).otherwise(F.length(clean)).cast(docs.schema[n_chars].dataType)
+        out[n_chars] = F.when(F.col("spans").isNull(), own(n_chars)).otherwise(F.length(clean)).cast(docs.schema[n_chars].dataType)
     return rows.select(*[v.alias(c) for c, v in out.items()])
