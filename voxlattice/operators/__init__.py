@@ -1,0 +1 @@
+"""Operators of the node, voxel and brick tables."""

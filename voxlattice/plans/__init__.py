@@ -1,0 +1 @@
+"""Plans of the node, voxel and brick tables."""

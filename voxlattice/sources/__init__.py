@@ -1,0 +1 @@
+"""Sources of the node, voxel and brick tables."""

@@ -1,0 +1 @@
+"""Streaming of the node, voxel and brick tables."""
