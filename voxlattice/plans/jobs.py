@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import blocks, graphs, motion
+from ..operators import blocks, graphs, motion, solve
 from ..operators import stencil as sl
+from ..sources import volumes
 from ..sources.views import lattice, measurements, table, voxels
+from . import fields
 from .registry import query, r6
 
 
@@ -74,3 +77,54 @@ def job1_block_matching(spark, sf):
     packed = moved.groupBy(F.expr("z div 4").alias("bz"), F.expr("y div 4").alias("by"), F.expr("x div 4").alias("bx")).agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "v", "d"))).alias("a"))
     b = packed.select("bz", "by", "bx", F.transform("a", lambda t: t["v"]).alias("ref"), F.transform("a", lambda t: t["d"]).alias("def"))
     return blocks.correlate(b, 4, 2, 2, subpixel=False)
+
+
+@query()
+def agg10_mean_confidence(spark, sf):
+    """Interval of each frame's mean displacement that allows for correlated neighbours."""
+    n = measurements(spark, sf).where("status = 0").join(lattice(spark, sf).where("node_valid").select("node_id", *sl.AXES), "node_id")
+    out = solve.mean_confidence(n, "u", "frame")
+    return out.select("frame", "n", *[r6(c).alias(c) for c in ("mean", "n_eff", "half_width")])
+
+
+@query()
+def agg19_phase_shift(spark, sf):
+    """Whole-voxel shift between each brick row of the downsampled volume and the next."""
+    v = voxels(spark, sf).groupBy(*[F.expr(f"{a} div 2").alias(a) for a in "zyx"]).agg(F.avg("v").alias("a"))
+    moved = v.select((F.col("x") + 2).alias("x"), "y", "z", F.col("a").alias("b"))
+    j = v.join(moved, ["x", "y", "z"]).withColumn("slab", F.expr("z div 4"))
+    return solve.phase_shift(j, "a", "b", "slab")
+
+
+@query()
+def fn4_rotation_and_hencky(spark, sf):
+    """Rotation angle and logarithmic strain of every measured gradient."""
+    h = fields._h(spark, sf)
+    return solve.rotations_and_hencky(h).select("node_id", "frame", r6("rotation_deg").alias("rotation_deg"), *[r6(f"hencky{i}").alias(f"hencky{i}") for i in ("11", "22", "33", "12", "13", "23")])
+
+
+@query()
+def job8_compatible_field(spark, sf):
+    """A field made smooth over each frame's measured nodes, with the solve's residual."""
+    n = measurements(spark, sf).join(lattice(spark, sf).select("node_id", *sl.AXES), "node_id")
+    return solve.compatible_field(n, "u", 2.0, "frame").select("frame", "node_id", r6("smooth").alias("smooth"), (F.col("residual") < 1e-8).alias("solved"))
+
+
+@query()
+def snk5_image_data(spark, sf):
+    """One image-data document per layer of nodes, with its node count as the manifest."""
+    n = lattice(spark, sf).withColumn("layer", F.col("iz"))
+    return volumes.image_data(n, ["f"], "layer").select("layer", "n_nodes", F.length("content").alias("characters"))
+
+
+@query()
+def src5_brick_moments(spark, sf):
+    """The volume's summary from each brick's partial sums."""
+    b = bricks(spark, sf)
+
+    def pack(batches):
+        for f in batches:
+            yield f.assign(data=[np.asarray(d, "<f4").tobytes() for d in f["data"]])
+
+    packed = b.select(F.lit("embeddings").alias("path"), "data").mapInPandas(pack, "path string, data binary")
+    return volumes.brick_moments(packed).select("path", "n", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
