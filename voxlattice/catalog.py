@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import fields, jobs, nodes  # noqa: F401  (they register their queries)
+from .plans import fields, jobs, nodes, reports  # noqa: F401  (they register their queries)
 from .plans.registry import ORACLES, QUERIES  # noqa: F401

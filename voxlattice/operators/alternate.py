@@ -1,0 +1,76 @@
+"""Alternating solution: local matching near a global estimate, a smooth global field, and duals between them.
+
+Pairs of volumes advance together; each round is one brick job, one grid solve and a projection, and is written to the
+shared folder.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import blocks, solve
+from .graphs import _write
+
+_SHIFT = ("u", "v", "w")
+
+
+def near(f: np.ndarray, g: np.ndarray, centre: np.ndarray, half: int, wanted: np.ndarray, weight: float, steps: int = 20) -> tuple[np.ndarray, float]:
+    """The translation (z, y, x) that matches a subset while staying near `wanted`: Gauss-Newton on both terms; (u, correlation)."""
+    axis = np.arange(-half, half + 1)
+    d = np.stack(np.meshgrid(axis, axis, axis, indexing="ij"), -1).reshape(-1, 3).astype(float)
+    a = blocks._sample(f, centre + d)
+    grad = np.stack([(blocks._sample(f, centre + d + e) - blocks._sample(f, centre + d - e)) / 2 for e in np.eye(3)], -1)
+    if np.isnan(a).any() or np.isnan(grad).any() or np.ptp(a) == 0:
+        return wanted, np.nan
+    a0 = a - a.mean()
+    na = np.sqrt((a0 * a0).sum())
+    normal = grad.T @ grad + weight * na * na * np.eye(3)
+    u, score = wanted.copy(), np.nan
+    for _ in range(steps):
+        b = blocks._sample(g, centre + u + d)
+        if np.isnan(b).any():
+            return wanted, np.nan
+        b0 = b - b.mean()
+        nb = max(np.sqrt((b0 * b0).sum()), 1e-12)
+        score = float((a0 * b0).sum() / (na * nb))
+        step = np.linalg.solve(normal, grad.T @ (a0 - b0 * na / nb) - weight * na * na * (u - wanted))
+        u = u + step
+        if np.abs(step).max() < 1e-3:
+            break
+    return u, score
+
+
+def alternate(bricks: DataFrame, edge: int, half: int, radius: int, smooth: float = 0.5, weight: float = 0.05, rounds: int = 3, stop: float = 1e-2) -> DataFrame:
+    """(bz, by, bx, u, v, w, zncc): displacements at brick centres that match `ref` to `def` and vary smoothly.
+
+    A first search and refinement gives local shifts; then each round smooths local + dual on the node grid, updates the
+    duals and matches again near the smooth field less the dual. It ends after `rounds`, or when the smooth field's rms
+    change is below `stop`. Nodes without a match take the global value.
+    """
+    local = _write(blocks.correlate(bricks, edge, half, radius))
+    state = local.select(*blocks.KEY, *_SHIFT, "zncc", *[F.lit(0.0).alias(f"d{c}") for c in _SHIFT], *[F.lit(None).cast("double").alias(f"g{c}") for c in _SHIFT])
+    halo = half + radius + 3
+    for k in range(rounds):
+        ident = F.col("bx") + 100_000 * (F.col("by") + 100_000 * F.col("bz"))
+        long = state.withColumn("node_id", ident).select("node_id", F.col("bx").alias("ix"), F.col("by").alias("iy"), F.col("bz").alias("iz"), F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.when(F.col("zncc").isNotNull(), F.col(c) + F.col(f"d{c}")).alias("value")) for c in _SHIFT])).alias("s")).select("node_id", "ix", "iy", "iz", "s.*")
+        field = solve.compatible_field(long, "value", smooth, "axis").groupBy("node_id").pivot("axis", list(_SHIFT)).agg(F.first("smooth"))
+        new = state.withColumn("node_id", ident).join(field.withColumnsRenamed({c: f"n{c}" for c in _SHIFT}), "node_id")
+        new = _write(new.select(*blocks.KEY, *_SHIFT, "zncc", *[F.when(F.col("zncc").isNotNull(), F.col(f"d{c}") + F.col(c) - F.col(f"n{c}")).otherwise(0.0).alias(f"d{c}") for c in _SHIFT], *[F.col(f"n{c}").alias(f"g{c}") for c in _SHIFT], *[(F.col(f"n{c}") - F.coalesce(f"g{c}", F.lit(1e9))).alias(f"e{c}") for c in _SHIFT]))
+        change = new.agg(F.sqrt(F.avg(sum((F.col(f"e{c}") * F.col(f"e{c}") for c in _SHIFT), F.lit(0.0))))).first()[0]
+        if k == rounds - 1 or change < stop:
+            return new.select(*blocks.KEY, *[F.col(f"g{c}").alias(c) for c in _SHIFT], "zncc")
+        aims = new.select(*blocks.KEY, *[(F.col(f"g{c}") - F.col(f"d{c}")).alias(f"t{c}") for c in _SHIFT])
+        with_aim = bricks.join(aims, blocks.KEY).select(*blocks.KEY, "ref", "def", F.array("tw", "tv", "tu").alias("aim"))
+
+        def work(key, boxes, aim):
+            c = np.full(3, halo + edge // 2).astype(float)
+            u, zncc = near(boxes["ref"], boxes["def"], c, half, aim, weight)
+            return pd.DataFrame([(*key, float(u[2]), float(u[1]), float(u[0]), None if np.isnan(zncc) else zncc)], columns=["bz", "by", "bx", "u", "v", "w", "zncc"])
+
+        moved = blocks.map_blocks(with_aim, edge, halo, work, "bz long, by long, bx long, u double, v double, w double, zncc double", ("ref", "def"), extra="aim")
+        kept = new.select(*blocks.KEY, *[f"d{c}" for c in _SHIFT], *[f"g{c}" for c in _SHIFT])
+        state = _write(moved.join(kept, blocks.KEY))
+    return state.select(*blocks.KEY, *_SHIFT, "zncc")

@@ -39,13 +39,18 @@ def assemble(frame: pd.DataFrame, edge: int, halo: int, data: str = "data") -> n
     return out
 
 
-def map_blocks(bricks: DataFrame, edge: int, halo: int, work: Callable[[tuple, dict[str, np.ndarray]], pd.DataFrame], schema: str, volumes: tuple[str, ...] = ("data",)) -> DataFrame:
-    """Apply work(brick key, {volume: grown box}) to every brick, one task group each."""
-    packed = bricks.select(*KEY, F.struct(*volumes).alias("data"))
+def map_blocks(bricks: DataFrame, edge: int, halo: int, work: Callable[[tuple, dict[str, np.ndarray]], pd.DataFrame], schema: str, volumes: tuple[str, ...] = ("data",), extra: str | None = None) -> DataFrame:
+    """Apply work(brick key, {volume: grown box}) to every brick, one task group each; `extra` names an array of the brick's
+    own that work gets as a third argument."""
+    packed = bricks.select(*KEY, F.struct(*volumes, *([extra] if extra else [])).alias("data"))
 
     def run(key, frame):
         boxes = {v: assemble(frame.assign(one=[d[v] for d in frame["data"]]), edge, halo, "one") for v in volumes}
-        return work(tuple(int(k) for k in key), boxes)
+        key = tuple(int(k) for k in key)
+        if not extra:
+            return work(key, boxes)
+        own = next(d for b, d in zip(zip(frame["bz"], frame["by"], frame["bx"]), frame["data"]) if b == key)
+        return work(key, boxes, np.asarray(own[extra], dtype=float))
 
     return with_halo(packed, edge, halo).groupBy("tz", "ty", "tx").applyInPandas(run, schema)
 
