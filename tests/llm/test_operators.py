@@ -175,8 +175,9 @@ def test_jaccard(spark, docs, k, num):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard.jaccard_join(table, k, num, 100).drop("n_links")
     assert rows_of(got) == sorted(brute_components(rows, k, num, 100), key=repr)
-    kept = jaccard.keep_one(docs, 5, 80, 100)
+    kept = jaccard.keep_one(docs.union(spark.createDataFrame([(None, "nothing like it " * 3, "en", "s", 1, 0, "h", "row")], docs.schema)), 5, 80, 100)
     assert kept.columns == docs.columns
+    assert [r["text"][:7] for r in kept.collect() if r["doc_id"] is None] == ["nothing"]
     assert jaccard.jaccard_join(docs.limit(0)).count() == 0
 
 
