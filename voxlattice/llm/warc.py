@@ -113,6 +113,7 @@ def archive(pages: DataFrame, path: str | None = None, least: int = 0, page_id:
     back = read(spark, path).select(F.col("page_id").cast(kind).alias("page_id"), "record_type", "digest", "record_id", "refers_to_id", F.octet_length("payload").cast("long").alias("size"))
     back = C.materialise(back, "warc-headers")
     originals = back.where("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("refers_to"), F.first("size").alias("original")).withColumnRenamed("record_id", "refers_to_id")
-    out = back.join(originals, "refers_to_id", "left")
-    size = F.when(F.col("record_type") == "revisit", F.col("original")).otherwise(F.col("size"))
-    return out.select("page_id", size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    # responses refer to nothing; joined with the revisits, their null keys would meet in one task
+    whole = back.where("record_type = 'response'").select("page_id", "size", "digest", "record_type", F.lit(None).cast(kind).alias("refers_to"))
+    again = back.where("record_type = 'revisit'").join(originals, "refers_to_id", "left").select("page_id", F.col("original").alias("size"), "digest", "record_type", "refers_to")
+    return whole.unionByName(again).select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
