@@ -94,8 +94,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
                 if not len(at):
                     continue
                 ids, h = part.column("doc"), part.column("h").to_numpy(zero_copy_only=False)
-                one, two = (C.runs(words, window, seed)[at].view(np.int64) for seed in (1, 2))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(h[doc]), pa.array((at - first[:-1][doc]).astype(np.int32)), pa.array(one), pa.array(two)], names=["doc", "h", "pos", "k1", "k2"])
+                one, two = (C.runs(words, window, seed)[at] for seed in (1, 2))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(h[doc]), pa.array((at - first[:-1][doc]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array((two >> _U(32)).astype(np.uint32).view(np.int32))], names=["doc", "h", "pos", "k1", "k2"])
 
     def whole(batches):  # rows without a window that may repeat
         for batch in batches:
@@ -131,7 +131,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
 
     spans = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     schema = f"doc {kind}, n_words long, removed array<struct<a:long,b:long>>, kept_text string"
-    found = rows.mapInArrow(occurrences, f"doc {kind}, h long, pos int, k1 long, k2 long").where("doc is not null")
+    found = rows.mapInArrow(occurrences, f"doc {kind}, h long, pos int, k1 long, k2 int").where("doc is not null")
     least = found.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     repeats = found.join(least, ["k1", "k2"]).where("doc > least").groupBy("doc", "h").agg(F.collect_list("pos").alias("starts"))
     repeats = repeats.select(F.col("doc").alias("_d"), F.col("h").alias("_h"), "starts")
