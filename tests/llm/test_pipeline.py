@@ -20,7 +20,7 @@ def test_stages(spark, sf):
 
     clean = materialise(steps["decontamination"](spark, once, sf), "t")
     rows = [(r["doc_id"], r["text"]) for r in once.collect()]
-    items = [(r["item_id"], r["text"]) for r in read(spark, sf, "benchmark").collect()]
+    items = [(str(r["item_id"]), r["text"]) for r in read(spark, sf, "benchmark").collect()]
     bad = {d for (d, _), b in zip(rows, brute_contamination([t for _, t in rows], items)) if b[4]}
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, _ in rows if d not in bad)
 
