@@ -170,7 +170,7 @@ def agg22_solve_summary(spark, sf):
 
 @query(f"SELECT {R('quantile_cont(v, 0.01)')} AS low, {R('quantile_cont(v, 0.99)')} AS high, {R('quantile_cont(CASE WHEN (x + 32 * y + 1024 * z) % 7 = 0 THEN v END, 0.005)')} AS grey_low FROM vox")
 def agg23_value_range(spark, sf):
-    """A display range, and the grey window of every seventh voxel (the reference's sampled window)."""
+    """A display range, and the grey window of every seventh voxel."""
     sampled = F.when((F.col("x") + 32 * F.col("y") + 1024 * F.col("z")) % 7 == 0, F.col("v"))
     return voxels(spark, sf).agg(r6(F.percentile("v", F.lit(0.01))).alias("low"), r6(F.percentile("v", F.lit(0.99))).alias("high"), r6(F.percentile(sampled, F.lit(0.005))).alias("grey_low"))
 
