@@ -117,11 +117,8 @@ def agg12_noise_floor(spark, sf):
     return t.agg(r6(F.avg("tu")).alias("bias"), r6(F.avg("su")).alias("noise"), r6(F.avg("mae")).alias("maer"), F.count("*").alias("frames"))
 
 
-@query(f"""WITH c AS (SELECT avg(v) AS mu FROM vox WHERE z < 8), b AS (SELECT x, y, z, v - mu AS d FROM vox, c WHERE z < 8), p AS (SELECT h, l.d AS a, r.d AS b FROM b l, range(0, 5) t(h), b r WHERE r.x = l.x + h AND r.y = l.y AND r.z = l.z),
-s AS (SELECT h, avg(a * b) AS c FROM p GROUP BY h) SELECT CAST(h AS BIGINT) AS lag, {R('c / (SELECT c FROM s WHERE h = 0)')} AS rho FROM s""")
-def agg14_autocorrelation_line(spark, sf):
-    """Pair-corrected autocorrelation along x: bricks' voxels meet their shifted partners by key."""
-    v = voxels(spark, sf).where("z < 8")
+def _autocorrelation_line(v):
+    """(lag, rho): bricks' voxels meet their shifted partners by key."""
     d = v.crossJoin(F.broadcast(v.agg(F.avg("v").alias("mean")))).select("x", "y", "z", (F.col("v") - F.col("mean")).alias("d"))
     right = d.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("h"), "x", "y", "z", F.col("d").alias("e")).withColumn("x", F.col("x") - F.col("h"))
     s = d.join(right, ["x", "y", "z"]).groupBy("h").agg(F.avg(F.col("d") * F.col("e")).alias("c"))
@@ -129,6 +126,20 @@ def agg14_autocorrelation_line(spark, sf):
     return s.crossJoin(F.broadcast(zero)).select(F.col("h").cast("long").alias("lag"), r6(F.col("c") / F.col("c0")).alias("rho"))
 
 
+@query(f"""WITH c AS (SELECT avg(v) AS mu FROM vox WHERE z < 8), b AS (SELECT x, y, z, v - mu AS d FROM vox, c WHERE z < 8), p AS (SELECT h, l.d AS a, r.d AS b FROM b l, range(0, 5) t(h), b r WHERE r.x = l.x + h AND r.y = l.y AND r.z = l.z),
+s AS (SELECT h, avg(a * b) AS c FROM p GROUP BY h) SELECT CAST(h AS BIGINT) AS lag, {R('c / (SELECT c FROM s WHERE h = 0)')} AS rho FROM s""")
+def agg14_autocorrelation_line(spark, sf):
+    """Pair-corrected autocorrelation along x of the first layers, which are what the SQL reads."""
+    return _autocorrelation_line(voxels(spark, sf).where("z < 8"))
+
+
+@query(f"""WITH c AS (SELECT avg(v) AS mu FROM vox), b AS (SELECT x, y, z, v - mu AS d FROM vox, c), p AS (SELECT h, l.d AS a, r.d AS b FROM b l, range(0, 5) t(h), b r WHERE r.x = l.x + h AND r.y = l.y AND r.z = l.z),
+s AS (SELECT h, avg(a * b) AS c FROM p GROUP BY h) SELECT CAST(h AS BIGINT) AS lag, {R('c / (SELECT c FROM s WHERE h = 0)')} AS rho FROM s""")
+def agg14_autocorrelation_line_whole(spark, sf):
+    """The same over the whole volume."""
+    return _autocorrelation_line(voxels(spark, sf))
+
+
 @query(f"""SELECT CAST(floor(sqrt(CAST((x-16)*(x-16) + (y-16)*(y-16) + (z-16)*(z-16) AS DOUBLE))) AS BIGINT) AS bin, count(*) AS n, {R('avg(v)')} AS mean, {R('sqrt(greatest(avg(v*v) - avg(v)*avg(v), 0))')} AS std, {R('avg(sqrt(CAST((x-16)*(x-16) + (y-16)*(y-16) + (z-16)*(z-16) AS DOUBLE)))')} AS lag FROM vox GROUP BY 1""")
 def agg15_radial_profile(spark, sf):
     """Shell means about a centre."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import graphs
 from ..operators import regions as rg
 from ..operators import stencil
 from ..sources.views import lattice, measurements, table, voxels
@@ -424,24 +425,46 @@ def join8_coarse_to_fine(spark, sf):
     return p.join(F.broadcast(c), "i").join(F.broadcast(nxt), "i").select("node_id", r6((1 - F.col("t")) * F.col("f0") + F.col("t") * F.col("f1")).alias("value"))
 
 
-@query(f"""WITH l AS (SELECT *, node_valid AS ok FROM lat WHERE iz < 8), d AS (SELECT a.node_id, b.node_id AS src, b.f, row_number() OVER (PARTITION BY a.node_id ORDER BY (a.ix-b.ix)*(a.ix-b.ix)+(a.iy-b.iy)*(a.iy-b.iy)+(a.iz-b.iz)*(a.iz-b.iz), b.node_id) AS k FROM l a JOIN l b ON b.ok AND NOT a.ok)
-SELECT node_id, src, {R('f')} AS value FROM d WHERE k = 1""")
-def join9_nearest_fill(spark, sf):
-    """Missing nodes filled from the nearest node with a value, searched in growing shells (ties: the smaller id)."""
-    n = lattice(spark, sf).where("iz < 8")
+def _nearest_fill(nodes):
+    """(node_id, src, value) of every node without a value, at any distance: searched in growing shells.
+
+    A hit within the reach is final. Small shells are lists of offsets, larger ones cells of half the reach, so that work
+    follows the nodes that exist. Nothing is filled if no node has a value.
+    """
+    n = nodes.where("ix is not null and iy is not null and iz is not null")
     have = n.where("node_valid").select("node_id", "ix", "iy", "iz", "f")
     todo = n.where("not node_valid").select(F.col("node_id").alias("t"), *[F.col(f"i{a}").alias(f"t{a}") for a in "xyz"])
-    done, reach = None, 1
+    done, reach, empty = None, 1, not have.limit(1).count()
+    d2 = sum(((F.col(f"t{a}") - F.col(f"i{a}")) * (F.col(f"t{a}") - F.col(f"i{a}")) for a in "xyz"), F.lit(0))
     while True:
-        c = todo.select("t", F.explode(stencil.offsets(reach)).alias("d"), "tx", "ty", "tz").select("t", *[(F.col(f"t{a}") + F.col(f"d.d{a}")).alias(f"i{a}") for a in "xyz"], (F.col("d.dx") * F.col("d.dx") + F.col("d.dy") * F.col("d.dy") + F.col("d.dz") * F.col("d.dz")).alias("d2"))
-        best = c.join(have, ["ix", "iy", "iz"]).groupBy("t").agg(F.min(F.struct("d2", "node_id", "f")).alias("b")).where(F.col("b.d2") <= reach * reach)
+        if reach <= 4:
+            c = todo.select("t", F.explode(stencil.offsets(reach)).alias("d"), "tx", "ty", "tz").select("t", "tx", "ty", "tz", *[(F.col(f"t{a}") + F.col(f"d.d{a}")).alias(f"i{a}") for a in "xyz"])
+            hits = c.join(have, ["ix", "iy", "iz"])
+        else:
+            cell = lambda k: [F.floor(F.col(f"{k}{a}") / (reach // 2)).alias(f"c{a}") for a in "xyz"]
+            c = todo.select("*", *cell("t")).select("t", "tx", "ty", "tz", *[F.col(f"c{a}") for a in "xyz"], F.explode(stencil.offsets(2, True)).alias("d"))
+            hits = c.select("t", "tx", "ty", "tz", *[(F.col(f"c{a}") + F.col(f"d.d{a}")).alias(f"c{a}") for a in "xyz"]).join(have.select("*", *cell("i")), ["cx", "cy", "cz"])
+        best = graphs._write(hits.withColumn("d2", d2).groupBy("t").agg(F.min(F.struct("d2", "node_id", "f")).alias("b")).where(F.col("b.d2") <= reach * reach))
         done = best if done is None else done.unionByName(best)
-        todo = todo.join(best, "t", "left_anti")
-        if reach >= 8 or not todo.limit(1).count():
+        todo = graphs._write(todo.join(best, "t", "left_anti"))
+        if empty or not todo.limit(1).count():
             return done.select(F.col("t").alias("node_id"), F.col("b.node_id").alias("src"), r6("b.f").alias("value"))
         reach *= 2
 
 
+@query(f"""WITH l AS (SELECT *, node_valid AS ok FROM lat WHERE iz < 8), d AS (SELECT a.node_id, b.node_id AS src, b.f, row_number() OVER (PARTITION BY a.node_id ORDER BY (a.ix-b.ix)*(a.ix-b.ix)+(a.iy-b.iy)*(a.iy-b.iy)+(a.iz-b.iz)*(a.iz-b.iz), b.node_id) AS k FROM l a JOIN l b ON b.ok AND NOT a.ok)
+SELECT node_id, src, {R('f')} AS value FROM d WHERE k = 1""")
+def join9_nearest_fill(spark, sf):
+    """Missing nodes filled from the nearest node with a value (ties: the smaller id), on the layers that the SQL joins."""
+    return _nearest_fill(lattice(spark, sf).where("iz < 8"))
+
+
+@query()
+def join9_nearest_fill_whole(spark, sf):
+    """The same over every node; its all-pairs SQL would grow with the square of the nodes, so there is none."""
+    return _nearest_fill(lattice(spark, sf))
+
+
 @query("SELECT region, frame, count(*) AS n, " + R("avg(u)") + " AS mean FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS region, node_id FROM lat WHERE {v}" for k, v in {**_REGION_SQL, "all": "true"}.items()) + ") r JOIN meas USING (node_id) GROUP BY region, frame")
 def join10_region_series(spark, sf):
     """A series for each region and one for all nodes, in one job."""

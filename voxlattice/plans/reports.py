@@ -32,7 +32,7 @@ def snk4_json_summary(spark, sf):
 p AS (SELECT h, w.v AS a, b.v AS b FROM w, range(0, 7) t(h), b WHERE b.x = w.x + h AND b.y = w.y AND b.z = w.z)
 SELECT CAST(h AS BIGINT) AS lag, count(*) AS pairs, {R('avg((a - mu) * (b - mu)) / any_value(sd * sd)')} AS rho FROM p, m GROUP BY h""")
 def agg16_sliding_window(spark, sf):
-    """A window's voxels against those around it at each lag: every lag has the same number of pairs."""
+    """One window's voxels, the one of the SQL, against those around it at each lag: every lag has the same number of pairs."""
     b = voxels(spark, sf).where("z between 4 and 11").select("x", "y", "z", "v")
     w = b.where("x between 8 and 19 and y between 8 and 19")
     m = w.agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
@@ -42,6 +42,30 @@ def agg16_sliding_window(spark, sf):
     return s.select(F.col("h").cast("long").alias("lag"), "pairs", r6(F.col("c") / (F.col("sd") * F.col("sd"))).alias("rho"))
 
 
+def _sliding_windows(v):
+    """(x0, y0, z0, lag, pairs, rho) of every window of 12 x 12 x 8 voxels on the brick grid whose partners along x, up to
+    lag 6, lie in the volume. Sums are taken once a cell of 4 x 4 x 4, and windows add up their cells."""
+    v = v.where("v is not null")
+    right = v.select(F.explode(F.sequence(F.lit(0), F.lit(6))).alias("h"), "x", "y", "z", F.col("v").alias("o")).withColumn("x", F.col("x") - F.col("h"))
+    own = [F.expr(f"{a} div 4 * 4").alias(f"c{a}") for a in "xyz"]
+    o = F.col("o")
+    cells = v.join(right, ["x", "y", "z"]).groupBy("h", *own).agg(F.count("*").alias("n"), F.sum("v").alias("a"), F.sum(o).alias("b"), F.sum(F.col("v") * o).alias("ab"))
+    top = v.agg(F.max(F.expr("z div 4 * 4")).alias("top"))
+    back = F.explode(F.array(*[F.struct(*[F.lit(-4 * k).alias(f"d{a}") for a, k in zip("xyz", (i, j, k))]) for i in range(3) for j in range(3) for k in range(2)])).alias("d")
+    parts = cells.select("*", back).select("h", "n", "a", "b", "ab", *[(F.col(f"c{a}") + F.col(f"d.d{a}")).alias(f"{a}0") for a in "xyz"])
+    parts = parts.where("x0 between 0 and 12 and y0 between 0 and 20 and z0 >= 0").crossJoin(F.broadcast(top)).where("z0 = 0 or z0 + 4 <= top")
+    w = parts.groupBy("x0", "y0", "z0", "h").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab")])
+    m = w.where("h = 0").select("x0", "y0", "z0", (F.col("a") / F.col("n")).alias("mu"), (F.col("ab") / F.col("n") - F.col("a") * F.col("a") / (F.col("n") * F.col("n"))).alias("var"))
+    c = F.col("ab") / F.col("n") - F.col("mu") * (F.col("a") + F.col("b")) / F.col("n") + F.col("mu") * F.col("mu")
+    return w.join(m, ["x0", "y0", "z0"]).select("x0", "y0", "z0", F.col("h").cast("long").alias("lag"), F.col("n").alias("pairs"), r6(F.when(F.col("var") > 0, c / F.col("var"))).alias("rho"))
+
+
+@query()
+def agg16_sliding_window_whole(spark, sf):
+    """Windows over the whole volume, each against the voxels around it."""
+    return _sliding_windows(voxels(spark, sf))
+
+
 @query()
 def agg17_texture_of_boxes(spark, sf):
     """Correlation length along x of every layer of bricks: autocorrelation, profile and crossing over a table of boxes."""
