@@ -22,7 +22,7 @@ BLOCK_WORDS = 200_000
 class SuffixAutomaton:
     """All word sequences inside the items: transitions, suffix links, longest lengths, and the items of each window state."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         own: dict[int, set[int]] = {}
@@ -116,13 +116,13 @@ class SuffixAutomaton:
         return spans, found
 
 
-def _automaton(items: list[tuple[str, str | None]], window: int):
+def _automaton(items: list[tuple[str | None, str | None]], window: int):
     """(sorted word hashes, automaton over their ranks, set of word pairs) of a block of items."""
     data, offsets = C.text_buffers(pa.array([t for _, t in items], pa.string()))
     _, _, words, first = C.hash_words(data, offsets, C.ALNUM)
     vocabulary = np.unique(words)
     ids = np.searchsorted(vocabulary, words)
-    listed = [(str(name), ids[a:b].tolist()) for (name, _), a, b in zip(items, first[:-1], first[1:]) if b > a]
+    listed = [(name, ids[a:b].tolist()) for (name, _), a, b in zip(items, first[:-1], first[1:]) if b > a]
     pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(w[:-1], np.int64) * len(vocabulary) + np.array(w[1:], np.int64) for _, w in listed)]))
     return vocabulary, SuffixAutomaton(listed, window), pairs
 
@@ -155,6 +155,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 13, doc_id: str = "
 
     Words are lower-cased runs of ASCII letters, digits and non-ASCII characters. hits are word spans [a, b) inside
     matched windows (`window` words, or a whole shorter item), in order and without overlap. A null text has no words.
+    An item without an id is a test item all the same: its windows are hits, but `items` has no name for it.
     """
     spark = docs.sparkSession
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.array().cast("array<struct<a:long,b:long>>"), "items": F.array().cast("array<string>")})
@@ -164,7 +165,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 13, doc_id: str = "
     block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
     listed = listed.withColumn("block", block)
     for b in range(blocks):  # the test items are the stated query set: one bounded block of them after the other, against all rows
-        mine = [(r[0], r[1]) for r in listed.where((F.col("block") == b) & F.col("i").isNotNull()).select("i", "t").collect()]
+        mine = [(r[0], r[1]) for r in listed.where(F.col("block") == b).select("i", "t").collect()]
         known = spark.sparkContext.broadcast(_automaton(mine, window))
         out = _pass(out, text, known)
         if b < blocks - 1:
@@ -187,7 +188,7 @@ def _pass(docs: DataFrame, text: str, known) -> DataFrame:
                     if found:
                         base = int(first[d])
                         spans[d] = _union([*((s["a"], s["b"]) for s in spans[d]), *((a - base + x, a - base + y) for x, y in found)])
-                        names[d] = sorted({*names[d], *(automaton.names[k] for k in which)})
+                        names[d] = sorted({*names[d], *(n for k in which if (n := automaton.names[k]) is not None)})
                 columns = {n: part.column(n) for n in part.schema.names}
                 columns["n_words"] = pa.array(np.diff(first), pa.int64())
                 columns["hits"] = pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
@@ -211,7 +212,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans): how far each document repeats test items.
 
     contaminated: some word is hit and share * n_hit >= n_words. Null and empty texts have no words and are clean.
-    Items without words never occur; a repeated item id counts once. No item table rows: nothing is hit.
+    Items without words never occur; a repeated item id counts once. Windows of items with a null id count for n_hit and
+    contaminated, but not for n_items and items_sha256. No item table rows: nothing is hit.
     """
     rows = matches(docs.select(F.col(doc_id), F.col(text)), items, window, doc_id, text, item_id)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
