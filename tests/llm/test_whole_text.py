@@ -1,5 +1,7 @@
 """Text operators on cases that used to be left out."""
 
+import random
+
 import duckdb
 
 from voxlattice.llm import decontam
@@ -23,3 +25,37 @@ def test_items_without_an_id_are_hit(spark, monkeypatch):
         assert {k: v for k, v in got.items() if k != 4} == {k: v for k, v in want.items() if k != 4}
         assert got[1][1] == 40 and got[1][2] == 0 and got[1][4] and got[2][2] == 1 and got[4][1] == 0
     assert [r["doc_id"] for r in decontam.drop_contaminated(d, b).orderBy("doc_id").collect()] == [3, 4]
+
+
+def test_long_and_doubled_tokens_are_read(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from voxlattice.llm import common as C
+    from voxlattice.llm import toxicity
+
+    plain = spark.createDataFrame([("you idiot and stupid idea of a tidy idiom " * 50,)], "text string")
+    reader = toxicity.Reader(toxicity.language_model(plain))
+    texts = ["idiot" + "!" * 36, "st" + "u" * 40 + "pid", "iiddiioott", "idiot" + "!" * 36 + "stupid" + "!" * 36 + "idiot", None]
+    doc, words, n = reader(pa.array(texts, pa.string()))
+    idiot, stupid = (int(C.hash_words(*C.text_buffers(pa.array([w])), toxicity.WORDS)[2][0]) for w in ("idiot", "stupid"))
+    said = [set(words[doc == i].tolist()) for i in range(len(texts))]
+    assert idiot in said[0] and stupid in said[1] and idiot in said[2] and {idiot, stupid} <= said[3] and n.tolist() == [1, 1, 1, 1, 0]
+    assert len("".join(toxicity.decode("a1" * 5_000, reader.model))) > 0 and np.isfinite(reader.model).all()
+
+
+def test_a_slur_in_few_toxic_rows_has_weight(spark):
+    import pyarrow as pa
+
+    from voxlattice.llm import common as C
+    from voxlattice.llm import toxicity
+
+    rng = random.Random(1)
+    names = ["".join(rng.choices("abcdefghijklmnoprstu", k=6)) for _ in range(2000)]
+    say = lambda i: " ".join(rng.choices(names, k=12))
+    toxic = lambda i: " you idiot" if i % 50 else " you zmurk"  # noqa: E731  (zmurk: 2 % of the toxic rows)
+    rows = [(i, say(i) + (toxic(i // 4) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    words, weights, _ = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), toxicity.language_model(df))
+    zmurk, idiot = (int(C.hash_words(*C.text_buffers(pa.array([w])), toxicity.WORDS)[2][0]) for w in ("zmurk", "idiot"))
+    assert zmurk in words.tolist() and idiot in words.tolist() and len(words) <= 3  # these and "you": no word by chance

@@ -8,6 +8,7 @@ scored with weights learned from labelled rows.
 from __future__ import annotations
 
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -85,37 +86,52 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: np.ndarray) -> list[str]:
-    """The likeliest words that a token (lower case, single letters parted by spaces) stands for."""
-    best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+_AT = {" ": 0, **{chr(96 + k): k for k in range(1, 27)}}
+_STATES = SYMBOLS ** (ORDER - 1)
+
+
+def decode(token: str, model: np.ndarray | list[float]) -> list[str]:
+    """The likeliest words that a token (lower case, single letters parted by spaces) stands for, in time linear in its length.
+
+    The model may be given as its flat list.
+    """
+    flat = model if isinstance(model, list) else model.ravel().tolist()
+    best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # by the last three symbols
     for ways in [*_lattice(token), [(" ", 0.0)]]:
-        new: dict[tuple[int, int, int], tuple[float, str]] = {}
+        new: dict[int, tuple[float, tuple]] = {}
         for state, (score, said) in best.items():
             for piece, cost in ways:
                 s, p = state, score + cost
                 for ch in piece:
-                    k = 0 if ch == " " else ord(ch) - 96 if "a" <= ch <= "z" else 27
-                    if k or s[2]:  # one word end is enough
-                        p += float(model[s[0], s[1], s[2], k])
-                        s = (s[1], s[2], k)
+                    k = _AT.get(ch, 27)
+                    if k or s % SYMBOLS:  # one word end is enough
+                        s = s * SYMBOLS + k
+                        p += flat[s]
+                        s %= _STATES
                 if s not in new or p > new[s][0]:
-                    new[s] = (p, said + piece)
+                    new[s] = (p, (said, piece))
         best = new
-    return max(best.values())[1].split() if best else []
+    _, said = max(best.values(), key=lambda x: x[0])
+    pieces = []
+    while said:
+        said, piece = said
+        pieces.append(piece)
+    return "".join(reversed(pieces)).split()
 
 
 class Reader:
-    """Restored words of a batch of texts, as hashes."""
+    """Restored words of a batch of texts, as hashes. Tokens with signs or doubled letters are decoded, whatever their length."""
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.restored = lru_cache(maxsize=200_000)(self._restored)
+        self.flat = model.ravel().tolist()
+        self.short = lru_cache(maxsize=200_000)(self._restored)
+
+    def restored(self, token: str) -> tuple[str, ...]:
+        return self.short(token) if len(token) <= 120 else self._restored(token)  # long ones are not kept
 
-    def _restored(self, token: str) -> tuple[int, ...]:
-        words = decode(token, self.model)
-        if not words:
-            return ()
-        return tuple(C.hash_words(*C.text_buffers(pa.array(words, pa.string())), WORDS)[2].tolist())
+    def _restored(self, token: str) -> tuple[str, ...]:
+        return tuple(decode(token, self.flat))
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text index, word hash) of every word read, and each text's number of plain words."""
@@ -127,29 +143,31 @@ class Reader:
             return doc, hashes, n_words
         odd = np.zeros(len(starts), bool)
         signs = np.flatnonzero(_signs[data])
-        triple = np.flatnonzero(_letter[data[:-2]] & (data[:-2] | 32 == data[1:-1] | 32) & (data[1:-1] | 32 == data[2:] | 32)) if len(data) > 2 else signs[:0]
-        for at in (signs, triple):
+        double = np.flatnonzero(_letter[data[:-1]] & ((data[:-1] | 32) == (data[1:] | 32)))
+        for at in (signs, double):
             odd[np.maximum(np.searchsorted(starts, at, side="right") - 1, 0)] = True
         letters = np.add.reduceat(_letter[data[starts[0] :]].astype(np.int32), starts - starts[0])
-        odd &= (letters > 0) & (sizes <= 40)
+        odd &= letters > 0
         lone = sizes == 1
         near = np.append(False, lone[1:] & lone[:-1] & (starts[1:] - starts[:-1] == 2) & (doc[1:] == doc[:-1]))
         extra_doc, extra = [], []
-        for i in np.flatnonzero(odd & ~lone).tolist():
-            token = data[starts[i] : starts[i] + sizes[i]].tobytes().decode("utf-8", "replace").lower()
-            for h in self.restored(token):
-                extra_doc.append(doc[i])
-                extra.append(h)
+        told = np.flatnonzero(odd & ~lone)
+        _, some, same = np.unique(hashes[told], return_index=True, return_inverse=True)
+        said = [self.restored(data[starts[i] : starts[i] + sizes[i]].tobytes().decode("utf-8", "replace").lower()) for i in told[some].tolist()]
+        for i, k in zip(told.tolist(), same.tolist()):
+            extra_doc.extend([doc[i]] * len(said[k]))
+            extra.extend(said[k])
         begin = np.flatnonzero(lone & ~near)
         ends = np.append(np.flatnonzero(lone & ~np.append(near[1:], False)), []).astype(np.int64)
         for a, b in zip(begin.tolist(), ends.tolist()):
             if b - a >= 2:
                 for c in range(a, b + 1, 40):  # a longer row of letters is read in parts that overlap
                     signs_ = [chr(data[starts[i]]).lower() for i in range(c, min(b + 1, c + 60)) if data[starts[i]] < 128]
-                    for h in self.restored(" ".join(signs_)):
+                    for word in self.restored(" ".join(signs_)):
                         extra_doc.append(doc[a])
-                        extra.append(h)
-        return np.concatenate([doc, np.array(extra_doc, np.int64)]), np.concatenate([hashes, np.array(extra, np.uint64)]), n_words
+                        extra.append(word)
+        _, _, more, at = C.hash_words(*C.text_buffers(pa.array(extra, pa.string())), WORDS)
+        return np.concatenate([doc, np.repeat(np.array(extra_doc, np.int64), np.diff(at))]), np.concatenate([hashes, more]), n_words
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +212,8 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic"):
     """(word hashes, their weights, regression weights) from at most `sample` labelled rows outside the held-out part.
 
-    A word's weight is its smoothed log-odds between toxic and other rows; words of toxic rows that are neither frequent
-    nor telling enough are left out. Of rows that look like near copies of each other one is used.
+    A word's weight is its smoothed log-odds between toxic and other rows, at least 1.5; the word's likelihood ratio must
+    also be significant (5 % over all words together), so that neither its share of the toxic rows nor chance decides. Of rows that look like near copies of each other one is used.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label).alias("_y"))
@@ -221,7 +239,12 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
         return np.zeros(0, np.uint64), np.zeros(0), np.array([0.0, 0.0, 0.0, np.log((toxic + 0.5) / (n - toxic + 0.5))])
     counts = read.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - toxic + 1))
-    lexicon = counts.where(F.col("t") >= max(4, 0.03 * toxic)).withColumn("o", odds).where("o >= 1.5").orderBy(F.desc("t"), "w").limit(20_000).collect()
+    tested = counts.count()
+    least = NormalDist().inv_cdf(1 - 0.05 / max(tested, 1)) ** 2
+    cells = [F.col("t"), F.col("n") - F.col("t"), toxic - F.col("t"), n - toxic - F.col("n") + F.col("t")]
+    part = lambda x: F.when(x > 0, x * F.log(x.cast("double"))).otherwise(0.0)
+    ratio = 2 * (sum(map(part, cells), F.lit(0.0)) - part(F.col("n")) - part(n - F.col("n")) - toxic * float(np.log(toxic)) - (n - toxic) * float(np.log(n - toxic)) + n * float(np.log(n)))
+    lexicon = counts.where(ratio >= least).withColumn("o", odds).where("o >= 1.5").orderBy(F.desc("t"), "w").limit(20_000).collect()
     words_ = np.array([r["w"] for r in lexicon], np.int64).view(np.uint64)
     order = np.argsort(words_)
     words_, weights = words_[order], np.array([r["o"] for r in lexicon])[order]
