@@ -1,6 +1,6 @@
 """The pipeline's stages against brute force on the smallest tables."""
 
-from test_operators import WORD, brute_components, brute_contamination, low  # noqa: F401
+from test_text_operators import brute_components, brute_contamination
 
 import corpus_pipeline
 from voxlattice.llm import quality, secrets
