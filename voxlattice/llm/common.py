@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 #: A side of this many narrow rows (some 40 bytes each) may be broadcast; above it the join shuffles.
 BROADCAST_ROWS = 400_000
 #: Bytes of text that are hashed at once, so that a task's arrays stay small whatever the batch.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: A key held by more than 1/HEAVY of all rows is dealt over SALTS partitions; there are fewer than HEAVY such keys.
+HEAVY, SALTS = 1000, 64
 _U = np.uint64
 
 
@@ -24,9 +27,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='voxlattice-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +54,19 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, total: int, salt_by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table of unique keys; keys that hold many of the `total` rows are dealt over SALTS partitions.
+
+    counts has the keys and `count`, how many rows hold each. The keys above total / HEAVY are fewer than HEAVY, so
+    their list is broadcast; which of a heavy key's partitions a row takes follows from its columns salt_by.
+    """
+    heavy = F.broadcast(counts.where(F.col("count") * HEAVY > total).select(*keys, F.lit(True).alias("_heavy")))
+    left = rows.join(heavy, keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*salt_by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_heavy")
+    every = F.when(F.col("_heavy"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = table.join(heavy, keys, "left").withColumn("_salt", F.explode(every)).drop("_heavy")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def text_key(text: str = "text"):
     """A row's second key beside its id, so that repeated ids with other texts stay apart."""
     return F.xxhash64(F.col(text))
@@ -95,11 +116,8 @@ _powers = _geometric(0x5851F42D4C957F2D, 4096)
 
 
 def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if n > len(_powers):
-        size = 1 << (n - 1).bit_length()
-        _powers = _geometric(0x5851F42D4C957F2D, size)
-    return _powers
+    """The powers for words of n bytes; a longer table than the usual one is made for its use alone."""
+    return _powers if n <= len(_powers) else _geometric(0x5851F42D4C957F2D, n)
 
 
 def _hash_chunk(buf: np.ndarray, cuts: np.ndarray, abc: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +166,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes of text, or one longer text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at, done = 0, 0
