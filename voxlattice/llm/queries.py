@@ -68,7 +68,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.array_distinct(F.transform("places", lambda x: F.get(names, x["phrase"])))
     more = F.transform("found", lambda x: x["label"])
     share = F.array_max(F.transform("found", lambda x: x["share"]))
-    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0)))
+    # a recognised template counts by how much of it stands there; a phrase alone is half a proof
+    score = F.greatest(F.coalesce(share, F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0))
     join = lambda a: F.array_join(F.array_sort(a), ",")
     return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), join(base).alias("base_labels"), join(F.array_union(base, more)).alias("labels"), score.alias("score"))
 
