@@ -132,8 +132,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     spans = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     schema = f"doc {kind}, n_words long, removed array<struct<a:long,b:long>>, kept_text string"
     found = rows.mapInArrow(occurrences, f"doc {kind}, h long, pos int, k1 long, k2 int").where("doc is not null")
-    least = found.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    repeats = found.join(least, ["k1", "k2"]).where("doc > least").groupBy("doc", "h").agg(F.collect_list("pos").alias("starts"))
+    least = found.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("count")).where("least < most").drop("most")
+    least = C.materialise(least, "repeated-windows")
+    total = least.agg(F.sum("count")).first()[0] or 0
+    repeats = C.salted_join(found, least.drop("count"), ["k1", "k2"], least.drop("least"), total, ["doc", "pos"]).where("doc > least").groupBy("doc", "h").agg(F.collect_list("pos").alias("starts"))
     repeats = repeats.select(F.col("doc").alias("_d"), F.col("h").alias("_h"), "starts")
     opened = rows.mapInArrow(open_rows, rows.schema)
     joined = opened.join(repeats, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left").select("doc", "body", "starts")
