@@ -7,6 +7,7 @@ scored with weights learned from labelled rows.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -125,7 +126,7 @@ class Reader:
     def __init__(self, model: np.ndarray):
         self.model = model
         self.flat = model.ravel().tolist()
-        self.short = lru_cache(maxsize=200_000)(self._restored)
+        self.short = lru_cache(maxsize=50_000)(self._restored)
 
     def restored(self, token: str) -> tuple[str, ...]:
         return self.short(token) if len(token) <= 120 else self._restored(token)  # long ones are not kept
@@ -161,11 +162,10 @@ class Reader:
         ends = np.append(np.flatnonzero(lone & ~np.append(near[1:], False)), []).astype(np.int64)
         for a, b in zip(begin.tolist(), ends.tolist()):
             if b - a >= 2:
-                for c in range(a, b + 1, 40):  # a longer row of letters is read in parts that overlap
-                    signs_ = [chr(data[starts[i]]).lower() for i in range(c, min(b + 1, c + 60)) if data[starts[i]] < 128]
-                    for word in self.restored(" ".join(signs_)):
-                        extra_doc.append(doc[a])
-                        extra.append(word)
+                signs_ = [chr(data[starts[i]]).lower() for i in range(a, b + 1) if data[starts[i]] < 128]
+                said_ = self.restored(" ".join(signs_))
+                extra_doc.extend([doc[a]] * len(said_))
+                extra.extend(said_)
         _, _, more, at = C.hash_words(*C.text_buffers(pa.array(extra, pa.string())), WORDS)
         return np.concatenate([doc, np.repeat(np.array(extra_doc, np.int64), np.diff(at))]), np.concatenate([hashes, more]), n_words
 
@@ -213,7 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
     """(word hashes, their weights, regression weights) from at most `sample` labelled rows outside the held-out part.
 
     A word's weight is its smoothed log-odds between toxic and other rows, at least 1.5; the word's likelihood ratio must
-    also be significant (5 % over all words together), so that neither its share of the toxic rows nor chance decides. Of rows that look like near copies of each other one is used.
+    also be significant (5 % over all words together), so that neither its share of the toxic rows nor chance decides.
+    Of rows with one label and the same least hashes of six words, as near copies mostly have, the one with the least
+    hash of all its words is used, whatever the order of rows.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label).alias("_y"))
@@ -228,11 +230,13 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
                 doc, h, n = read(part.column("t"))
                 doc, h = _distinct(doc, h)
                 lists = np.split(h, np.searchsorted(doc, np.arange(1, len(n)))) if len(n) else []
-                # two least hashes under another mixing: near copies mostly share them
-                marks = [np.sort(C.mix64(x ^ np.uint64(0xABCDEF)))[:2].view(np.int64).tolist() + [0, 0] for x in lists]
-                yield pa.RecordBatch.from_pydict({"y": part.column("y"), "a": pa.array([m[0] for m in marks], pa.int64()), "b": pa.array([m[1] for m in marks], pa.int64()), "words": pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64()))})
+                mark = lambda x: hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+                near = [mark(np.sort(C.mix64(x ^ np.uint64(0xABCDEF)))[:6]) for x in lists]
+                yield pa.RecordBatch.from_pydict({"y": part.column("y"), "near": pa.array(near, pa.binary()), "all": pa.array([mark(x) for x in lists], pa.binary()), "words": pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64()))})
 
-    read = C.materialise(rows.mapInArrow(words, "y int, a long, b long, words array<long>").dropDuplicates(["a", "b", "y"]), "toxic-words")
+    read = rows.mapInArrow(words, "y int, near binary, all binary, words array<long>").groupBy("near", "y").agg(F.min_by("words", "all").alias("words"))
+    read = C.materialise(read, "toxic-words")
+    reader.destroy()
     n, toxic = read.agg(F.count("*"), F.sum("y")).first()
     toxic = toxic or 0
     if not n or not toxic or toxic == n:
@@ -244,15 +248,25 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
     cells = [F.col("t"), F.col("n") - F.col("t"), toxic - F.col("t"), n - toxic - F.col("n") + F.col("t")]
     part = lambda x: F.when(x > 0, x * F.log(x.cast("double"))).otherwise(0.0)
     ratio = 2 * (sum(map(part, cells), F.lit(0.0)) - part(F.col("n")) - part(n - F.col("n")) - toxic * float(np.log(toxic)) - (n - toxic) * float(np.log(n - toxic)) + n * float(np.log(n)))
-    lexicon = counts.where(ratio >= least).withColumn("o", odds).where("o >= 1.5").orderBy(F.desc("t"), "w").limit(20_000).collect()
+    lexicon = counts.where(ratio >= least).withColumn("o", odds).where("o >= 1.5").collect()
     words_ = np.array([r["w"] for r in lexicon], np.int64).view(np.uint64)
     order = np.argsort(words_)
     words_, weights = words_[order], np.array([r["o"] for r in lexicon])[order]
-    table = []
-    for r in read.select("y", F.array_intersect("words", F.lit([int(w) for w in words_.view(np.int64)])).alias("w")).toLocalIterator() if len(words_) else ():
-        h = np.array(r["w"], np.int64).view(np.uint64)
-        table.append((*_features(np.zeros(len(h), np.int64), h, np.zeros(1), words_, weights)[0], r["y"]))
-    table = np.array(table) if table else np.zeros((0, 4))
+    known = spark.sparkContext.broadcast((words_, weights))
+
+    def features(batches):
+        words_, weights = known.value
+        for batch in batches:
+            lists = batch.column("words")
+            h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            n = np.diff(lists.offsets.to_numpy())
+            x = _features(np.repeat(np.arange(len(n)), n), h, n, words_, weights)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1]), "c": pa.array(x[:, 2]), "y": batch.column("y")})
+
+    # as many rows as labelled rows were chosen, in an order that their content gives
+    table = read.select("y", "words").mapInArrow(features, "a double, b double, c double, y int").orderBy("a", "b", "c", "y").collect()
+    known.destroy()
+    table = np.array([tuple(r) for r in table], float).reshape(-1, 4)
     return words_, weights, _fit(table[:, :3], table[:, 3])
 
 
