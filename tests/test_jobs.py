@@ -55,12 +55,82 @@ def test_rotation_and_hencky(spark):
     assert abs(got[0]["hencky11"] + got[0]["hencky22"] + got[0]["hencky33"] - math.log(1.2 * 0.9)) < 1e-9
 
 
+def worth_of(at, d, removed):
+    """n^2 over the summed correlation of all pairs of nodes, pair by pair, with the rules of mean_confidence."""
+    n, var = len(d), (d * d).mean()
+    r = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
+    lags, where = np.unique((at[:, None] - at[None]).reshape(-1, 3), axis=0, return_inverse=True)
+    pairs = np.bincount(where.ravel())
+    rho = np.bincount(where.ravel(), weights=np.outer(d, d).ravel()) / pairs / var
+    radius = np.sqrt((lags**2).sum(1))
+    sure = pairs >= max(1, n / 4)
+    means, cut = {}, int(np.floor(radius[sure].max())) + 1
+    for k in range(1, cut):
+        s = sure & (np.floor(radius) == k)
+        means[k] = rho[s].mean() if s.any() else -1
+        if means[k] < 0.05:
+            cut = k
+            break
+    near = radius < cut
+    total, seen = (pairs * rho)[near].sum(), pairs[near].sum()
+    total /= 1 - removed * (seen - total) / n**2
+    w, q = solve._decay([(k, v) for k, v in means.items() if v > -1])
+    if w > 0:
+        total += (pairs * np.exp(-w * radius**q))[~near].sum()
+    assert r.shape == (n, n)
+    return min(max(n * n / total, 1), n)
+
+
 def test_intervals(spark):
     assert abs(solve.t_quantile(0.975, 10) - 2.228139) < 1e-4 and abs(solve.t_quantile(0.975, 1000) - 1.962339) < 1e-4
     rng = np.random.default_rng(4)
-    rows = [(0, int(x), int(y), int(z), float(rng.normal())) for x in range(8) for y in range(8) for z in range(8)]
-    got = solve.mean_confidence(spark.createDataFrame(rows, "frame int, ix int, iy int, iz int, u double"), "u", "frame").first()
-    assert got["n"] == 512 and got["n_eff"] > 200 and abs(got["half_width"] - 1.96 / math.sqrt(got["n_eff"])) < 0.03
+    noise = rng.normal(size=(12, 12, 12))
+    smooth = sum(np.roll(noise, k, axis) for axis in range(3) for k in (-1, 0, 1, 2))
+    at = np.array([p for p in np.ndindex(8, 8, 8) if rng.random() < 0.8])
+    rows = []
+    for key, field in ((0, noise), (1, smooth)):
+        rows += [(key, *map(int, p + 5), float(field[tuple(p)] + 0.1 * p[0])) for p in at]
+    rows += [(2, 0, 0, 0, 1.5), (3, 0, 0, 0, None), (4, 1, 1, 1, 2.0), (4, 1, 1, 2, 2.0)]
+    got = {r["key"]: r for r in solve.mean_confidence(spark.createDataFrame(rows, "key int, ix int, iy int, iz int, u double"), "u", "key").collect()}
+    for key, field in ((0, noise), (1, smooth)):
+        v = np.array([field[tuple(p)] + 0.1 * p[0] for p in at])
+        a = np.column_stack([np.ones(len(at)), at])
+        d = v - a @ np.linalg.lstsq(a, v, rcond=None)[0]
+        want = worth_of(at, d, 4)
+        dof = max(want - 4, 1)
+        assert np.isclose(got[key]["n_eff"], want, rtol=1e-6) and got[key]["n"] == len(at)
+        assert np.isclose(got[key]["half_width"], solve.t_quantile(0.975, dof) * d.std() / math.sqrt(dof), rtol=1e-6)
+    assert got[1]["n_eff"] < 0.6 * got[0]["n_eff"]
+    assert got[2]["n_eff"] == 1 and got[2]["half_width"] is None and 3 not in got and got[4]["half_width"] == 0
+
+
+def test_quantiles_by_brackets(spark):
+    from voxlattice.operators import stats
+
+    rng = np.random.default_rng(2)
+    rows = [(0, float(v)) for v in rng.lognormal(0, 3, 3000)] + [(1, 4.0)] * 50 + [(2, float(v)) for v in rng.integers(0, 3, 500)] + [(3, 1.0), (3, None), (4, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    probs = {"a": 0.05, "b": 0.5, "c": 0.995}
+    for most in (0, 10**6):
+        got = {r["k"]: tuple(r)[1:] for r in stats.quantiles(df, "v", probs, "k", most=most).collect()}
+        for k in (0, 1, 2, 3):
+            assert np.allclose(got[k], np.quantile([v for j, v in rows if j == k and v is not None], list(probs.values())), rtol=1e-12)
+        assert 4 not in got
+    one, two = (sorted(map(tuple, stats.summarize(df, "v", "k", most=most).collect())) for most in (0, 10**6))
+    assert len(one) == 5 and all(a == b or abs(a - b) < 1e-9 * abs(b) for x, y in zip(one, two) for a, b in zip(x, y))
+
+
+def test_wide_gaps_are_filled_too(spark):
+    from voxlattice.operators import graphs
+
+    rng = np.random.default_rng(7)
+    known = rng.random((6, 6, 6)) < 0.35
+    rows = [(int(x + 6 * y + 36 * z), x, y, z, float(x * x + y - z) if known[x, y, z] else None) for x, y, z in np.ndindex(6, 6, 6)]
+    df = spark.createDataFrame(rows, "node_id long, ix int, iy int, iz int, v double")
+    one, two = ({r["node"]: r["filled"] for r in graphs.harmonic_fill(df, "v", largest=n).collect()} for n in (20_000, 3))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-8 for k in one) and len(one) == (~known).sum()
+    alone = spark.createDataFrame([(1, 0, 0, 0, None), (2, 1, 0, 0, None)], "node_id long, ix int, iy int, iz int, v double")
+    assert [[r["filled"] for r in graphs.harmonic_fill(alone, "v", largest=n).collect()] for n in (10, 1)] == [[None, None]] * 2
 
 
 def test_phase_shift_and_solve(spark):
@@ -80,10 +150,16 @@ def test_frames_wait_for_parents(spark, tmp_path):
     pairs = [(3, 7, 0.5), (1, 7, 1.0), (2, 7, 2.0)]
     make = lambda rows: spark.createDataFrame(rows, "frame long, node_id long, u double")
     frames.advance(make(pairs[:1]), schedule, f"{tmp_path}/a")
-    assert spark.read.parquet(f"{tmp_path}/a/waiting").count() == 1
+    assert frames.waiting(spark, f"{tmp_path}/a").count() == 1
     frames.advance(make(pairs[1:]), schedule, f"{tmp_path}/a")
     got = {r["frame"]: r["u_total"] for r in spark.read.parquet(f"{tmp_path}/a/total").collect()}
     assert got == {1: 1.0, 2: 3.0, 3: 3.5}
+    # a run that broke off after it wrote what waits, before the pointer moved: nothing is lost, nothing comes twice
+    frames.advance(make(pairs[:1]), schedule, f"{tmp_path}/d")
+    make([(3, 7, 9.9)]).selectExpr("2L as version", "node_id", "u", "frame").write.mode("append").partitionBy("version").parquet(f"{tmp_path}/d/waiting")
+    assert [tuple(r) for r in frames.waiting(spark, f"{tmp_path}/d").collect()] == [(3, 7, 0.5)]
+    frames.advance(make([*pairs[1:], (2, 7, 1.5)]), schedule, f"{tmp_path}/d")
+    assert {r["frame"]: r["u_total"] for r in spark.read.parquet(f"{tmp_path}/d/total").collect()} == got
     make(pairs).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("frame long, node_id long, u double").parquet(f"{tmp_path}/in")
     frames.follow(stream, schedule, f"{tmp_path}/b", f"{tmp_path}/c").awaitTermination(90)

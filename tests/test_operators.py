@@ -122,12 +122,3 @@ def test_strain_measures(spark):
         assert np.isclose(r["ea"], ((np.eye(3) - np.linalg.inv(f @ f.T)) / 2)[0, 1])
         d = s - np.trace(s) / 3 * np.eye(3)
         assert np.isclose(r["vm"], math.sqrt(2 / 3 * (d * d).sum()))
-
-
-def test_alternating_solution(spark):
-    from voxlattice.operators.alternate import alternate
-
-    f = speckle((24, 24, 24), 5)
-    g = np.roll(f, (1, 0, -1), (0, 1, 2))
-    got = alternate(brick_table(spark, 8, ref=f, **{"def": g}), 8, 4, 1, rounds=2).where("bz = 1 and by = 1 and bx = 1").first()
-    assert abs(got["u"] + 1) < 0.2 and abs(got["v"]) < 0.2 and abs(got["w"] - 1) < 0.2 and got["zncc"] > 0.95

@@ -25,7 +25,7 @@ def test_nearest_fill_at_any_distance(spark):
 
 
 def test_nearest_fill_reads_all_layers(spark, sf):
-    got = {r["node_id"]: r["src"] for r in QUERIES["join9_nearest_fill_whole"](spark, sf).collect()}
+    got = {r["node_id"]: r["src"] for r in QUERIES["join9_nearest_fill"](spark, sf).collect()}
     n = pn.lattice(spark, sf).select("node_id", "ix", "iy", "iz", "node_valid").toPandas().sort_values("node_id")
     at, ok, ids = n[["ix", "iy", "iz"]].to_numpy(), n["node_valid"].to_numpy(), n["node_id"].to_numpy()
     for i in np.flatnonzero(~ok):
@@ -34,7 +34,7 @@ def test_nearest_fill_reads_all_layers(spark, sf):
     assert not got
 
 
-@pytest.mark.parametrize("name", ["join9_nearest_fill", "agg14_autocorrelation_line", "agg14_autocorrelation_line_whole"])
+@pytest.mark.parametrize("name", ["join9_nearest_fill", "agg14_autocorrelation_line", "agg14_autocorrelation", "agg16_sliding_window", "agg17_texture_of_boxes", "join8_coarse_to_fine"])
 def test_same_as_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("orders", "embeddings"):
@@ -47,7 +47,7 @@ def test_windows_over_the_whole_volume(spark, sf):
     p = v.toPandas()
     box = np.full((p["z"].max() + 1, 32, 32), np.nan)
     box[p["z"], p["y"], p["x"]] = p["v"]
-    got = {tuple(r)[:4]: tuple(r)[4:] for r in QUERIES["agg16_sliding_window_whole"](spark, sf).collect()}
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in QUERIES["agg16_sliding_window"](spark, sf).collect()}
     starts = [(x, y, z) for x in range(0, 13, 4) for y in range(0, 21, 4) for z in range(0, len(box) - 7, 4)]
     assert got.keys() == {(*s, h) for s in starts for h in range(7)}
     for x, y, z in starts:
@@ -57,4 +57,3 @@ def test_windows_over_the_whole_volume(spark, sf):
             c = (w - mu) * (box[z : z + 8, y : y + 12, x + h : x + h + 12] - mu)
             pairs, rho = got[x, y, z, h]
             assert pairs == (~np.isnan(c)).sum() and abs(rho - np.nanmean(c) / var) < 2e-6
-    assert [(h, *got[8, 8, 4, h]) for h in range(7)] == sorted(map(tuple, QUERIES["agg16_sliding_window"](spark, sf).collect()))

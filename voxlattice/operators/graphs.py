@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relax import conjugate_gradient
 from .stencil import AXES
-
-
-def _write(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        import tempfile
-
-        top = f"file://{tempfile.mkdtemp(prefix='voxlattice-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/grid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .store import write
 
 
 def grid_components(nodes: DataFrame, ident: str = "node_id") -> DataFrame:
@@ -31,13 +18,13 @@ def grid_components(nodes: DataFrame, ident: str = "node_id") -> DataFrame:
     sides = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a, b, c in sides])).alias("d")
     shifted = keys.select(F.col("node").alias("other"), near, *AXES).select("other", *[(F.col(a) + F.col(f"d.{a[1]}")).alias(a) for a in AXES])
-    edges = _write(keys.join(shifted, list(AXES)).select("node", "other"))
-    labels = _write(keys.select("node", F.col("node").alias("component")))
+    edges = write(keys.join(shifted, list(AXES)).select("node", "other"))
+    labels = write(keys.select("node", F.col("node").alias("component")))
     while True:
         least = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("m"))
         step = labels.join(least, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("component"))
         up = step.select(F.col("node").alias("parent"), F.col("component").alias("above"))
-        new = _write(step.join(up, F.col("component") == F.col("parent")).select("node", "was", F.least("component", "above").alias("component")))
+        new = write(step.join(up, F.col("component") == F.col("parent")).select("node", "was", F.least("component", "above").alias("component")))
         labels = new.select("node", "component")
         if not new.where("was <> component").limit(1).count():
             return labels
@@ -46,8 +33,8 @@ def grid_components(nodes: DataFrame, ident: str = "node_id") -> DataFrame:
 def harmonic_fill(nodes: DataFrame, value: str, ident: str = "node_id", largest: int = 20_000) -> DataFrame:
     """(node, filled): missing nodes take the mean of their direct neighbours, solved exactly per connected gap.
 
-    Gaps do not influence each other, so each is one small linear system. A gap of more than `largest` nodes, or one
-    without a known neighbour, stays null.
+    Gaps do not influence each other, so each is one linear system: up to `largest` nodes within a task, beyond it by
+    conjugate gradients over the node table, all such gaps side by side. A gap without a known neighbour stays null.
     """
     sides = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a, b, c in sides])).alias("d")
@@ -55,8 +42,9 @@ def harmonic_fill(nodes: DataFrame, value: str, ident: str = "node_id", largest:
     of = grid_components(gap, ident)
     shifted = nodes.select(F.col(ident).alias("other"), F.col(value).alias("known"), near, *AXES).select("other", "known", *[(F.col(a) + F.col(f"d.{a[1]}")).alias(a) for a in AXES])
     rows = gap.select(F.col(ident).alias("node"), *AXES).join(shifted, list(AXES)).join(of, "node").select("component", "node", "other", "known")
-    sizes = of.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= largest)
-    rows = rows.join(sizes, "component")
+    rows = write(rows.join(of.groupBy("component").agg(F.count("*").alias("size")), "component"))
+    wide = rows.where(F.col("size") > largest)
+    rows = rows.where(F.col("size") <= largest).drop("size")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(frame["node"].to_numpy())
@@ -90,4 +78,11 @@ def harmonic_fill(nodes: DataFrame, value: str, ident: str = "node_id", largest:
 
     kind = nodes.schema[ident].dataType.simpleString()
     out = rows.groupBy("component").applyInPandas(solve, f"node {kind}, filled double")
+    if wide.limit(1).count():
+        system = wide.groupBy("component", F.col("node").alias("node_id")).agg(F.count("*").cast("double").alias("diagonal"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("b"))
+        rim = wide.groupBy("component").agg(F.count("known").alias("rim")).where("rim > 0").select("component")
+        system = write(system.join(rim, "component").join(gap.select(F.col(ident).alias("node_id"), *AXES), "node_id"))
+        found = conjugate_gradient(system, 1.0, ["component"], 1e-12)
+        alone = wide.select("component", "node").distinct().join(rim, "component", "left_anti").select("node", F.lit(None).cast("double").alias("filled"))
+        out = out.union(found.select("node_id", "solution")).union(alone)
     return out.select("node", F.when(~F.isnan("filled"), F.col("filled")).alias("filled"))

@@ -2,32 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-
-def summary(v: str) -> list[Column]:
-    return [
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
-        F.percentile(v, F.lit(0.05)).alias("p05"),
-        F.percentile(v, F.lit(0.95)).alias("p95"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.sqrt(F.avg(F.col(v) * F.col(v))).alias("rms"),
-    ]
-
-
-def summarize(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """One row a key: the summary and the robust deviation 1.4826 * median |v - median|."""
-    out = df.groupBy(*keys).agg(*summary(value))
-    if not keys:
-        joined = df.crossJoin(F.broadcast(out.select("median")))
-        return out.crossJoin(F.broadcast(joined.agg((1.4826 * F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5))).alias("robust_std"))))
-    mad = df.join(out.select(*keys, "median"), list(keys)).groupBy(*keys).agg((1.4826 * F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5))).alias("robust_std"))
-    return out.join(mad, list(keys))
+from pyspark.sql.window import Window
+
+from . import store
+
+
+#: Values of one key that a task may count exactly in memory.
+COUNTED = 5_000_000
+BINS = 1024
+
+
+def quantiles(rows: DataFrame, value: str, probs: dict[str, float], *keys: str, most: int = COUNTED) -> DataFrame:
+    """(keys, names of probs): exact quantiles, interpolated between neighbouring ranks; nulls are left out.
+
+    rows should be a stored table. Where no key has more than `most` values each key's are counted in memory. Beyond it
+    every wanted rank is bracketed instead: a histogram of each bracket, made by all tasks together, says which bin holds
+    the rank, and that bin's extremes are the next bracket, until they are equal. Both give the same numbers.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    ends = store.write(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    if (ends.agg(F.max("n")).first()[0] or 0) <= most:
+        return rows.groupBy(*keys).agg(*[F.percentile("v", F.lit(p)).alias(name) for name, p in probs.items()])
+    low = {name: F.floor(F.lit(p) * (F.col("n") - 1)) for name, p in probs.items()}
+    high = {name: F.ceil(F.lit(p) * (F.col("n") - 1)) for name, p in probs.items()}
+    wanted = F.explode(F.array_distinct(F.array(*low.values(), *high.values()))).alias("rank")
+    brackets = ends.select(*keys, wanted, "lo", "hi", F.lit(0).cast("long").alias("below"))
+    while brackets.where("lo < hi").limit(1).count():
+        spans = brackets.where("lo < hi").select(*keys, "lo", "hi").distinct()
+        place = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))
+        # a key has twice as many spans as wanted quantiles at most
+        inside = rows.join(spans, list(keys)).where("v between lo and hi").groupBy(*keys, "lo", "hi", place.alias("bin"))
+        bins = inside.agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+        run = Window.partitionBy(*keys, "lo", "hi").orderBy("bin")
+        bins = bins.withColumn("before", F.sum("c").over(run) - F.col("c"))
+        at = F.col("rank") - F.col("below")
+        found = brackets.join(bins, [*keys, "lo", "hi"], "left").where("lo = hi or (rank - below >= before and rank - below < before + c)")
+        brackets = store.write(found.select(*keys, "rank", F.coalesce("least", "lo").alias("lo"), F.coalesce("greatest", "hi").alias("hi"), (F.col("below") + F.coalesce("before", F.lit(0))).alias("below")))
+    ranks = brackets.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))
+    out = ends.join(ranks, list(keys))
+    part = lambda name: (1 - (probs[name] * (F.col("n") - 1) - low[name])) * F.element_at("at", low[name]) + (probs[name] * (F.col("n") - 1) - low[name]) * F.element_at("at", high[name])
+    return out.select(*keys, *[part(name).alias(name) for name in probs])
+
+
+def summarize(df: DataFrame, value: str, *keys: str, most: int = COUNTED) -> DataFrame:
+    """One row a key: count, moments, quantiles, extremes and the robust deviation 1.4826 * median |v - median|."""
+    rows = store.write(df.select(*keys, value))
+    v = F.col(value)
+    a = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.sqrt(F.avg(v * v)).alias("rms"))
+    q = store.write(quantiles(rows, value, {"median": 0.5, "p05": 0.05, "p95": 0.95}, *keys, most=most))
+    off = rows.join(q.select(*keys, "median"), list(keys)).select(*keys, F.abs(v - F.col("median")).alias("off"))
+    mad = quantiles(off, "off", {"mad": 0.5}, *keys, most=most).select(*keys, (1.4826 * F.col("mad")).alias("robust_std"))
+    out = a.join(q, list(keys), "left").join(mad, list(keys), "left")
+    return out.select(*keys, "n", "mean", "std", "median", "p05", "p95", "min", "max", "rms", "robust_std")
 
 
 def unpivot(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

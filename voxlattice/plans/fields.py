@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import strain as st
-from ..operators import stats, stencil
+from ..operators import stats, stencil, store
 from ..sources.views import lattice, measurements, table, voxels
 from .nodes import REGIONS, _corner_join
 from .registry import R, query, r6
@@ -46,15 +46,16 @@ def agg4_strain_precision(spark, sf):
     return measurements(spark, sf).groupBy("frame").agg(r6(F.avg(m)).alias("maer"), r6(F.stddev_pop(m)).alias("sder"))
 
 
-@query(f"""WITH c AS (SELECT node_id FROM meas WHERE frame < 3 GROUP BY node_id HAVING count(*) = 3), m AS (SELECT * FROM meas WHERE frame < 3 AND node_id IN (SELECT node_id FROM c))
-SELECT (SELECT {R('avg(s)')} FROM (SELECT stddev_pop(u) AS s FROM m GROUP BY frame)) AS spatial, (SELECT {R('avg(s)')} FROM (SELECT stddev_pop(u) AS s FROM m GROUP BY node_id)) AS temporal""")
+@query(f"""WITH c AS (SELECT node_id FROM meas GROUP BY node_id HAVING count(*) = (SELECT count(DISTINCT frame) FROM meas)), m AS (SELECT * FROM meas WHERE node_id IN (SELECT node_id FROM c))
+SELECT c AS component, (SELECT {R('avg(s)')} FROM (SELECT stddev_pop(CASE c WHEN 'u' THEN u WHEN 'v' THEN v ELSE w END) AS s FROM m GROUP BY frame)) AS spatial, (SELECT {R('avg(s)')} FROM (SELECT stddev_pop(CASE c WHEN 'u' THEN u WHEN 'v' THEN v ELSE w END) AS s FROM m GROUP BY node_id)) AS temporal FROM (VALUES ('u'), ('v'), ('w')) t(c)""")
 def agg5_spatial_temporal(spark, sf):
-    """Spatial and temporal deviation over nodes that every one of three frames has."""
-    m = measurements(spark, sf).where("frame < 3")
-    common = m.groupBy("node_id").agg(F.count("*").alias("k")).where("k = 3")
-    m = m.join(common, "node_id", "left_semi")
-    part = lambda key, name: m.groupBy(key).agg(F.stddev_pop("u").alias("s")).agg(r6(F.avg("s")).alias(name))
-    return part("frame", "spatial").crossJoin(part("node_id", "temporal"))
+    """Spatial and temporal deviation of each component over nodes that every frame has."""
+    m = store.write(measurements(spark, sf))
+    frames = m.agg(F.count_distinct("frame").alias("frames"))
+    common = m.groupBy("node_id").agg(F.count("*").alias("k")).crossJoin(F.broadcast(frames)).where("k = frames")
+    m = stats.unpivot(m.join(common, "node_id", "left_semi").select("node_id", "frame", "u", "v", "w"), ["node_id", "frame"], ["u", "v", "w"])
+    part = lambda key, name: m.groupBy("field", key).agg(F.stddev_pop("value").alias("s")).groupBy("field").agg(r6(F.avg("s")).alias(name))
+    return part("frame", "spatial").join(part("node_id", "temporal"), "field").withColumnRenamed("field", "component")
 
 
 _BOX = "x BETWEEN 30 AND 70 AND y BETWEEN 30 AND 90 AND z BETWEEN 28 AND 4000"
@@ -70,9 +71,9 @@ def agg6_frame_series(spark, sf):
     from ..operators.regions import Box
 
     nodes = lattice(spark, sf).where(F.col("node_valid") & Box((30, 30, 28), (70, 90, 4000)).contains()).select("node_id")
-    good = measurements(spark, sf).where("status = 0 and not outlier").join(nodes, "node_id", "left_semi")
+    good = store.write(measurements(spark, sf).where("status = 0 and not outlier").join(nodes, "node_id", "left_semi").select("frame", "u", "v", "w"))
     t = good.groupBy("frame").agg(*[F.avg(c).alias(f"t{c}") for c in "uvw"])
-    moved = good.join(F.broadcast(t), "frame").select("frame", *[(F.col(c) - F.col(f"t{c}")).alias(c) for c in "uvw"])
+    moved = good.join(t, "frame").select("frame", *[(F.col(c) - F.col(f"t{c}")).alias(c) for c in "uvw"])
     long = stats.unpivot(moved, ["frame"], ["u", "v", "w"]).withColumnRenamed("value", "val")
     return _rounded(stats.summarize(long, "val", "frame", "field"), "frame")
 
@@ -92,16 +93,23 @@ def agg8_window_fraction(spark, sf):
     return n.select("node_id", r6(F.col("s") / 125).alias("fraction"))
 
 
-@query("""WITH q AS (SELECT quantile_cont(f, 0.75) - quantile_cont(f, 0.25) AS iqr, count(*) AS n, min(f) AS lo, max(f) AS hi FROM lat),
-b AS (SELECT lo, hi, CAST(least(80, greatest(1, ceil((hi - lo) / (2 * iqr / pow(n, 1.0 / 3))))) AS BIGINT) AS bins FROM q)
-SELECT CAST(least(bins - 1, floor((f - lo) / (hi - lo) * bins)) AS BIGINT) AS bin, count(*) AS n FROM lat, b GROUP BY 1""")
+@query("""WITH s AS (SELECT 'dense' AS field, f AS v FROM lat UNION ALL SELECT 'constant', 4.5 FROM lat), q AS (SELECT field, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, count(*) AS n, min(v) AS a, max(v) AS b FROM s GROUP BY field),
+r AS (SELECT *, CASE WHEN b > a THEN a ELSE a - greatest(abs(a), 1) * 1e-6 END AS lo, CASE WHEN b > a THEN b ELSE b + greatest(abs(a), 1) * 1e-6 END AS hi FROM q),
+w AS (SELECT field, lo, hi, n, CASE WHEN iqr > 0 THEN ceil((hi - lo) / (2 * iqr / pow(n, 1.0 / 3))) ELSE 0 END AS fd FROM r),
+k AS (SELECT field, lo, hi, CAST(CASE WHEN fd BETWEEN 2 AND 80 THEN fd ELSE least(80, greatest(10, floor(sqrt(n)))) END AS BIGINT) AS bins FROM w)
+SELECT field, CAST(least(bins - 1, floor((v - lo) / (hi - lo) * bins)) AS BIGINT) AS bin, count(*) AS n FROM s JOIN k USING (field) GROUP BY ALL""")
 def agg9_histogram(spark, sf):
-    """Freedman-Diaconis bins, 80 at most."""
+    """Freedman-Diaconis bins; where they would be under 2 or over 80, the root of the count, 10 to 80. A constant field
+    gets bins around its value."""
     n = lattice(spark, sf)
-    q = n.agg((F.percentile("f", F.lit(0.75)) - F.percentile("f", F.lit(0.25))).alias("iqr"), F.count("*").alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi"))
-    b = q.select("lo", "hi", F.least(F.lit(80), F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / (2 * F.col("iqr") / F.pow("n", F.lit(1.0 / 3)))))).alias("bins"))
-    k = F.least(F.col("bins") - 1, F.floor((F.col("f") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins"))).cast("long")
-    return n.crossJoin(F.broadcast(b)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
+    s = store.write(n.select(F.lit("dense").alias("field"), F.col("f").alias("v")).union(n.select(F.lit("constant"), F.lit(4.5))))
+    q = stats.quantiles(s, "v", {"p25": 0.25, "p75": 0.75}, "field").join(s.groupBy("field").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")), "field")
+    pad = F.when(F.col("b") > F.col("a"), 0.0).otherwise(F.greatest(F.abs("a"), F.lit(1.0)) * 1e-6)
+    q = q.select("field", (F.col("a") - pad).alias("lo"), (F.col("b") + pad).alias("hi"), "n", (F.col("p75") - F.col("p25")).alias("iqr"))
+    fd = F.when(F.col("iqr") > 0, F.ceil((F.col("hi") - F.col("lo")) / (2 * F.col("iqr") / F.pow("n", F.lit(1.0 / 3))))).otherwise(0)
+    q = q.select("field", "lo", "hi", F.when(fd.between(2, 80), fd).otherwise(F.least(F.lit(80), F.greatest(F.lit(10), F.floor(F.sqrt("n"))))).alias("bins"))
+    k = F.least(F.col("bins") - 1, F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins"))).cast("long")
+    return s.join(F.broadcast(q), "field").groupBy("field", k.alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH j AS (SELECT frame, x, u FROM lat JOIN meas USING (node_id)) SELECT frame, count(*) AS n, {R('regr_slope(u, x)')} AS slope, {R('regr_intercept(u, x)')} AS offset_u, {R('avg(u)')} AS translation FROM j GROUP BY frame""")
@@ -117,27 +125,21 @@ def agg12_noise_floor(spark, sf):
     return t.agg(r6(F.avg("tu")).alias("bias"), r6(F.avg("su")).alias("noise"), r6(F.avg("mae")).alias("maer"), F.count("*").alias("frames"))
 
 
-def _autocorrelation_line(v):
-    """(lag, rho): bricks' voxels meet their shifted partners by key."""
-    d = v.crossJoin(F.broadcast(v.agg(F.avg("v").alias("mean")))).select("x", "y", "z", (F.col("v") - F.col("mean")).alias("d"))
-    right = d.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("h"), "x", "y", "z", F.col("d").alias("e")).withColumn("x", F.col("x") - F.col("h"))
-    s = d.join(right, ["x", "y", "z"]).groupBy("h").agg(F.avg(F.col("d") * F.col("e")).alias("c"))
-    zero = s.where("h = 0").select(F.col("c").alias("c0"))
-    return s.crossJoin(F.broadcast(zero)).select(F.col("h").cast("long").alias("lag"), r6(F.col("c") / F.col("c0")).alias("rho"))
-
-
-@query(f"""WITH c AS (SELECT avg(v) AS mu FROM vox WHERE z < 8), b AS (SELECT x, y, z, v - mu AS d FROM vox, c WHERE z < 8), p AS (SELECT h, l.d AS a, r.d AS b FROM b l, range(0, 5) t(h), b r WHERE r.x = l.x + h AND r.y = l.y AND r.z = l.z),
-s AS (SELECT h, avg(a * b) AS c FROM p GROUP BY h) SELECT CAST(h AS BIGINT) AS lag, {R('c / (SELECT c FROM s WHERE h = 0)')} AS rho FROM s""")
+@query(f"""WITH c AS (SELECT avg(v) AS mu FROM vox), b AS (SELECT x, y, z, v - mu AS d FROM vox, c), o AS (SELECT a, h, CASE WHEN a = 'x' THEN h ELSE 0 END AS hx, CASE WHEN a = 'y' THEN h ELSE 0 END AS hy, CASE WHEN a = 'z' THEN h ELSE 0 END AS hz FROM (VALUES ('x'), ('y'), ('z')) t(a), range(0, 5) u(h)),
+p AS (SELECT o.a AS axis, h, x + hx AS x, y + hy AS y, z + hz AS z, d FROM b, o), s AS (SELECT axis, h, avg(p.d * r.d) AS c FROM p JOIN b r USING (x, y, z) GROUP BY axis, h)
+SELECT axis, CAST(h AS BIGINT) AS lag, {R("c / first_value(c) OVER (PARTITION BY axis ORDER BY h)")} AS rho FROM s""")
 def agg14_autocorrelation_line(spark, sf):
-    """Pair-corrected autocorrelation along x of the first layers, which are what the SQL reads."""
-    return _autocorrelation_line(voxels(spark, sf).where("z < 8"))
-
-
-@query(f"""WITH c AS (SELECT avg(v) AS mu FROM vox), b AS (SELECT x, y, z, v - mu AS d FROM vox, c), p AS (SELECT h, l.d AS a, r.d AS b FROM b l, range(0, 5) t(h), b r WHERE r.x = l.x + h AND r.y = l.y AND r.z = l.z),
-s AS (SELECT h, avg(a * b) AS c FROM p GROUP BY h) SELECT CAST(h AS BIGINT) AS lag, {R('c / (SELECT c FROM s WHERE h = 0)')} AS rho FROM s""")
-def agg14_autocorrelation_line_whole(spark, sf):
-    """The same over the whole volume."""
-    return _autocorrelation_line(voxels(spark, sf))
+    """Pair-corrected autocorrelation along each axis: voxels meet their shifted partners on grid lines."""
+    v = voxels(spark, sf)
+    d = v.crossJoin(F.broadcast(v.agg(F.avg("v").alias("mean")))).select("x", "y", "z", (F.col("v") - F.col("mean")).alias("d"))
+    out = None
+    for a in "xyz":
+        w = Window.partitionBy(*[c for c in "xyz" if c != a]).orderBy(a)
+        products = d.select(*[(F.col("d") * F.max("d").over(w.rangeBetween(h, h))).alias(f"h{h}") for h in range(5)])
+        means = products.agg(*[F.avg(f"h{h}").alias(f"h{h}") for h in range(5)])
+        rows = means.select(F.lit(a).alias("axis"), F.posexplode(F.array(*[F.col(f"h{h}") / F.col("h0") for h in range(5)])).alias("lag", "rho")).select("axis", F.col("lag").cast("long").alias("lag"), r6("rho").alias("rho"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(f"""SELECT CAST(floor(sqrt(CAST((x-16)*(x-16) + (y-16)*(y-16) + (z-16)*(z-16) AS DOUBLE))) AS BIGINT) AS bin, count(*) AS n, {R('avg(v)')} AS mean, {R('sqrt(greatest(avg(v*v) - avg(v)*avg(v), 0))')} AS std, {R('avg(sqrt(CAST((x-16)*(x-16) + (y-16)*(y-16) + (z-16)*(z-16) AS DOUBLE)))')} AS lag FROM vox GROUP BY 1""")
@@ -175,25 +177,30 @@ SELECT frame, count(it) AS converged, {R('avg(it)')} AS mean_iter, {R('quantile_
 def agg22_solve_summary(spark, sf):
     """Converged nodes, and those much slower than the rest (sample deviation, floor 6)."""
     c = measurements(spark, sf).select("frame", F.when(F.col("status") == 0, F.col("u")).alias("it"))
+    c = store.write(c)
     t = c.groupBy("frame").agg(F.greatest(F.lit(6.0), F.avg("it") + 2 * F.stddev_samp("it")).alias("thr"))
-    return c.join(F.broadcast(t), "frame").groupBy("frame").agg(F.count("it").alias("converged"), r6(F.avg("it")).alias("mean_iter"), r6(F.percentile("it", F.lit(0.5))).alias("median_iter"), F.count(F.when(F.col("it") > F.col("thr"), 1)).alias("slow"))
+    out = c.join(t, "frame").groupBy("frame").agg(F.count("it").alias("converged"), r6(F.avg("it")).alias("mean_iter"), F.count(F.when(F.col("it") > F.col("thr"), 1)).alias("slow"))
+    return out.join(stats.quantiles(c, "it", {"median": 0.5}, "frame"), "frame", "left").select("frame", "converged", "mean_iter", r6("median").alias("median_iter"), "slow")
 
 
 @query(f"SELECT {R('quantile_cont(v, 0.01)')} AS low, {R('quantile_cont(v, 0.99)')} AS high, {R('quantile_cont(CASE WHEN (x + 32 * y + 1024 * z) % 7 = 0 THEN v END, 0.005)')} AS grey_low FROM vox")
 def agg23_value_range(spark, sf):
     """A display range, and the grey window of every seventh voxel."""
     sampled = F.when((F.col("x") + 32 * F.col("y") + 1024 * F.col("z")) % 7 == 0, F.col("v"))
-    return voxels(spark, sf).agg(r6(F.percentile("v", F.lit(0.01))).alias("low"), r6(F.percentile("v", F.lit(0.99))).alias("high"), r6(F.percentile(sampled, F.lit(0.005))).alias("grey_low"))
+    v = store.write(voxels(spark, sf).select(F.lit(0).alias("all"), "v", sampled.alias("s")))
+    q = stats.quantiles(v, "v", {"low": 0.01, "high": 0.99}, "all").join(stats.quantiles(v, "s", {"grey_low": 0.005}, "all"), "all")
+    return q.select(*[r6(c).alias(c) for c in ("low", "high", "grey_low")])
 
 
 @query(f"""WITH j AS (SELECT abs(a.u - b.u) AS d, a.u - b.u AS s FROM meas a JOIN meas b ON a.node_id = b.node_id AND a.frame = 0 AND b.frame = 1)
 SELECT count(*) AS n, {R('quantile_cont(d, 0.5)')} AS median_abs, {R('sqrt(avg(s*s))')} AS rms, {R('quantile_cont(d, 0.95)')} AS p95, {R('quantile_cont(d, 0.99)')} AS p99, {R('max(d)')} AS max, {R('avg(s)')} AS bias, {R('avg(CASE WHEN d > 1 THEN 1.0 ELSE 0.0 END)')} AS over FROM j""")
 def agg24_difference_statistics(spark, sf):
-    m = measurements(spark, sf)
-    a, b = (m.where(f"frame = {k}").select("node_id", F.col("u").alias(f"u{k}")) for k in (0, 1))
-    j = a.join(b, "node_id").select((F.col("u0") - F.col("u1")).alias("s")).withColumn("d", F.abs("s"))
-    q = lambda p: r6(F.percentile("d", F.lit(p)))
-    return j.agg(F.count("*").alias("n"), q(0.5).alias("median_abs"), r6(F.sqrt(F.avg(F.col("s") * F.col("s")))).alias("rms"), q(0.95).alias("p95"), q(0.99).alias("p99"), r6(F.max("d")).alias("max"), r6(F.avg("s")).alias("bias"), r6(F.avg(F.when(F.col("d") > 1, 1.0).otherwise(0.0))).alias("over"))
+    at = lambda k: F.max(F.when(F.col("frame") == k, F.col("u")))
+    j = measurements(spark, sf).where("frame in (0, 1)").groupBy("node_id").agg((at(0) - at(1)).alias("s")).where("s is not null")
+    j = store.write(j.select(F.lit(0).alias("all"), "s", F.abs("s").alias("d")))
+    q = stats.quantiles(j, "d", {"median_abs": 0.5, "p95": 0.95, "p99": 0.99}, "all")
+    s = j.groupBy("all").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("s") * F.col("s"))).alias("rms"), F.max("d").alias("max"), F.avg("s").alias("bias"), F.avg(F.when(F.col("d") > 1, 1.0).otherwise(0.0)).alias("over"))
+    return s.join(q, "all").select("n", *[r6(c).alias(c) for c in ("median_abs", "rms", "p95", "p99", "max", "bias", "over")])
 
 
 @query(f"""WITH e AS (SELECT p_size AS b, avg(p_retailprice) AS e1, stddev_pop(p_retailprice) AS e2 FROM part GROUP BY p_size),
@@ -242,7 +249,7 @@ def win2_noise_floor(spark, sf):
     """Deviation of the outer half of each profile."""
     p = _profiles(spark, sf)
     start = p.groupBy("box").agg((F.max("lag") / 2).alias("start"))
-    return p.join(F.broadcast(start), "box").where("lag >= start").groupBy("box").agg(F.when(F.count("y") >= 3, r6(F.stddev_pop("y"))).alias("floor"))
+    return p.join(start, "box").where("lag >= start").groupBy("box").agg(F.when(F.count("y") >= 3, r6(F.stddev_pop("y"))).alias("floor"))
 
 
 @query(f"""WITH {_DAYS_SQL}, n AS (SELECT *, lag(y) OVER w AS y0, lead(y) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY box ORDER BY lag)),
@@ -253,7 +260,7 @@ def win3_periodicity(spark, sf):
     w = Window.partitionBy("box").orderBy("lag")
     n = _profiles(spark, sf).withColumns({"y0": F.lag("y").over(w), "y1": F.lead("y").over(w)})
     lo = n.where("y <= y0 and y < y1").groupBy("box").agg(F.min(F.struct("lag", "y")).alias("lo"))
-    hi = n.join(F.broadcast(lo), "box").where("lag > lo.lag and y >= y0 and y > y1").groupBy("box").agg(F.min(F.struct("lag", "y", F.col("lo.y").alias("low"))).alias("h"))
+    hi = n.join(lo, "box").where("lag > lo.lag and y >= y0 and y > y1").groupBy("box").agg(F.min(F.struct("lag", "y", F.col("lo.y").alias("low"))).alias("h"))
     return hi.where("h.y >= 0.1 and h.y > h.low + 0.02").select("box", F.col("h.lag").alias("period"), r6("h.y").alias("height"))
 
 
@@ -508,15 +515,20 @@ def trj1_line_samples(spark, sf):
     return p.select("pid").join(g, "pid", "left").select(F.expr("pid div 100").alias("line"), (F.col("pid") % 100).alias("i"), F.when(F.col("cover") > 1 - 1e-9, r6("s")).alias("value"))
 
 
-@query(f"""WITH a AS (SELECT node_id // 10 AS gauge, frame, u, v, w FROM meas WHERE node_id % 10 = 0), b AS (SELECT node_id // 10 AS gauge, frame, u, v, w FROM meas WHERE node_id % 10 = 9), j AS (SELECT a.gauge, a.frame, sqrt((72 + b.u - a.u) * (72 + b.u - a.u) + (b.v - a.v) * (b.v - a.v) + (b.w - a.w) * (b.w - a.w)) AS len FROM a JOIN b USING (gauge, frame))
+@query(f"""WITH g AS (SELECT a.node_id // 10 AS gauge, frame FROM lat a JOIN lat b ON b.node_id = a.node_id + 9, (SELECT DISTINCT frame FROM meas) f WHERE a.node_id % 10 = 0),
+j AS (SELECT g.gauge, g.frame, sqrt((72 + b.u - a.u) * (72 + b.u - a.u) + (b.v - a.v) * (b.v - a.v) + (b.w - a.w) * (b.w - a.w)) AS len FROM g LEFT JOIN meas a ON a.node_id = g.gauge * 10 AND a.frame = g.frame LEFT JOIN meas b ON b.node_id = g.gauge * 10 + 9 AND b.frame = g.frame)
 SELECT gauge, frame, {R('len')} AS length, {R('len / 72 - 1')} AS strain FROM j""")
 def trj2_extensometer(spark, sf):
-    """Displaced length of every grid line's end points, and its strain."""
+    """Displaced length of every grid line's end points, and its strain; null in frames that miss an end."""
     m = measurements(spark, sf)
-    end = lambda k, n: m.where(F.col("node_id") % 10 == k).select(F.expr("node_id div 10").alias("gauge"), "frame", *[F.col(c).alias(f"{n}{c}") for c in "uvw"])
-    j = end(0, "a").join(end(9, "b"), ["gauge", "frame"])
-    d = [72 + F.col("bu") - F.col("au"), F.col("bv") - F.col("av"), F.col("bw") - F.col("aw")]
-    length = F.sqrt(sum((x * x for x in d), F.lit(0.0)))
+    n = lattice(spark, sf).select("node_id")
+    gauges = n.where("node_id % 10 = 0").select(F.expr("node_id div 10").alias("gauge")).join(n.where("node_id % 10 = 9").select(F.expr("node_id div 10").alias("gauge")), "gauge")
+    every = gauges.crossJoin(F.broadcast(m.agg(F.collect_set("frame").alias("frames")))).select("gauge", F.explode("frames").alias("frame"))
+    # one pass: both ends of a gauge meet in one aggregate
+    at = lambda k, c: F.max(F.when(F.col("node_id") % 10 == k, F.col(c)))
+    ends = m.where(F.col("node_id") % 10 % 9 == 0).groupBy(F.expr("node_id div 10").alias("gauge"), "frame").agg(*[(at(9, c) - at(0, c)).alias(c) for c in "uvw"])
+    j = every.join(ends, ["gauge", "frame"], "left")
+    length = F.sqrt((72 + F.col("u")) * (72 + F.col("u")) + F.col("v") * F.col("v") + F.col("w") * F.col("w"))
     return j.select("gauge", "frame", r6(length).alias("length"), r6(length / 72 - 1).alias("strain"))
 
 

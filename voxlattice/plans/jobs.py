@@ -10,7 +10,7 @@ from ..operators import stencil as sl
 from ..sources import volumes
 from ..sources.views import lattice, measurements, table, voxels
 from . import fields
-from .registry import query, r6
+from .registry import R, query, r6
 
 
 def bricks(spark, sf):
@@ -38,7 +38,9 @@ def agg13_homogeneous(spark, sf):
     return m.select("frame", "n", *[r6(e(i, j)).alias(f"e{i}{j}") for i, j in ((1, 1), (2, 2), (3, 3), (1, 2), (1, 3), (2, 3))])
 
 
-@query()
+@query(f"""WITH c AS (SELECT avg(v) AS mu FROM vox), b AS (SELECT x, y, z, v - mu AS d FROM vox, c), o AS (SELECT a - 2 AS hz, e - 2 AS hy, g - 2 AS hx FROM range(5) t(a), range(5) u(e), range(5) w(g)),
+p AS (SELECT hz, hy, hx, x + hx AS x, y + hy AS y, z + hz AS z, d FROM b, o), s AS (SELECT hz, hy, hx, count(*) AS pairs, avg(p.d * r.d) AS c FROM p JOIN b r USING (x, y, z) GROUP BY hz, hy, hx)
+SELECT hz, hy, hx, pairs, {R('c / (SELECT c FROM s WHERE hz = 0 AND hy = 0 AND hx = 0)')} AS rho FROM s""")
 def agg14_autocorrelation(spark, sf):
     """Three-dimensional autocorrelation up to lag 2, from every brick's partial sums."""
     b = bricks(spark, sf)
@@ -110,6 +112,12 @@ def job8_compatible_field(spark, sf):
     return solve.compatible_field(n, "u", 2.0, "frame").select("frame", "node_id", r6("smooth").alias("smooth"), (F.col("residual") < 1e-8).alias("solved"))
 
 
+@query("SELECT iz AS layer, count(*) AS n_nodes FROM lat GROUP BY iz")
+def snk5_image_index(spark, sf):
+    """The image-data documents' index: a row a layer with its node count."""
+    return snk5_image_data(spark, sf).select("layer", "n_nodes")
+
+
 @query()
 def snk5_image_data(spark, sf):
     """One image-data document per layer of nodes, with its node count as the manifest."""
@@ -117,7 +125,7 @@ def snk5_image_data(spark, sf):
     return volumes.image_data(n, ["f"], "layer").select("layer", "n_nodes", F.length("content").alias("characters"))
 
 
-@query()
+@query(f"SELECT 'embeddings' AS path, count(*) AS n, {R('avg(v)')} AS mean, {R('stddev_pop(v)')} AS std, {R('min(v)')} AS min, {R('max(v)')} AS max FROM vox")
 def src5_brick_moments(spark, sf):
     """The volume's summary from each brick's partial sums."""
     b = bricks(spark, sf)

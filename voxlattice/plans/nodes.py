@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import graphs
+from ..operators import graphs, store
 from ..operators import regions as rg
 from ..operators import stencil
 from ..sources.views import lattice, measurements, table, voxels
@@ -40,8 +40,8 @@ def src5_volume_summary(spark, sf):
     return v.agg(F.count("*").alias("n"), r6(F.min("v")).alias("min"), r6(F.max("v")).alias("max"), r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), (F.count("*") * 4).alias("bytes"))
 
 
-@query(f"""WITH s AS (SELECT avg(v) AS m, CASE WHEN stddev_pop(v) < 1e-12 THEN 1 ELSE stddev_pop(v) END AS sd FROM vox)
-SELECT vec_id, z, y, x, {R('(v - m) / sd')} AS value, m AS inside FROM (SELECT vox.vec_id, z, y, x, v, vox.m, s.m AS mm, s.sd FROM vox, s) t(vec_id, z, y, x, v, m_, m, sd), LATERAL (SELECT m_ ) q(inside_)""".replace("m AS inside", "inside_ AS inside"))
+@query(f"""WITH s AS (SELECT avg(v) AS mu, CASE WHEN stddev_pop(v) < 1e-12 THEN 1 ELSE stddev_pop(v) END AS sd FROM vox)
+SELECT vec_id, z, y, x, {R('(v - mu) / sd')} AS value, m AS inside FROM vox, s""")
 def src7_normalised_frame(spark, sf):
     """A frame with mean 0 and deviation 1, and its mask."""
     v = voxels(spark, sf)
@@ -63,13 +63,16 @@ def snk2_run_summary(spark, sf):
     return m.groupBy("frame").agg(F.count("*").alias("n_nodes"), r6(F.percentile("zncc", F.lit(0.5))).alias("median_zncc"), r6(F.avg(F.when(F.col("status") == 0, 1.0).otherwise(0.0))).alias("converged_share"))
 
 
-@query(f"SELECT node_id, frame, {R('u')} AS f11, {R('v')} AS f21, {R('w')} AS f31, {R('v - w')} AS f12, {R('u')} AS f22, {R('zncc')} AS f13 FROM meas")
+_GRADIENT = ("f11", "f21", "f31", "f12", "f22", "f32", "f13", "f23", "f33")
+
+
+@query(f"SELECT node_id, frame, " + ", ".join(f"{R(c)} AS {n}" for n, c in zip(_GRADIENT, ("u", "v", "w", "v - w", "u", "u", "zncc", "zncc", "v"))) + ", true AS same_back FROM meas")
 def snk6_column_major(spark, sf):
-    """A row-major gradient rewritten in column-major order."""
+    """A row-major gradient rewritten in column-major order, and back again."""
     row_major = F.array("u", F.col("v") - F.col("w"), "zncc", "v", "u", "zncc", "w", "u", "v")
-    m = measurements(spark, sf).withColumn("g", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.get(row_major, (i % 3) * 3 + F.floor(i / 3).cast("int"))))
-    names = ("f11", "f21", "f31", "f12", "f22", None, "f13")
-    return m.select("node_id", "frame", *[r6(F.get("g", F.lit(k))).alias(n) for k, n in enumerate(names) if n])
+    turned = lambda g: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.get(g, (i % 3) * 3 + F.floor(i / 3).cast("int")))
+    m = measurements(spark, sf).withColumn("g", turned(row_major)).withColumn("back", turned(F.col("g")))
+    return m.select("node_id", "frame", *[r6(F.get("g", F.lit(k))).alias(n) for k, n in enumerate(_GRADIENT)], (F.col("back") == row_major).alias("same_back"))
 
 
 @query("""WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_name AS v FROM part WHERE p_partkey % 7 <> 0),
@@ -83,11 +86,13 @@ def snk7_fingerprint_diff(spark, sf):
     return a.join(b, "key", "full").where(~F.col("stored").eqNullSafe(F.col("wanted")))
 
 
-@query("""SELECT l.node_id, f.frame FROM lat l, range(7) f(frame) WHERE NOT EXISTS (SELECT 1 FROM meas m WHERE m.node_id = l.node_id AND m.frame = f.frame)""")
+@query("""SELECT l.node_id, f.frame FROM lat l, (SELECT DISTINCT frame FROM meas) f WHERE NOT EXISTS (SELECT 1 FROM meas m WHERE m.node_id = l.node_id AND m.frame = f.frame)""")
 def snk7_frames_to_do(spark, sf):
     """Cells of the schedule without a stored result."""
-    every = lattice(spark, sf).select("node_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("frame"))
-    return every.join(measurements(spark, sf), ["node_id", "frame"], "left_anti")
+    m = measurements(spark, sf)
+    frames = m.agg(F.collect_set("frame").alias("frames"))  # one row
+    every = lattice(spark, sf).select("node_id").crossJoin(F.broadcast(frames)).select("node_id", F.explode("frames").alias("frame"))
+    return every.join(m, ["node_id", "frame"], "left_anti")
 
 
 @query(f"""SELECT c_custkey AS sample_id, {R('coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END, d.shared)')} AS winsize FROM customer
@@ -290,13 +295,19 @@ def prj16_coarse_lattice(spark, sf):
     return lattice(spark, sf).where("ix % 3 = 0 and iy % 3 = 0 and iz % 3 = 0").select("node_id", *[F.expr(f"i{a} div 3").alias(f"c{a}") for a in "xyz"])
 
 
-@query(f"""SELECT node_id, frame, CASE status WHEN 0 THEN 'converged' WHEN 1 THEN 'max_iter' END AS name, {R('v')} AS first, {R('u')} AS p10 FROM meas""")
+#: Status codes of a node's solve. Fixed values.
+STATUS = ("converged", "max_iter", "out_of_bounds", "invalid_subset", "singular", "nan", "skipped", "stalled")
+
+
+@query("SELECT node_id, frame, code, CASE code " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(STATUS)) + f""" END AS name, {R('v')} AS first, {R('u')} AS p10, {R('v')} AS p11, {R('w')} AS p12
+FROM (SELECT *, CASE WHEN node_id % 11 = 0 THEN 9 ELSE (status + node_id) % 8 END AS code FROM meas)""")
 def prj17_status_and_pack(spark, sf):
-    """Status names from a small dimension, and the twelve warp parameters packed and sliced."""
-    names = spark.createDataFrame([(0, "converged"), (1, "max_iter")], "status long, name string")
-    m = measurements(spark, sf).join(F.broadcast(names), "status")
+    """Status names from a small dimension (unknown codes have none), and the twelve warp parameters packed and sliced."""
+    names = spark.createDataFrame(list(enumerate(STATUS)), "code long, name string")
+    m = measurements(spark, sf).withColumn("code", F.when(F.col("node_id") % 11 == 0, 9).otherwise((F.col("status") + F.col("node_id")) % 8)).join(F.broadcast(names), "code", "left")
     packed = F.concat(F.array(*["v"] * 9), F.array("u", "v", "w"))
-    return m.select("node_id", "frame", "name", r6(F.get(F.slice(packed, 1, 1), F.lit(0))).alias("first"), r6(F.get(F.slice(packed, 10, 3), F.lit(0))).alias("p10"))
+    tail = F.slice(packed, 10, 3)
+    return m.select("node_id", "frame", "code", "name", r6(F.get(F.slice(packed, 1, 1), F.lit(0))).alias("first"), *[r6(F.get(tail, F.lit(k))).alias(f"p{10 + k}") for k in range(3)])
 
 
 @query("""SELECT a.node_id AS element, count(*) AS corners, bool_and(b.node_valid) AS live FROM lat a JOIN lat b ON b.ix BETWEEN a.ix AND a.ix + 1 AND b.iy BETWEEN a.iy AND a.iy + 1 AND b.iz BETWEEN a.iz AND a.iz + 1
@@ -414,18 +425,32 @@ def join7_trilinear_or_null(spark, sf):
     return p.select("pid").join(_corner_join(p, n, False), "pid", "left").select("pid", F.when(F.col("cover") > 1 - 1e-9, r6("s")).alias("value"))
 
 
-@query(f"""WITH c AS (SELECT ix // 3 AS ix, f FROM lat WHERE ix % 3 = 0 AND iy = 0 AND iz = 0), p AS (SELECT node_id, ix / 3.0 AS g, least(ix // 3, 2) AS i FROM lat)
-SELECT node_id, {R('(1 - (g - i)) * a.f + (g - i) * b.f')} AS value FROM p JOIN c a ON a.ix = p.i JOIN c b ON b.ix = p.i + 1""")
+@query(f"""WITH c AS (SELECT node_id, ix // 3 AS cx, iy // 3 AS cy, iz // 3 AS cz, node_valid, f FROM lat WHERE ix % 3 = 0 AND iy % 3 = 0 AND iz % 3 = 0),
+d AS (SELECT a.node_id, min(((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz)) * 1000000000 + b.node_id) % 1000000000 AS src FROM c a JOIN c b ON b.node_valid AND NOT a.node_valid GROUP BY a.node_id),
+g AS (SELECT c.cx, c.cy, c.cz, coalesce(e.f, c.f) AS f FROM c LEFT JOIN d ON d.node_id = c.node_id LEFT JOIN c e ON e.node_id = d.src),
+s AS (SELECT max(cx) AS mx, max(cy) AS my, max(cz) AS mz FROM g),
+p AS (SELECT node_id, ix / 3.0 AS gx, iy / 3.0 AS gy, iz / 3.0 AS gz, least(ix // 3, mx - 1) AS x0, least(iy // 3, my - 1) AS y0, least(iz // 3, mz - 1) AS z0 FROM lat, s),
+k AS (SELECT node_id, x0 + a AS cx, y0 + b AS cy, z0 + e AS cz, (CASE WHEN a = 1 THEN gx - x0 ELSE 1 - (gx - x0) END) * (CASE WHEN b = 1 THEN gy - y0 ELSE 1 - (gy - y0) END) * (CASE WHEN e = 1 THEN gz - z0 ELSE 1 - (gz - z0) END) AS w FROM p, range(2) t(a), range(2) u(b), range(2) v(e))
+SELECT node_id, {R('sum(w * f)')} AS value FROM k JOIN g USING (cx, cy, cz) GROUP BY node_id""")
 def join8_coarse_to_fine(spark, sf):
-    """A coarse line's values at every node along it: linear between, and extrapolated beyond its ends."""
+    """A coarse lattice's values at every node: trilinear between, continued linearly beyond the last coarse node; coarse
+    nodes without a value take the nearest one's first."""
     n = lattice(spark, sf)
-    c = n.where("ix % 3 = 0 and iy = 0 and iz = 0").select(F.expr("ix div 3").alias("i"), F.col("f").alias("f0"))
-    p = n.select("node_id", (F.col("ix") / 3.0).alias("g"), F.least(F.expr("ix div 3"), F.lit(2)).alias("i")).withColumn("t", F.col("g") - F.col("i"))
-    nxt = c.select((F.col("i") - 1).alias("i"), F.col("f0").alias("f1"))
-    return p.join(F.broadcast(c), "i").join(F.broadcast(nxt), "i").select("node_id", r6((1 - F.col("t")) * F.col("f0") + F.col("t") * F.col("f1")).alias("value"))
-
-
-def _nearest_fill(nodes):
+    c = n.where("ix % 3 = 0 and iy % 3 = 0 and iz % 3 = 0").select("node_id", *[F.expr(f"i{a} div 3").alias(f"i{a}") for a in "xyz"], "node_valid", "f")
+    filled = _nearest_fill(c, exact=True).select("node_id", F.col("value").alias("g"))
+    c = c.join(filled, "node_id", "left").select(*[F.col(f"i{a}").alias(f"c{a}") for a in "xyz"], F.coalesce("g", "f").alias("f"))
+    top = c.agg(*[(F.max(f"c{a}") - 1).alias(f"m{a}") for a in "xyz"])
+    p = n.crossJoin(F.broadcast(top)).select("node_id", *[(F.col(f"i{a}") / 3.0).alias(f"g{a}") for a in "xyz"], *[F.least(F.expr(f"i{a} div 3"), F.col(f"m{a}")).alias(f"{a}0") for a in "xyz"])
+    corners = F.explode(F.array(*[F.struct(*[F.lit(k >> i & 1).alias(a) for i, a in enumerate("xyz")]) for k in range(8)])).alias("d")
+    w = F.lit(1.0)
+    for a in "xyz":
+        t = F.col(f"g{a}") - F.col(f"{a}0")
+        w = w * F.when(F.col(f"d.{a}") == 1, t).otherwise(1 - t)
+    k = p.select("*", corners).select("node_id", *[(F.col(f"{a}0") + F.col(f"d.{a}")).alias(f"c{a}") for a in "xyz"], w.alias("w"))
+    return k.join(c, ["cx", "cy", "cz"]).groupBy("node_id").agg(r6(F.sum(F.col("w") * F.col("f"))).alias("value"))
+
+
+def _nearest_fill(nodes, exact=False):
     """(node_id, src, value) of every node without a value, at any distance: searched in growing shells.
 
     A hit within the reach is final. Small shells are lists of offsets, larger ones cells of half the reach, so that work
@@ -444,24 +469,18 @@ def _nearest_fill(nodes):
             cell = lambda k: [F.floor(F.col(f"{k}{a}") / (reach // 2)).alias(f"c{a}") for a in "xyz"]
             c = todo.select("*", *cell("t")).select("t", "tx", "ty", "tz", *[F.col(f"c{a}") for a in "xyz"], F.explode(stencil.offsets(2, True)).alias("d"))
             hits = c.select("t", "tx", "ty", "tz", *[(F.col(f"c{a}") + F.col(f"d.d{a}")).alias(f"c{a}") for a in "xyz"]).join(have.select("*", *cell("i")), ["cx", "cy", "cz"])
-        best = graphs._write(hits.withColumn("d2", d2).groupBy("t").agg(F.min(F.struct("d2", "node_id", "f")).alias("b")).where(F.col("b.d2") <= reach * reach))
+        best = store.write(hits.withColumn("d2", d2).groupBy("t").agg(F.min(F.struct("d2", "node_id", "f")).alias("b")).where(F.col("b.d2") <= reach * reach))
         done = best if done is None else done.unionByName(best)
-        todo = graphs._write(todo.join(best, "t", "left_anti"))
+        todo = store.write(todo.join(best, "t", "left_anti"))
         if empty or not todo.limit(1).count():
-            return done.select(F.col("t").alias("node_id"), F.col("b.node_id").alias("src"), r6("b.f").alias("value"))
+            return done.select(F.col("t").alias("node_id"), F.col("b.node_id").alias("src"), (F.col("b.f") if exact else r6("b.f")).alias("value"))
         reach *= 2
 
 
-@query(f"""WITH l AS (SELECT *, node_valid AS ok FROM lat WHERE iz < 8), d AS (SELECT a.node_id, b.node_id AS src, b.f, row_number() OVER (PARTITION BY a.node_id ORDER BY (a.ix-b.ix)*(a.ix-b.ix)+(a.iy-b.iy)*(a.iy-b.iy)+(a.iz-b.iz)*(a.iz-b.iz), b.node_id) AS k FROM l a JOIN l b ON b.ok AND NOT a.ok)
-SELECT node_id, src, {R('f')} AS value FROM d WHERE k = 1""")
+@query(f"""WITH d AS (SELECT a.node_id, min(((a.ix-b.ix)*(a.ix-b.ix)+(a.iy-b.iy)*(a.iy-b.iy)+(a.iz-b.iz)*(a.iz-b.iz)) * 1000000000 + b.node_id) % 1000000000 AS src FROM lat a JOIN lat b ON b.node_valid AND NOT a.node_valid GROUP BY a.node_id)
+SELECT d.node_id, src, {R('f')} AS value FROM d JOIN lat ON lat.node_id = src""")
 def join9_nearest_fill(spark, sf):
-    """Missing nodes filled from the nearest node with a value (ties: the smaller id), on the layers that the SQL joins."""
-    return _nearest_fill(lattice(spark, sf).where("iz < 8"))
-
-
-@query()
-def join9_nearest_fill_whole(spark, sf):
-    """The same over every node; its all-pairs SQL would grow with the square of the nodes, so there is none."""
+    """Missing nodes filled from the nearest node with a value (ties: the smaller id)."""
     return _nearest_fill(lattice(spark, sf))
 
 
@@ -500,9 +519,12 @@ def set1_masks(spark, sf):
     return voxels(spark, sf).select("x", "y", "z", (F.col("m") | drawn).alias("joined"), (F.col("m") & ~drawn).alias("cut"), (~F.col("m")).alias("inverse"))
 
 
-@query("SELECT node_id FROM meas WHERE frame IN (0, 1, 2) GROUP BY node_id HAVING count(*) = 3")
+@query("SELECT node_id FROM meas GROUP BY node_id HAVING count(*) = (SELECT count(DISTINCT frame) FROM meas)")
 def set2_common_nodes(spark, sf):
-    return measurements(spark, sf).where(F.col("frame").isin(0, 1, 2)).groupBy("node_id").agg(F.count("*").alias("k")).where("k = 3").select("node_id")
+    """Nodes that every frame has."""
+    m = measurements(spark, sf)
+    frames = m.agg(F.count_distinct("frame").alias("frames"))
+    return m.groupBy("node_id").agg(F.count("*").alias("k")).crossJoin(F.broadcast(frames)).where("k = frames").select("node_id")
 
 
 @query(f"SELECT 'all' AS series, frame, {R('avg(u)')} AS mean FROM meas GROUP BY frame UNION ALL SELECT 'slab', frame, {R('avg(u)')} FROM meas JOIN lat USING (node_id) WHERE {_REGION_SQL['slab']} GROUP BY frame")
@@ -513,11 +535,12 @@ def set3_stacked_series(spark, sf):
     return mean(m, "all").unionByName(mean(m.join(slab, "node_id", "left_semi"), "slab"))
 
 
-@query("""SELECT a.p_partkey AS sample_id, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey""")
+@query("""SELECT p_partkey AS sample_id, min(p_partkey) OVER w AS class_id, count(*) OVER w AS members FROM part WINDOW w AS (PARTITION BY p_brand, p_type, p_size, p_name)""")
 def set4_same_settings(spark, sf):
-    """Samples whose settings have one fingerprint."""
+    """Each sample with the class of those whose settings have its fingerprint: the smallest id and the number of members."""
     p = table(spark, sf, "part").select("p_partkey", F.sha2(F.to_json(F.struct("p_brand", "p_type", "p_size", "p_name")), 256).alias("mark"))
-    return p.alias("a").join(p.alias("b"), (F.col("a.mark") == F.col("b.mark")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("sample_id"), F.col("b.p_partkey").alias("other"))
+    classes = p.groupBy("mark").agg(F.min("p_partkey").alias("class_id"), F.count("*").alias("members"))
+    return p.join(classes, "mark").select(F.col("p_partkey").alias("sample_id"), "class_id", "members")
 
 
 @query("SELECT CAST(f AS BIGINT) AS frame, count(*) AS voxels, count(*) FILTER (m) AS inside FROM vox, range(7) t(f) GROUP BY f")

@@ -17,7 +17,7 @@ SELECT frame + 1 AS frame, field, count(v) AS n, {R('avg(v)')} AS mean, {R('stdd
 def snk3_statistics_table(spark, sf):
     """What the statistics files hold, flattened: one-based frames, a row a field."""
     s = stats.unpivot(measurements(spark, sf).select("frame", "u", "v", "w"), ["frame"], ["u", "v", "w"])
-    a = s.groupBy("frame", "field").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.percentile("value", F.lit(0.5)).alias("median"))
+    a = stats.summarize(s, "value", "frame", "field")
     return a.select((F.col("frame") + 1).alias("frame"), "field", "n", *[r6(c).alias(c) for c in ("mean", "std", "median")])
 
 
@@ -28,20 +28,6 @@ def snk4_json_summary(spark, sf):
     return a.select("frame", F.to_json(F.struct("frame", "nodes", "converged")).alias("summary"))
 
 
-@query(f"""WITH b AS (SELECT x, y, z, v FROM vox WHERE z BETWEEN 4 AND 11), w AS (SELECT * FROM b WHERE x BETWEEN 8 AND 19 AND y BETWEEN 8 AND 19), m AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM w),
-p AS (SELECT h, w.v AS a, b.v AS b FROM w, range(0, 7) t(h), b WHERE b.x = w.x + h AND b.y = w.y AND b.z = w.z)
-SELECT CAST(h AS BIGINT) AS lag, count(*) AS pairs, {R('avg((a - mu) * (b - mu)) / any_value(sd * sd)')} AS rho FROM p, m GROUP BY h""")
-def agg16_sliding_window(spark, sf):
-    """One window's voxels, the one of the SQL, against those around it at each lag: every lag has the same number of pairs."""
-    b = voxels(spark, sf).where("z between 4 and 11").select("x", "y", "z", "v")
-    w = b.where("x between 8 and 19 and y between 8 and 19")
-    m = w.agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
-    right = b.select(F.explode(F.sequence(F.lit(0), F.lit(6))).alias("h"), "x", "y", "z", F.col("v").alias("o")).withColumn("x", F.col("x") - F.col("h"))
-    p = w.join(right, ["x", "y", "z"]).crossJoin(F.broadcast(m))
-    s = p.groupBy("h", "sd").agg(F.count("*").alias("pairs"), F.avg((F.col("v") - F.col("mu")) * (F.col("o") - F.col("mu"))).alias("c"))
-    return s.select(F.col("h").cast("long").alias("lag"), "pairs", r6(F.col("c") / (F.col("sd") * F.col("sd"))).alias("rho"))
-
-
 def _sliding_windows(v):
     """(x0, y0, z0, lag, pairs, rho) of every window of 12 x 12 x 8 voxels on the brick grid whose partners along x, up to
     lag 6, lie in the volume. Sums are taken once a cell of 4 x 4 x 4, and windows add up their cells."""
@@ -60,13 +46,22 @@ def _sliding_windows(v):
     return w.join(m, ["x0", "y0", "z0"]).select("x0", "y0", "z0", F.col("h").cast("long").alias("lag"), F.col("n").alias("pairs"), r6(F.when(F.col("var") > 0, c / F.col("var"))).alias("rho"))
 
 
-@query()
-def agg16_sliding_window_whole(spark, sf):
-    """Windows over the whole volume, each against the voxels around it."""
+@query(f"""WITH p AS (SELECT x, y, z, h, v AS a, x + h AS xr FROM vox, range(0, 7) t(h)), q AS (SELECT p.x, p.y, p.z, h, a, r.v AS b FROM p JOIN vox r ON r.x = p.xr AND r.y = p.y AND r.z = p.z),
+w AS (SELECT (x // 4) * 4 - 4 * i AS x0, (y // 4) * 4 - 4 * j AS y0, (z // 4) * 4 - 4 * k AS z0, h, a, b FROM q, range(3) c(i), range(3) d(j), range(2) e(k)),
+f AS (SELECT w.* FROM w, (SELECT max(z // 4 * 4) AS top FROM vox) WHERE x0 BETWEEN 0 AND 12 AND y0 BETWEEN 0 AND 20 AND z0 >= 0 AND (z0 = 0 OR z0 + 4 <= top)),
+m AS (SELECT x0, y0, z0, avg(a) AS mu, var_pop(a) AS s2 FROM f WHERE h = 0 GROUP BY ALL)
+SELECT x0, y0, z0, CAST(h AS BIGINT) AS lag, count(*) AS pairs, CASE WHEN any_value(s2) > 0 THEN {R('avg((a - mu) * (b - mu)) / any_value(s2)')} END AS rho FROM f JOIN m USING (x0, y0, z0) GROUP BY x0, y0, z0, h""")
+def agg16_sliding_window(spark, sf):
+    """Windows over the whole volume, each against the voxels around it: every lag of a window has the same number of pairs."""
     return _sliding_windows(voxels(spark, sf))
 
 
-@query()
+@query(f"""WITH v AS (SELECT z // 4 AS box, x, y, z, v FROM vox), m AS (SELECT box, avg(v) AS mu FROM v GROUP BY box), d AS (SELECT v.box, x, y, z, v.v - mu AS d FROM v JOIN m USING (box)),
+p AS (SELECT box, h, x + h AS x, y, z, d FROM d, range(0, 9) t(h)), s AS (SELECT p.box, h AS lag, avg(p.d * r.d) AS c FROM p JOIN d r USING (box, x, y, z) GROUP BY p.box, h),
+y AS (SELECT box, lag, c / first_value(c) OVER (PARTITION BY box ORDER BY lag) AS y FROM s), n AS (SELECT y.*, t, lead(y) OVER w AS y1, lag(y) OVER w AS y0 FROM y, (VALUES (0.5), (0.2)) k(t) WINDOW w AS (PARTITION BY box, t ORDER BY lag)),
+c AS (SELECT box, t, min(lag) AS i FROM n WHERE y >= t AND y1 < t GROUP BY box, t)
+SELECT b.box, CAST(b.t AS DOUBLE) AS threshold, {R('CASE WHEN n.y = n.t THEN n.lag ELSE n.lag + (n.y - n.t) / (n.y - n.y1) END')} AS value, CASE WHEN n.lag IS NULL THEN 'not_crossed' WHEN n.y = n.t AND n.y0 = n.t THEN 'plateau' ELSE 'crossed' END AS status
+FROM (SELECT DISTINCT box, t FROM n) b LEFT JOIN c USING (box, t) LEFT JOIN n ON n.box = c.box AND n.t = c.t AND n.lag = c.i""")
 def agg17_texture_of_boxes(spark, sf):
     """Correlation length along x of every layer of bricks: autocorrelation, profile and crossing over a table of boxes."""
     v = voxels(spark, sf).withColumn("box", F.expr("z div 4"))

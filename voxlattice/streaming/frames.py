@@ -21,16 +21,28 @@ def _stored(spark: SparkSession, folder: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+_WAITING = "version long, node_id long, u double, frame long"
+
+
+def waiting(spark: SparkSession, folder: str) -> DataFrame:
+    """(frame, node_id, u) of the pairs that wait for their reference: the version that the pointer table names last."""
+    current = _stored(spark, f"{folder}/pointer", "version long").agg(F.max("version")).first()[0]
+    rows = _stored(spark, f"{folder}/waiting", _WAITING)
+    return rows.where(F.col("version") == (current if current is not None else -1)).select("frame", "node_id", "u")
+
+
 def advance(new: DataFrame, schedule: DataFrame, folder: str) -> None:
     """Add pair displacements (frame, node_id, u) to the stored cumulative ones, parents before children.
 
-    A frame whose reference is neither the root (frame 0) nor stored waits in folder/waiting. Frames stored before are
-    replaced, so a batch may come twice.
+    A frame whose reference is neither the root (frame 0) nor stored waits. Frames that are stored stay as they are, so a
+    batch may come twice. Of repeated (frame, node_id) the new batch's row counts before one that waits, then the larger u.
+    What waits is written as a new version before the pointer moves on to it, so a run that breaks off anywhere loses
+    nothing: the next one starts from the version named last.
     """
     spark = new.sparkSession
-    waiting = _stored(spark, f"{folder}/waiting", "node_id long, u double, frame long")
-    rows = waiting.select("frame", "node_id", "u").unionByName(new.select("frame", "node_id", "u")).dropDuplicates(["frame", "node_id"])
-    rows = rows.join(F.broadcast(schedule), "frame")
+    held = waiting(spark, folder).select("frame", "node_id", "u", F.lit(False).alias("fresh"))
+    rows = held.unionByName(new.select("frame", "node_id", "u", F.lit(True).alias("fresh"))).groupBy("frame", "node_id").agg(F.max(F.struct("fresh", "u")).alias("m"))
+    rows = rows.select("frame", "node_id", F.col("m.u").alias("u")).join(F.broadcast(schedule), "frame")
     depth = schedule.count()
     for _ in range(depth):
         done = _stored(spark, f"{folder}/total", "node_id long, u_total double, frame long")
@@ -42,9 +54,11 @@ def advance(new: DataFrame, schedule: DataFrame, folder: str) -> None:
             break
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frame").parquet(f"{folder}/total")
     done = _stored(spark, f"{folder}/total", "node_id long, u_total double, frame long")
-    left = rows.join(done.select("frame").distinct(), "frame", "left_anti").select("node_id", "u", "frame")
-    left.write.mode("overwrite").partitionBy("frame").parquet(f"{folder}/waiting-new")
-    spark.read.schema("node_id long, u double, frame long").parquet(f"{folder}/waiting-new").write.mode("overwrite").partitionBy("frame").parquet(f"{folder}/waiting")
+    left = rows.join(done.select("frame").distinct(), "frame", "left_anti")
+    version = (_stored(spark, f"{folder}/pointer", "version long").agg(F.max("version")).first()[0] or 0) + 1
+    # an earlier run that broke off may have left part of this version: it is replaced
+    left.select(F.lit(version).cast("long").alias("version"), "node_id", "u", "frame").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{folder}/waiting")
+    spark.range(version, version + 1).select(F.col("id").alias("version")).write.mode("append").parquet(f"{folder}/pointer")
 
 
 def follow(stream: DataFrame, schedule: DataFrame, folder: str, checkpoint: str, seen: Callable[[int], None] | None = None):
