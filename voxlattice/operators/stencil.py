@@ -28,6 +28,21 @@ def erode(body: DataFrame, flag: str, layers: int, *keys: str) -> DataFrame:
     return out.withColumn("core", F.col("_in") == 1).drop("_in")
 
 
+def box_sums(nodes: DataFrame, columns: list[str], reach: int, *keys: str) -> DataFrame:
+    """The columns summed over each node's (2 * reach + 1)-cube, one axis after the other; nodes that aren't there add nothing."""
+    for a in AXES:
+        w = line(a, *keys).rangeBetween(-reach, reach)
+        nodes = nodes.withColumns({c: F.sum(c).over(w) for c in columns})
+    return nodes
+
+
+def weighted(value: str, axis: str, weights: dict[int, float], *keys: str) -> Column:
+    """A weighted sum along an axis; beyond a line's ends the end's value is repeated."""
+    w = line(axis, *keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {-1: F.first(value).over(w), 1: F.last(value).over(w)}
+    return sum((c * (F.col(value) if not k else F.coalesce(at(value, axis, k, *keys), ends[1 if k > 0 else -1])) for k, c in weights.items()), F.lit(0.0))
+
+
 def gradient(nodes: DataFrame, value: str, valid: str, spacing: float, *keys: str) -> DataFrame:
     """Finite differences along each axis: central, one-sided beside a gap, null alone; `complete` if all are central."""
     v = F.when(F.col(valid), F.col(value))

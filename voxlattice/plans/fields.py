@@ -303,13 +303,11 @@ def win6_gradient(spark, sf):
 
 @query(f"""SELECT a.node_id, {R('sum(b.f * (b.ix - a.ix)) / sum((b.ix - a.ix) * (b.ix - a.ix)) / 8')} AS d_ix, {R('sum(b.f * (b.iy - a.iy)) / sum((b.iy - a.iy) * (b.iy - a.iy)) / 8')} AS d_iy FROM lat a JOIN lat b ON b.ix BETWEEN a.ix - 1 AND a.ix + 1 AND b.iy BETWEEN a.iy - 1 AND a.iy + 1 AND b.iz BETWEEN a.iz - 1 AND a.iz + 1 GROUP BY a.node_id HAVING count(*) = 27""")
 def win7_plane_fit(spark, sf):
-    """Plane-fit gradient over complete 3x3x3 windows: sums by target with map-side combine."""
-    n = lattice(spark, sf).select("node_id", "ix", "iy", "iz", "f")
-    c = n.select(F.explode(stencil.offsets(1, centre=True)).alias("d"), "ix", "iy", "iz", "f")
-    c = c.select(*[(F.col(f"i{a}") - F.col(f"d.d{a}")).alias(f"i{a}") for a in "xyz"], "f", "d")
-    fit = lambda a: (F.sum(F.col("f") * F.col(f"d.d{a}")) / F.sum(F.col(f"d.d{a}") * F.col(f"d.d{a}")) / 8)
-    g = c.groupBy("ix", "iy", "iz").agg(F.count("*").alias("k"), fit("x").alias("gx"), fit("y").alias("gy")).where("k = 27")
-    return n.join(g, ["ix", "iy", "iz"]).select("node_id", r6("gx").alias("d_ix"), r6("gy").alias("d_iy"))
+    """Plane-fit gradient over complete 3x3x3 windows from box sums of the field and its moments."""
+    n = lattice(spark, sf).select("node_id", "ix", "iy", "iz", F.lit(1).alias("k"), F.col("f").alias("s"), (F.col("f") * F.col("ix")).alias("sx"), (F.col("f") * F.col("iy")).alias("sy"))
+    g = stencil.box_sums(n, ["k", "s", "sx", "sy"], 1).where("k = 27")
+    fit = lambda a: (F.col(f"s{a}") - F.col("s") * F.col(f"i{a}")) / 18 / 8
+    return g.select("node_id", r6(fit("x")).alias("d_ix"), r6(fit("y")).alias("d_iy"))
 
 
 @query(f"""WITH w(k, g) AS (VALUES (-2, {math.exp(-2.0)!r}), (-1, {math.exp(-0.5)!r}), (0, 1.0), (1, {math.exp(-0.5)!r}), (2, {math.exp(-2.0)!r}))
@@ -338,22 +336,26 @@ def win9_volume_gradient(spark, sf):
     return v.select("z", "y", "x", r6(F.coalesce(g, F.lit(0.0))).alias("gx"))
 
 
-@query(f"""WITH e AS (SELECT (SELECT max(iz) FROM lat) AS mz), o(d) AS (VALUES (-1), (0), (1)), nb AS (SELECT a.node_id, a.f AS own, b.f FROM (SELECT lat.*, mz FROM lat, e) a, o p, o q, o r, lat b WHERE NOT (p.d = 0 AND q.d = 0 AND r.d = 0)
+@query(f"""WITH e AS (SELECT max(iz) AS mz FROM lat), o(d) AS (VALUES (-1), (0), (1)), k AS (SELECT a.node_id, b.node_id AS other, b.f FROM (SELECT lat.*, mz FROM lat, e) a, o p, o q, o r, lat b WHERE NOT (p.d = 0 AND q.d = 0 AND r.d = 0)
  AND b.ix = least(greatest(a.ix + p.d, 0), 9) AND b.iy = least(greatest(a.iy + q.d, 0), 9) AND b.iz = least(greatest(a.iz + r.d, 0), a.mz)),
-m AS (SELECT node_id, any_value(own) AS own, list_sort(list(f)) AS l FROM nb GROUP BY node_id), r AS (SELECT node_id, own, l[14] AS med, list_sort(list_transform(l, lambda t: abs(t - l[14])))[14] AS res FROM m)
-SELECT node_id, {R('abs(own - med) / (res + 0.1)')} AS residual, abs(own - med) / (res + 0.1) > 2 AS outlier FROM r""")
+m AS (SELECT k.node_id, abs(lat.f - list_sort(list(k.f))[14]) AS d FROM k JOIN lat ON lat.node_id = k.node_id GROUP BY k.node_id, lat.f), r AS (SELECT k.node_id, list_sort(list(m.d))[14] AS res FROM k JOIN m ON m.node_id = k.other GROUP BY k.node_id)
+SELECT node_id, {R('d / (res + 0.1)')} AS residual, d / (res + 0.1) > 2 AS outlier FROM m JOIN r USING (node_id)""")
 def win10_median_test(spark, sf):
-    """Universal median test on 26 neighbours, edges repeating the nearest node; the upper middle value."""
+    """Universal median test on 26 neighbours, edges repeating the nearest node; the upper middle value. A node's distance from
+    its neighbours' median is held against the median of its neighbours' own distances."""
     n = lattice(spark, sf).select("node_id", "ix", "iy", "iz", "f")
     top = n.agg(F.max("iz").alias("mz"))
-    c = n.crossJoin(F.broadcast(top)).select("node_id", F.col("f").alias("own"), F.explode(stencil.offsets(1)).alias("d"), "ix", "iy", "iz", "mz")
-    edge = lambda a, hi: F.least(F.greatest(F.col(f"i{a}") + F.col(f"d.d{a}"), F.lit(0)), hi)
-    c = c.select("node_id", "own", edge("x", F.lit(9)).alias("ix"), edge("y", F.lit(9)).alias("iy"), edge("z", F.col("mz")).alias("iz"))
-    m = c.join(n.drop("node_id"), ["ix", "iy", "iz"]).groupBy("node_id").agg(F.first("own").alias("own"), F.collect_list("f").alias("l"))
-    m = m.withColumn("med", F.get(F.array_sort("l"), F.lit(13)))
-    m = m.withColumn("res", F.get(F.array_sort(F.transform("l", lambda t: F.abs(t - F.col("med")))), F.lit(13)))
-    q = F.abs(F.col("own") - F.col("med")) / (F.col("res") + 0.1)
-    return m.select("node_id", r6(q).alias("residual"), (q > 2).alias("outlier"))
+
+    def middle(rows, value):
+        """(node_id, middle value around) of every node: a clamped stencil join."""
+        c = n.crossJoin(F.broadcast(top)).select("node_id", F.explode(stencil.offsets(1)).alias("d"), "ix", "iy", "iz", "mz")
+        edge = lambda a, hi: F.least(F.greatest(F.col(f"i{a}") + F.col(f"d.d{a}"), F.lit(0)), hi)
+        c = c.select("node_id", edge("x", F.lit(9)).alias("ix"), edge("y", F.lit(9)).alias("iy"), edge("z", F.col("mz")).alias("iz"))
+        return c.join(rows.select("ix", "iy", "iz", value), ["ix", "iy", "iz"]).groupBy("node_id").agg(F.get(F.array_sort(F.collect_list(value)), F.lit(13)).alias("m"))
+
+    d = store.write(n.join(middle(n, "f"), "node_id").select("node_id", "ix", "iy", "iz", F.abs(F.col("f") - F.col("m")).alias("d")))
+    q = F.col("d") / (F.col("m") + 0.1)
+    return d.join(middle(d, "d"), "node_id").select("node_id", r6(q).alias("residual"), (q > 2).alias("outlier"))
 
 
 # ---- sorts, limits, samples ----
@@ -545,11 +547,9 @@ def trj3_cumulative(spark, sf):
 
 @query(f"""SELECT a.node_id, {R('26 * a.f - sum(b.f)')} AS au FROM lat a JOIN lat b ON b.ix BETWEEN a.ix - 1 AND a.ix + 1 AND b.iy BETWEEN a.iy - 1 AND a.iy + 1 AND b.iz BETWEEN a.iz - 1 AND a.iz + 1 AND b.node_id <> a.node_id GROUP BY a.node_id, a.f HAVING count(*) = 26""")
 def job8_stencil_product(spark, sf):
-    """A 27-point stencil matrix times a node vector, inside the grid."""
-    n = lattice(spark, sf).select("node_id", "ix", "iy", "iz", "f")
-    c = n.select(F.explode(stencil.offsets(1)).alias("d"), "ix", "iy", "iz", "f").select(*[(F.col(f"i{a}") + F.col(f"d.d{a}")).alias(f"i{a}") for a in "xyz"], "f")
-    s = c.groupBy("ix", "iy", "iz").agg(F.count("*").alias("k"), F.sum("f").alias("s")).where("k = 26")
-    return n.join(s, ["ix", "iy", "iz"]).select("node_id", r6(26 * F.col("f") - F.col("s")).alias("au"))
+    """A 27-point stencil matrix times a node vector, inside the grid, from box sums."""
+    n = lattice(spark, sf).select("node_id", "ix", "iy", "iz", "f", F.lit(1).alias("k"), F.col("f").alias("s"))
+    return stencil.box_sums(n, ["k", "s"], 1).where("k = 27").select("node_id", r6(27 * F.col("f") - F.col("s")).alias("au"))
 
 
 @query(f"""SELECT a.vec_id, {R('corr(a.v, b.v)')} AS zncc FROM vox a JOIN vox b ON b.x = a.x + 1 AND b.y = a.y AND b.z = a.z GROUP BY a.vec_id""")
