@@ -53,7 +53,7 @@ def fit(field: DataFrame, kind: str, *keys: str) -> DataFrame:
 
 def remove(field: DataFrame, motions: DataFrame, kind: str, *keys: str) -> DataFrame:
     """The field without each key's motion: rigid ones by the inverse motion of the moved points, others by subtraction."""
-    j = field.join(F.broadcast(motions.drop("n")), list(keys)) if keys else field.crossJoin(F.broadcast(motions.drop("n")))
+    j = field.join(motions.drop("n"), list(keys)) if keys else field.crossJoin(F.broadcast(motions.drop("n")))
     off = [F.col(a) - F.col(f"c{i}") for i, a in enumerate(_X, 1)]
     if kind == "rigid":
         moved = [o + F.col(b) - F.col(f"t{i}") for i, (o, b) in enumerate(zip(off, _U), 1)]
