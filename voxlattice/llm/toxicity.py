@@ -263,10 +263,10 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
             x = _features(np.repeat(np.arange(len(n)), n), h, n, words_, weights)
             yield pa.RecordBatch.from_pydict({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1]), "c": pa.array(x[:, 2]), "y": batch.column("y")})
 
-    # as many rows as labelled rows were chosen, in an order that their content gives
-    table = read.select("y", "words").mapInArrow(features, "a double, b double, c double, y int").orderBy("a", "b", "c", "y").collect()
+    # no more rows than labelled rows were chosen; sorted, so that sums come out the same whatever the order of rows
+    table = read.select("y", "words").mapInArrow(features, "a double, b double, c double, y int").collect()
     known.destroy()
-    table = np.array([tuple(r) for r in table], float).reshape(-1, 4)
+    table = np.array(sorted(tuple(r) for r in table), float).reshape(-1, 4)
     return words_, weights, _fit(table[:, :3], table[:, 3])
 
 
