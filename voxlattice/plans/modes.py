@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import strain as st
 from ..operators import regions as rg
 from ..operators import stats, stencil, store
+from ..sources import volumes
 from ..sources.views import lattice, measurements, table, voxels
+from ..streaming import frames
 from .fields import _H_SQL, _h, _levels, _LEVELS_SQL, _profiles, _DAYS_SQL
 from .nodes import REGIONS, _REGION_SQL, _corner_join
 from .registry import R, query, r6
@@ -254,3 +260,49 @@ def trj1_line_by_distance(spark, sf):
     p = p.select((F.col("line") * 1000 + F.col("i")).alias("pid"), "line", "i", at("len").alias("distance"), at("ex").alias("gx"), at("ey").alias("gy"), at("ez").alias("gz"))
     g = _corner_join(p, lattice(spark, sf).select("ix", "iy", "iz", "f"), True)
     return p.join(g, "pid", "left").select("line", "i", r6("distance").alias("distance"), F.when(F.col("cover") > 1 - 1e-9, r6("s")).alias("value"))
+
+
+# ---- files, archives and streams, over what Spark derives from the tables ----
+
+
+@query(f"""WITH k AS (SELECT z FROM vox GROUP BY z HAVING count(*) = 1024) SELECT 'stack' AS path, count(*) AS n, {R('avg(v)')} AS mean, {R('stddev_pop(v)')} AS std, {R('min(v)')} AS min, {R('max(v)')} AS max FROM vox WHERE z IN (SELECT z FROM k)""")
+def src3_stack_slices(spark, sf):
+    """Images of the volume's slices stacked into bricks again, and the stack's summary."""
+
+    def images(batches):
+        for b in batches:
+            out = []
+            for cells in b["cells"]:
+                raw = io.BytesIO()
+                np.save(raw, np.array([c["v"] for c in cells], "<f4").reshape(32, 32))
+                out.append(raw.getvalue())
+            yield b[["path", "z"]].assign(content=out)
+
+    s = voxels(spark, sf).groupBy(F.lit("stack").alias("path"), F.col("z").cast("int").alias("z")).agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("cells")).where("size(cells) = 1024")
+    bricks = volumes.stack_slices(s.mapInPandas(images, "path string, z int, content binary"), 4)
+    return volumes.brick_moments(bricks).select("path", "n", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@query(f"""SELECT 'nodes' AS part, CAST(NULL AS BIGINT) AS frame, count(*) AS n, {R('sum(f)')} AS total FROM lat UNION ALL SELECT 'disp', frame, count(*), {R('sum(CASE WHEN frame = 1 THEN u + 1 ELSE u END)')} FROM meas GROUP BY frame""")
+def src8_result_archive(spark, sf):
+    """A run's tables written as an archive, one frame written again, and all of it read back with its manifest."""
+    folder = f"{store.folder(spark)}/result-{uuid.uuid4().hex}"
+    m = measurements(spark, sf)
+    volumes.write_result({"nodes": lattice(spark, sf), "disp": m}, folder)
+    volumes.write_result({"disp": m.where("frame = 1").withColumn("u", F.col("u") + 1)}, folder)
+    back = volumes.read_result(spark, folder, "nodes", "disp")
+    nodes = back["nodes"].agg(F.lit("nodes").alias("part"), F.lit(None).cast("long").alias("frame"), F.count("*").alias("n"), r6(F.sum("f")).alias("total"))
+    disp = back["disp"].groupBy(F.lit("disp").alias("part"), F.col("frame").cast("long").alias("frame")).agg(F.count("*").alias("n"), r6(F.sum("u")).alias("total"))
+    return nodes.unionByName(disp)
+
+
+@query(f"""WITH c AS (SELECT frame, node_id, count(*) OVER w AS k, sum(u) OVER w AS total FROM meas WHERE frame > 0 WINDOW w AS (PARTITION BY node_id ORDER BY frame)) SELECT frame, count(*) AS nodes, {R('sum(total)')} AS total FROM c WHERE k = frame GROUP BY frame""")
+def str1_frames_follow(spark, sf):
+    """Pairs of frames arriving as a stream of files: each waits for its reference, then adds to what that one has reached."""
+    top = f"{store.folder(spark)}/stream-{uuid.uuid4().hex}"
+    pairs = measurements(spark, sf).where("frame > 0").select("frame", "node_id", "u")
+    pairs.write.parquet(f"{top}/in")
+    schedule = pairs.select("frame").distinct().select("frame", (F.col("frame") - 1).alias("ref"))
+    frames.follow(spark.readStream.schema(pairs.schema).parquet(f"{top}/in"), schedule, f"{top}/out", f"{top}/progress").awaitTermination()
+    total = spark.read.schema("node_id long, u_total double, frame long").parquet(f"{top}/out/total")
+    return total.groupBy("frame").agg(F.count("*").alias("nodes"), r6(F.sum("u_total")).alias("total"))
