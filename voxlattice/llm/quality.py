@@ -83,7 +83,10 @@ def failed(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = 50, most_repeat: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, counts, base_failed, kept, failed_rules) of every row; null and empty texts have no words and fail."""
+    """(doc_id, counts, base_failed, kept, failed_rules) of every row; null and empty texts have no words and fail.
+
+    To filter by the verdict use keep(): a filter on these columns would be pushed below the arrays and repeat them.
+    """
     rows = measures(docs.select(F.col(doc_id), F.col(text)), text)
     rows = rows.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))).withColumn("failed_rules", failed(rules))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
