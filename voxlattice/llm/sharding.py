@@ -58,7 +58,7 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     classes = groups.groupBy("bytes").agg(F.count("*").alias("n")).collect()
     given = lpt([(r["bytes"], r["n"]) for r in classes], shards)
     ends = [(n, [sum(c[: k + 1]) for k in range(shards)]) for n, c in given.items()]
-    quota = C.small(spark.createDataFrame(ends, "bytes long, ends array<long>"), len(ends))
+    quota = C.small(spark.createDataFrame(ends, "bytes long, ends array<long>"), 4 * len(ends))  # a row is as long as four narrow ones
     # groups of one size are alike: number them, and let the numbers fall into the shards' shares
     dealt = groups.groupBy("bytes", "deal").agg(F.count("*").alias("n"))
     before = dealt.select("bytes", "deal", (F.sum("n").over(Window.partitionBy("bytes").orderBy("deal")) - F.col("n")).alias("before"))
