@@ -93,10 +93,22 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted({c for c in clauses if not any(o < c for o in clauses)}, key=sorted)
 
 
+#: Letters of running text from the commonest to the rarest; digits and signs are rarer still. Fixed values.
+_COMMON = "etaoinsrhldcumfpgwybvkxjqz"
+#: Trigrams looked up of each clause: its rarest ones. Two of a word's trigrams rarely stand apart from the word.
+LOOKED_UP = 2
+
+
+def _rarest(clause: frozenset[str]) -> frozenset[str]:
+    """The clause's trigrams that running text holds least; any text with all of the clause holds these."""
+    rare = lambda t: -sum(_COMMON.find(c) if c in _COMMON else len(_COMMON) for c in t)
+    return frozenset(sorted(clause, key=lambda t: (rare(t), t))[:LOOKED_UP])
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], doc_id: str, text: str) -> DataFrame:
     """(doc, h, rules array<int>): texts that may match, from the intersected postings and, for rules without trigrams, a scan."""
     queries = {k: trigram_query(r.pattern) for k, r in enumerate(rules)}
-    clauses = [(k, c) for k, q in queries.items() for c in q]
+    clauses = sorted({(k, _rarest(c)) for k, q in queries.items() for c in q}, key=lambda x: (x[0], sorted(x[1])))
     vocabulary = sorted({t for _, c in clauses for t in c})
     rows = docs.select(F.col(doc_id).alias("doc"), C.text_key(text).alias("h"), F.col(text).alias("body"), F.lower(F.col(text)).alias("low"))
     scans = [F.when(F.col("body").rlike(rules[k].pattern), F.lit(k)) for k, q in queries.items() if not q]
