@@ -1,7 +1,7 @@
 """DuckDB SQL of the text queries where SQL can express them.
 
 None for sharding, toxicity, packing and the pipeline (heap, learned model, local search), nor for license scans, whose
-score rests on the index; tests compare those with brute force.
+score rests on the index, nor for token counts; tests compare those with brute force.
 """
 
 from __future__ import annotations
@@ -91,6 +91,38 @@ _WARC = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p JOIN m USING (h)"""
 
+_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_PLAIN}') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+f AS (SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT)
+ + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > least, false) AS INT) AS mask FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+v AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(name, bit)),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM v a, v b, v c, v d, v e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, CAST(i AS INT) AS step, bits[i] AS bit, CAST(coalesce(list_sum(bits[1 : i - 1]), 0) AS INT) AS earlier FROM o, range(1, 6) r(i)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & bit > 0), 0) AS removed,
+ coalesce(sum(n) FILTER (mask & earlier > 0 AND mask & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+ coalesce(sum(good) FILTER (mask & earlier = 0 AND mask & bit > 0), 0) AS good_lost, coalesce(sum(bad) FILTER (mask & earlier = 0 AND mask & bit > 0), 0) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+ CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
+# CRC-32 of a conversation's decimal id: each byte, then eight shifts
+_CRC = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(unicode(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, 3988292384 * (s & 1)) END))"
+_TRIE = f"""
+WITH o AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tok, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, tok, b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, tok) - 1 AS nr, count(*) OVER (PARTITION BY c) AS n FROM o),
+z AS (SELECT c, c - c % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT c FROM t) q),
+k AS (SELECT z.*, least(h, coalesce(n, 0)) AS taken FROM z LEFT JOIN (SELECT DISTINCT c AS base, n FROM t) q USING (base)),
+s AS (SELECT k.c, nr, tok, b FROM k JOIN t ON t.c = base AND nr < h UNION ALL SELECT k.c, nr - h + taken, tok, b FROM k JOIN t ON t.c = k.c AND nr >= h),
+q AS (SELECT k.c, coalesce(toks, []) AS toks, coalesce(bs, []) AS bs FROM k LEFT JOIN (SELECT c, list(tok ORDER BY nr) AS toks, list(b ORDER BY nr) AS bs FROM s GROUP BY c) x USING (c)),
+p AS (SELECT c, d, array_to_string(toks[1 : d], '') AS key, coalesce(bs[d], 0) AS b, d = len(toks) AS ends FROM q, LATERAL unnest(range(0, len(toks) + 1)) u(d)),
+n AS (SELECT key, d AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends) AS ended FROM p GROUP BY key, d),
+x AS (SELECT substr(key, 1, 64 * (depth - 1)) AS up, count(*) AS kids FROM n WHERE depth > 0 GROUP BY up),
+m AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN x ON up = key),
+a AS (SELECT substr(key, 1, 64 * i) AS top, sum(CAST(kids = 0 AS INT)) AS leaves, sum((n_convs - 1) * b) AS saved FROM m, LATERAL unnest(range(0, depth + 1)) u(i) GROUP BY top)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, y.conv_id AS parent_conv_id, m.n_convs, m.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ended, '')) AS ends_sha256
+FROM m JOIN a ON top = m.key LEFT JOIN n y ON m.depth > 0 AND y.key = substr(m.key, 1, 64 * (m.depth - 1))"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _secrets(),
     "op3_decontamination": _DECONTAMINATION,
@@ -98,4 +130,6 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": _quality(),
     "op7_jaccard_join": _JACCARD,
     "op9_warc_revisits": _WARC,
+    "op11_filter_audit": _AUDIT,
+    "op13_prefix_trie": _TRIE,
 }

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline: whole tables through the operators, brought to the contracts' columns."""
+"""The queries op1 to op13 and the pipeline: whole tables through the operators, brought to the contracts' columns."""
 
 from __future__ import annotations
 
@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, packing, quality, secrets, sharding, substring, toxicity, warc
+from . import audit, decontam, jaccard, licenses, packing, quality, secrets, sharding, substring, tokens, toxicity, trie, warc
 from .common import read
 
 CAPACITY = 2048
+TOKEN_LIMIT = 4096
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), join(base).alias("base_labels"), join(F.array_union(base, more)).alias("labels"), score.alias("score"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuild(trie.turns_in_order(read(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,5 +95,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_lpt_sharding, op3_decontamination, op4_substring_dedup, op5_toxicity, op6_quality_rules, op7_jaccard_join, op8_best_fit_packing, op9_warc_revisits, op10_license_scan, pipeline)
+    f.__name__: f for f in (op1_secret_scan, op2_lpt_sharding, op3_decontamination, op4_substring_dedup, op5_toxicity, op6_quality_rules, op7_jaccard_join, op8_best_fit_packing, op9_warc_revisits, op10_license_scan, op11_filter_audit, op12_token_counts, op13_prefix_trie, pipeline)
 }
