@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import fields, jobs, modes, nodes, reports, variants  # noqa: F401  (they register their queries)
+from .plans import cuts, fields, jobs, modes, nodes, reports, variants  # noqa: F401  (they register their queries)
 from .plans.registry import ORACLES, QUERIES  # noqa: F401
