@@ -136,6 +136,49 @@ def test_pages_of_boilerplate_do_not_meet_each_other(spark):
     assert probes.join(targets, ["tok", "band"]).count() == 0  # equal sizes with one shingle each before the shared one
 
 
+def form_pages(n, seed=1):
+    """Pages of one form: 100 words, eight fields of forty values each; hardly any link, every shingle frequent."""
+    import random
+
+    rng = random.Random(seed)
+    for i in range(n):
+        words = [f"t{k}" for k in range(100)]
+        for f in range(8):
+            words[6 + 12 * f] = f"f{f}v{rng.randrange(40)}"
+        yield i, " ".join(words)
+
+
+def test_pages_of_one_form_give_few_candidates(spark, monkeypatch):
+    made, second = [], jaccard._second
+    monkeypatch.setattr(jaccard, "_second", lambda *a: (made.append(second(*a).count()), second(*a))[1])
+    for n in (500, 2000):
+        rows = list(form_pages(n))
+        rows += [(n + i, t.replace("t50", f"x{i}")) for i, (_, t) in enumerate(rows[:40])]  # one word in a hundred changed: linked
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(got[n + i] == got[i] for i in range(40)) and len(set(got.values())) > 0.95 * n
+    assert made[1] < 400  # equal fields by chance, not pairs of pages
+
+
+def test_parity_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        base = rng.integers(0, 1 << 63, 300, dtype=np.int64).astype(np.uint64)
+        a, b = np.unique(base[: rng.integers(1, 300)]), np.unique(base[rng.integers(0, 200) :])
+        apart = sum(int(x).bit_count() for x in (jaccard._parity(a) ^ jaccard._parity(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_tables_are_discarded_only_where_they_were_written(spark, tmp_path):
+    kept = C.materialise(spark.range(5), "t")
+    folder = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder)
+    C.discard(kept)
+    assert not os.path.isdir(folder)
+    spark.range(3).write.parquet(f"file://{tmp_path}/x")
+    with pytest.raises(ValueError):
+        C.discard(spark.read.parquet(f"file://{tmp_path}/x"))
+
+
 def test_bands_lose_no_link(spark):
     sizes = spark.createDataFrame([(1, n, 0, n) for n in range(1, 3000, 7)], "tok long, cid long, pos int, n long")
     for num in (80, 90):

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that nothing reads any more; those in a store that pyarrow can't open stay."""
+    for df in tables:
+        top = shared_dir(df.sparkSession)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            plain = folder if "://" in folder else folder.replace(":/", ":///", 1)
+            if not plain.startswith(top if "://" in top else f"file://{top}"):
+                raise ValueError(f"{folder} was not written here")
+            try:
+                system, place = fs.FileSystem.from_uri(plain)
+                system.delete_dir(place)
+            except (pa.ArrowInvalid, OSError):
+                continue
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only if the counted rows are within the bound; otherwise leave the join to shuffle."""
     n = df.count() if rows is None else rows
