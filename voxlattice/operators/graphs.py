@@ -19,7 +19,14 @@ def grid_components(nodes: DataFrame, ident: str = "node_id") -> DataFrame:
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a, b, c in sides])).alias("d")
     shifted = keys.select(F.col("node").alias("other"), near, *AXES).select("other", *[(F.col(a) + F.col(f"d.{a[1]}")).alias(a) for a in AXES])
     edges = write(keys.join(shifted, list(AXES)).select("node", "other"))
-    labels = write(keys.select("node", F.col("node").alias("component")))
+    return least_labels(edges, write(keys.select("node", F.col("node").alias("component"))))
+
+
+def least_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, component): the least label that each node reaches over edges (node, other), given both ways.
+
+    Each round takes the least label among a node and its neighbours and then that label's own, and is written.
+    """
     while True:
         least = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("m"))
         step = labels.join(least, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("component"))

@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import reach, store
+from ..operators import bodies, reach, store
 from ..operators import stencil as sl
 from ..sources import volume_source
-from ..sources.views import lattice
+from ..sources.views import lattice, voxels
 from .jobs import bricks
 from .registry import R, query, r6
 
@@ -112,3 +112,70 @@ def win10_median_cut(spark, sf):
     """The median test with the neighbours on a node's own side of the cuts."""
     n = _cut_lattice(spark, sf).withColumn("g", F.when(F.col("node_valid"), F.col("f")))
     return reach.fluctuation(n, "g").select("node_id", r6("fluctuation").alias("fluctuation"), (F.col("fluctuation") > 2).alias("outlier"))
+
+
+# ---- bodies, holes and elements across gaps ----
+
+
+def _mask(spark, sf, level: float | None):
+    """Bricks of the voxels above a level (none: the mean)."""
+    b = bricks(spark, sf)
+    mean = voxels(spark, sf).agg(F.avg("v").alias("level")) if level is None else None
+    b = b.crossJoin(F.broadcast(mean)) if level is None else b.withColumn("level", F.lit(level))
+    return b.select("bz", "by", "bx", F.transform("data", lambda v: (v > F.col("level")).cast("double")).alias("mask"))
+
+
+def _counts(mask):
+    n = lambda c: F.size(F.filter("mask", lambda x: x == c)).cast("long")
+    return mask.select("bz", "by", "bx", n(True).alias("voxels"))
+
+
+_SIDES = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) n(a, b, c)"
+
+
+def _outside(sides: str) -> str:
+    """Voxels without material that reach the border."""
+    return f"""p AS (SELECT x, y, z, v > (SELECT avg(v) FROM vox) AS m FROM vox), o AS (SELECT x, y, z FROM p WHERE NOT m AND EXISTS (SELECT 1 FROM {sides} WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.x = p.x + a AND q.y = p.y + b AND q.z = p.z + c))
+ UNION SELECT p.x, p.y, p.z FROM o JOIN {sides} ON true JOIN p ON p.x = o.x + a AND p.y = o.y + b AND p.z = o.z + c AND NOT p.m)"""
+
+
+#: Components of voxels k (rank, x, y, z) with edges e (f, g): floods from a lattice of seeds, then what they leave by itself.
+COMPONENTS = """i AS (SELECT rank AS seed, rank FROM k WHERE x % 8 = 0 AND y % 8 = 0 AND z % 8 = 0 UNION SELECT seed, g FROM i JOIN e ON f = rank), j AS (SELECT rank, min(seed) AS lab FROM i GROUP BY rank),
+u AS (SELECT rank AS seed, rank FROM k WHERE rank NOT IN (SELECT rank FROM j) UNION SELECT seed, g FROM u JOIN e ON f = rank), l AS (SELECT rank, lab FROM j UNION ALL SELECT rank, min(seed) FROM u GROUP BY rank)"""
+
+
+@query(f"""WITH RECURSIVE {_outside(_SIDES)}, k AS (SELECT (z * 32 + y) * 32 + x AS id, ((z // 4 * 8 + y // 4) * 8 + x // 4) * 64 + (z % 4 * 4 + y % 4) * 4 + x % 4 AS rank, x, y, z FROM p WHERE m OR NOT EXISTS (SELECT 1 FROM o WHERE o.x = p.x AND o.y = p.y AND o.z = p.z)),
+e AS (SELECT s.rank AS f, t.rank AS g FROM k s JOIN {_SIDES} ON true JOIN k t ON t.x = s.x + a AND t.y = s.y + b AND t.z = s.z + c),
+{COMPONENTS},
+z AS (SELECT lab FROM l GROUP BY lab ORDER BY count(*) DESC, min(rank) LIMIT 1)
+SELECT CAST(k.z // 4 AS BIGINT) AS bz, CAST(k.y // 4 AS BIGINT) AS by, CAST(k.x // 4 AS BIGINT) AS bx, count(*) FILTER (l.lab = (SELECT lab FROM z)) AS voxels FROM k JOIN l ON l.rank = k.rank GROUP BY ALL""")
+def agg21_auto_mask(spark, sf):
+    """Voxels above the mean, their holes filled, the largest body kept; counted by brick."""
+    return _counts(bodies.clean_mask(_mask(spark, sf, None), 4))
+
+
+@query(f"""WITH RECURSIVE {_outside(_SIDES.replace(', (0, 0, 1), (0, 0, -1)', ''))} SELECT CAST(p.z // 4 AS BIGINT) AS bz, CAST(p.y // 4 AS BIGINT) AS by, CAST(p.x // 4 AS BIGINT) AS bx, count(*) FILTER (m OR o.x IS NULL) AS voxels FROM p LEFT JOIN o ON o.x = p.x AND o.y = p.y AND o.z = p.z GROUP BY ALL""")
+def prj12_slice_fill(spark, sf):
+    """Holes filled slice by slice; counted by brick."""
+    return _counts(bodies.clean_mask(_mask(spark, sf, None), 4, keep_largest=False, axes=(1, 2)))
+
+
+_LEVEL = -0.06
+_ELEMENTS = f"""p AS (SELECT x, y, z, v > {_LEVEL} AS m FROM vox), c AS (SELECT x // 4 AS ix, y // 4 AS iy, z // 4 AS iz FROM vox a WHERE x % 4 = 0 AND y % 4 = 0 AND z % 4 = 0),
+el AS (SELECT ix, iy, iz FROM c JOIN p ON p.x BETWEEN 4 * ix AND 4 * ix + 4 AND p.y BETWEEN 4 * iy AND 4 * iy + 4 AND p.z BETWEEN 4 * iz AND 4 * iz + 4 GROUP BY ALL HAVING count(*) = 125),
+fl AS (SELECT ix, iy, iz, 4 * ix AS x, 4 * iy AS y, 4 * iz AS z FROM el JOIN p ON p.x = 4 * ix AND p.y = 4 * iy AND p.z = 4 * iz AND p.m
+ UNION SELECT ix, iy, iz, p.x, p.y, p.z FROM fl JOIN {_SIDES} ON true JOIN p ON p.x = fl.x + a AND p.y = fl.y + b AND p.z = fl.z + c AND p.m WHERE p.x BETWEEN 4 * ix AND 4 * ix + 4 AND p.y BETWEEN 4 * iy AND 4 * iy + 4 AND p.z BETWEEN 4 * iz AND 4 * iz + 4),
+br AS (SELECT el.ix, el.iy, el.iz, count(fl.x) FILTER (fl.x % 4 = 0 AND fl.y % 4 = 0 AND fl.z % 4 = 0) < 8 AS bridging FROM el LEFT JOIN fl ON fl.ix = el.ix AND fl.iy = el.iy AND fl.iz = el.iz GROUP BY el.ix, el.iy, el.iz)"""
+
+
+@query(f"WITH RECURSIVE {_ELEMENTS} SELECT iz, iy, ix, bridging FROM br")
+def join11_bridging_elements(spark, sf):
+    """Elements of a node grid whose corners the material in their box doesn't join."""
+    return bodies.bridging(_mask(spark, sf, _LEVEL), 4, 4)
+
+
+@query(f"""WITH RECURSIVE {_ELEMENTS}, g AS (SELECT 'iz' AS axis, iz, iy + u AS iy, ix + v AS ix, bridging FROM br, range(2) q(u), range(2) w(v) UNION ALL SELECT 'iy', iz + u, iy, ix + v, bridging FROM br, range(2) q(u), range(2) w(v) UNION ALL SELECT 'ix', iz + u, iy + v, ix, bridging FROM br, range(2) q(u), range(2) w(v))
+SELECT iz, iy, ix, axis, bool_and(bridging) AS cut FROM g GROUP BY iz, iy, ix, axis""")
+def join11_mask_cut_edges(spark, sf):
+    """Edges of the node grid that the mask cuts: all elements that hold them bridge a gap."""
+    return bodies.cut_edges(bodies.bridging(_mask(spark, sf, _LEVEL), 4, 4))

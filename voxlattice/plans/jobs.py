@@ -50,7 +50,10 @@ def agg14_autocorrelation(spark, sf):
     return s.crossJoin(F.broadcast(zero)).select("hz", "hy", "hx", "pairs", r6(F.col("s") / F.col("pairs") / F.col("var")).alias("rho"))
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT x, y, z, (z * 32 + y) * 32 + x AS rank FROM vox WHERE v > (SELECT avg(v) FROM vox)), e AS (SELECT s.rank AS f, t.rank AS g FROM k s JOIN (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) n(a, b, c) ON true JOIN k t ON t.x = s.x + a AND t.y = s.y + b AND t.z = s.z + c),
+i AS (SELECT rank AS seed, rank FROM k WHERE x % 8 = 0 AND y % 8 = 0 AND z % 8 = 0 UNION SELECT seed, g FROM i JOIN e ON f = rank), j AS (SELECT rank, min(seed) AS lab FROM i GROUP BY rank),
+u AS (SELECT rank AS seed, rank FROM k WHERE rank NOT IN (SELECT rank FROM j) UNION SELECT seed, g FROM u JOIN e ON f = rank), l AS (SELECT rank, lab FROM j UNION ALL SELECT rank, min(seed) FROM u GROUP BY rank), q AS (SELECT min(rank) AS component, count(*) AS size FROM l GROUP BY lab)
+SELECT component, size, component = (SELECT component FROM q ORDER BY size DESC, component LIMIT 1) AS largest FROM q""")
 def agg21_largest_body(spark, sf):
     """Voxels above the mean: the connected bodies and which is the largest."""
     v = voxels(spark, sf)
