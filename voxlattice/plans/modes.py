@@ -306,3 +306,26 @@ def str1_frames_follow(spark, sf):
     frames.follow(spark.readStream.schema(pairs.schema).parquet(f"{top}/in"), schedule, f"{top}/out", f"{top}/progress").awaitTermination()
     total = spark.read.schema("node_id long, u_total double, frame long").parquet(f"{top}/out/total")
     return total.groupBy("frame").agg(F.count("*").alias("nodes"), r6(F.sum("u_total")).alias("total"))
+
+
+@query(f"""WITH c AS (SELECT frame, node_id, count(*) OVER w AS k, sum(u) OVER w AS total FROM meas WHERE frame > 0 WINDOW w AS (PARTITION BY node_id ORDER BY frame)), t AS (SELECT frame, count(*) AS have, sum(total) AS total FROM c WHERE k = frame GROUP BY frame), e AS (SELECT frame, count(*) AS nodes FROM meas WHERE frame > 0 GROUP BY frame)
+SELECT frame, coalesce(have, 0) AS nodes, {R('total')} AS total, coalesce(have, 0) >= nodes AS complete FROM e LEFT JOIN t USING (frame)""")
+def str2_node_state(spark, sf):
+    """The same pairs with rows of every frame scattered over batches: totals from state kept by node, and which frames are complete."""
+    top = f"{store.folder(spark)}/state-{uuid.uuid4().hex}"
+    pairs = measurements(spark, sf).where("frame > 0").select("frame", "node_id", "u")
+    pairs.repartition(3).write.parquet(f"{top}/in")  # round robin: each file has rows of every frame
+    schedule = pairs.select("frame").distinct().select("frame", (F.col("frame") - 1).alias("ref"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+        frames.totals(stream, schedule).writeStream.format("parquet").option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start(f"{top}/out").awaitTermination()
+    finally:
+        if before:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        else:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    total = spark.read.schema("node_id long, frame long, u_total double").parquet(f"{top}/out")
+    sums = total.groupBy("frame").agg(r6(F.sum("u_total")).alias("total"))
+    return frames.complete(total, pairs.groupBy("frame").agg(F.count("*").alias("nodes"))).join(sums, "frame", "left").select("frame", "nodes", "total", "complete")

@@ -1,15 +1,19 @@
-"""Frames as they arrive: batches run the batch operators, a frame waits for its parent, finished frames are kept.
+"""Frames as they arrive, in any number of batches and any order: a pair waits until its reference has a total.
 
-State is a table partitioned by frame, not a state store, so that a stream and a batch share code and a restart goes on
-where the last finished frame ended.
+Two forms with the same results. `advance` keeps totals and waiting pairs as tables partitioned by frame, so that a stream
+and a batch share code. `totals` keeps them as keyed state, one key a node: its chain of frames never needs another node's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators import store
 
 
 def _stored(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -34,33 +38,88 @@ def waiting(spark: SparkSession, folder: str) -> DataFrame:
 def advance(new: DataFrame, schedule: DataFrame, folder: str) -> None:
     """Add pair displacements (frame, node_id, u) to the stored cumulative ones, parents before children.
 
-    A frame whose reference is neither the root (frame 0) nor stored waits. Frames that are stored stay as they are, so a
-    batch may come twice. Of repeated (frame, node_id) the new batch's row counts before one that waits, then the larger u.
-    What waits is written as a new version before the pointer moves on to it, so a run that breaks off anywhere loses
-    nothing: the next one starts from the version named last.
+    A pair whose reference is neither the root (frame 0) nor stored for its node waits, whatever other nodes of the frame
+    have: rows of one frame may come in many batches, late or early. A stored (frame, node_id) stays as it is, so a batch
+    may come twice. Of repeated pairs the new batch's row counts before one that waits, then the larger u. Frames that
+    the schedule doesn't name wait as well. What waits is written as a new version before the pointer moves on to it, so
+    a run that breaks off anywhere loses nothing: the next one starts from the version named last.
     """
     spark = new.sparkSession
     held = waiting(spark, folder).select("frame", "node_id", "u", F.lit(False).alias("fresh"))
     rows = held.unionByName(new.select("frame", "node_id", "u", F.lit(True).alias("fresh"))).groupBy("frame", "node_id").agg(F.max(F.struct("fresh", "u")).alias("m"))
-    rows = rows.select("frame", "node_id", F.col("m.u").alias("u")).join(F.broadcast(schedule), "frame")
-    depth = schedule.count()
-    for _ in range(depth):
+    # the schedule has a row a frame
+    rows = rows.select("frame", "node_id", F.col("m.u").alias("u")).join(F.broadcast(schedule), "frame", "left")
+    key = ["frame", "node_id"]
+    for _ in range(schedule.count()):
         done = _stored(spark, f"{folder}/total", "node_id long, u_total double, frame long")
         have = done.select(F.col("frame").alias("ref"), "node_id", F.col("u_total").alias("before"))
-        ready = rows.where("ref = 0").select("frame", "node_id", F.col("u").alias("u_total")).unionByName(rows.join(have, ["ref", "node_id"]).select("frame", "node_id", (F.col("u") + F.col("before")).alias("u_total")))
-        fresh = ready.join(done.select("frame").distinct(), "frame", "left_anti")
-        frames = [r[0] for r in fresh.select("frame").distinct().collect()]  # frame numbers only
-        if not frames:
+        ready = rows.where("ref = 0").select(*key, F.col("u").alias("u_total")).unionByName(rows.join(have, ["ref", "node_id"]).select(*key, (F.col("u") + F.col("before")).alias("u_total")))
+        fresh = store.write(ready.join(done.select(*key), key, "left_anti"))
+        if not fresh.limit(1).count():
             break
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frame").parquet(f"{folder}/total")
+        # a run that breaks off after this write finds these rows stored and leaves them
+        fresh.write.mode("append").partitionBy("frame").parquet(f"{folder}/total")
     done = _stored(spark, f"{folder}/total", "node_id long, u_total double, frame long")
-    left = rows.join(done.select("frame").distinct(), "frame", "left_anti")
+    left = rows.join(done.select(*key), key, "left_anti")
     version = (_stored(spark, f"{folder}/pointer", "version long").agg(F.max("version")).first()[0] or 0) + 1
     # an earlier run that broke off may have left part of this version: it is replaced
     left.select(F.lit(version).cast("long").alias("version"), "node_id", "u", "frame").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{folder}/waiting")
     spark.range(version, version + 1).select(F.col("id").alias("version")).write.mode("append").parquet(f"{folder}/pointer")
 
 
+def complete(total: DataFrame, expected: DataFrame) -> DataFrame:
+    """(frame, nodes, complete): whether a frame has a total for every one of its `expected` (frame, nodes)."""
+    have = total.groupBy("frame").agg(F.count("*").alias("have"))
+    return expected.join(have, "frame", "left").select("frame", F.coalesce("have", F.lit(0)).alias("nodes"), (F.coalesce("have", F.lit(0)) >= F.col("nodes")).alias("complete"))
+
+
+class Chain(StatefulProcessor):
+    """Keyed state of one node: frame -> total, and frame -> displacement of the pairs that wait for their reference."""
+
+    def __init__(self, reference: dict[int, int]):
+        self.reference = reference
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getMapState("total", "frame long", "u double")
+        self.waits = handle.getMapState("waits", "frame long", "u double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, float] = {}
+        for frame in rows:
+            for f, u in zip(frame["frame"], frame["u"]):
+                new[int(f)] = max(float(u), new.get(int(f), float("-inf")))
+        for f, u in new.items():
+            if not self.total.containsKey((f,)):
+                self.waits.updateValue((f,), (u,))
+        held = {k[0]: v[0] for k, v in self.waits.iterator()}  # frames of one node that wait
+        out, moved = [], True
+        while moved:
+            moved = False
+            for f in sorted(held):
+                ref = self.reference.get(f)
+                if ref == 0 or ref is not None and self.total.containsKey((ref,)):
+                    total = held.pop(f) + (self.total.getValue((ref,))[0] if ref else 0.0)
+                    self.total.updateValue((f,), (total,))
+                    self.waits.removeKey((f,))
+                    out.append((key[0], f, total))
+                    moved = True
+        if out:
+            yield pd.DataFrame(out, columns=["node_id", "frame", "u_total"])
+
+    def close(self) -> None:
+        pass
+
+
+def totals(stream: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(node_id, frame, u_total) of a stream of pairs (frame, node_id, u), each once its reference is known.
+
+    State is kept by node, so a frame's rows may come in any batches and a restart goes on from the query's checkpoint.
+    Needs the RocksDB state store. A total that is out stays; of repeated pairs that wait, the last batch's counts.
+    """
+    reference = {r["frame"]: r["ref"] for r in schedule.select("frame", "ref").collect()}  # a row a frame
+    return stream.select("frame", "node_id", "u").groupBy("node_id").transformWithStateInPandas(Chain(reference), "node_id long, frame long, u_total double", "Append", "None")
+
+
 def follow(stream: DataFrame, schedule: DataFrame, folder: str, checkpoint: str, seen: Callable[[int], None] | None = None):
     """Start a query over a stream of pair displacements; each batch advances the stored frames (progress through `seen`)."""
 
