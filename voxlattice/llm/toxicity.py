@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character language model is counted over all documents. Words with digits or signs for letters, repeated letters or
-spaced letters become lattices of what they may stand for; Viterbi finds the likeliest reading. The restored words are
-scored with weights learned from labelled rows.
+spaced letters become lattices of what they may stand for; Viterbi finds the likeliest reading. The restored words and
+their beginnings, which many rare forms of one stem share, are scored with weights learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,11 @@ from . import common as C
 
 #: Labelled rows that the classifier is fitted on, at most; they are the ones with the least hashes of their ids.
 SAMPLE = 20_000
+#: Characters of a longer word's beginnings that count as features beside the word.
+STEMS = (4, 6)
+FEATURES = 4
+#: Share of the lexicon that may be there by chance, and the ratio beyond which the test looks no closer.
+FALSE_SHARE, SURE = 0.1, 200.0
 ORDER, SYMBOLS = 4, 28  # a-z are 1-26, word ends 0, other letters 27
 #: What a sign may stand for, and how likely. Fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t"}
@@ -120,8 +125,29 @@ def decode(token: str, model: np.ndarray | list[float]) -> list[str]:
     return "".join(reversed(pieces)).split()
 
 
+def _stems(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of the beginnings of words that are longer than them."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    reach = np.minimum(sizes, 4 * max(STEMS) + 4)  # bytes that can hold the longest beginning and a character more
+    firsts = np.cumsum(reach) - reach
+    at = np.arange(reach.sum()) - np.repeat(firsts, reach)
+    byte = data[np.repeat(starts, reach) + at]
+    begins = np.cumsum((byte & 0xC0) != 0x80)
+    character = begins - np.repeat(begins[firsts], reach)
+    values = WORDS.letters[byte] * C._power_table(int(reach.max()))[at]
+    longest = np.maximum.reduceat(character, firsts)
+    words, hashes = [], []
+    for k in STEMS:
+        h = np.add.reduceat(np.where(character < k, values, np.uint64(0)), firsts)
+        longer = np.flatnonzero(longest >= k)
+        words.append(longer)
+        hashes.append(C.mix64(h[longer] ^ np.uint64(0x5BD1E9955BD1E995 + k)))
+    return np.concatenate(words), np.concatenate(hashes)
+
+
 class Reader:
-    """Restored words of a batch of texts, as hashes. Tokens with signs or doubled letters are decoded, whatever their length."""
+    """Restored words of a batch of texts and their beginnings, as hashes. Tokens with signs or doubled letters are decoded, whatever their length."""
 
     def __init__(self, model: np.ndarray):
         self.model = model
@@ -135,7 +161,7 @@ class Reader:
         return tuple(decode(token, self.flat))
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text index, word hash) of every word read, and each text's number of plain words."""
+        """(text index, hash) of every word read and of its beginnings, and each text's number of plain words."""
         data, offsets = C.text_buffers(column)
         starts, sizes, hashes, first = C.hash_words(data, offsets, WORDS)
         n_words = np.diff(first)
@@ -166,8 +192,12 @@ class Reader:
                 said_ = self.restored(" ".join(signs_))
                 extra_doc.extend([doc[a]] * len(said_))
                 extra.extend(said_)
-        _, _, more, at = C.hash_words(*C.text_buffers(pa.array(extra, pa.string())), WORDS)
-        return np.concatenate([doc, np.repeat(np.array(extra_doc, np.int64), np.diff(at))]), np.concatenate([hashes, more]), n_words
+        said_data, said_offsets = C.text_buffers(pa.array(extra, pa.string()))
+        more_starts, more_sizes, more, at = C.hash_words(said_data, said_offsets, WORDS)
+        more_doc = np.repeat(np.array(extra_doc, np.int64), np.diff(at))
+        stem, stem_hashes = _stems(data, starts, sizes)
+        more_stem, more_hashes = _stems(said_data, more_starts, more_sizes)
+        return np.concatenate([doc, more_doc, doc[stem], more_doc[more_stem]]), np.concatenate([hashes, more, stem_hashes, more_hashes]), n_words
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,44 +208,75 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(doc, h, n_words, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Per text: the strongest word, the sum over distinct strong words, and their number."""
+    """Per text: the strongest word, the sum over distinct strong words, their number, and strong words for every hundred."""
     at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
     hit = words[at] == h if len(words) else np.zeros(len(h), bool)
+    out = np.zeros((len(n_words), FEATURES))
+    np.add.at(out[:, 3], doc[hit], weights[at[hit]])
     doc, h = _distinct(doc[hit], h[hit])
     w = weights[np.searchsorted(words, h)]
-    out = np.zeros((len(n_words), 3))
     np.maximum.at(out[:, 0], doc, w)
     np.add.at(out[:, 1], doc, w)
     np.add.at(out[:, 2], doc, 1)
+    out[:, 3] *= 100 / np.maximum(n_words, 1)
     out[:, 1:] = np.log1p(out[:, 1:])
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Logistic regression by Newton's method on a bounded table of a few features."""
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Weighted logistic regression by Newton's method on a bounded table of a few features."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(x) * 0.01 * np.eye(len(w)) + 1e-6 * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * 0.01 * len(x) * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * len(x) * 0.01 * np.eye(len(w)) + 1e-6 * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (weight * (y - p)) - ridge * 0.01 * len(x) * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def _rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """As _fit, but no feature lowers the score: those that would are left out, the most negative first.
+
+    More strong words never make a text look cleaner, even if a mislabelled row says so.
+    """
+    used = list(range(x.shape[1]))
+    while True:
+        w = _fit(x[:, used], y, weight)
+        least = int(np.argmin(w[:-1])) if used else 0
+        if not used or w[least] >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[*used, -1]] = w
+            return out
+        del used[least]
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
+def _least_ratio(strong: DataFrame, tested: int) -> float:
+    """The least likelihood ratio above which chance explains at most FALSE_SHARE of the words (Benjamini and Hochberg)."""
+    bins = strong.groupBy(F.floor(F.least("ratio", F.lit(SURE)) * 10).alias("b")).count().collect()  # 2,000 at most
+    found, least = 0, SURE
+    for b, n in sorted(((r["b"], r["count"]) for r in bins), reverse=True):
+        found += n
+        by_chance = tested * (1 - NormalDist().cdf((b / 10) ** 0.5))
+        if by_chance <= FALSE_SHARE * found:
+            least = b / 10
+    return least
+
+
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic"):
     """(word hashes, their weights, regression weights) from at most `sample` labelled rows outside the held-out part.
 
-    A word's weight is its smoothed log-odds between toxic and other rows, at least 1.5; the word's likelihood ratio must
-    also be significant (5 % over all words together), so that neither its share of the toxic rows nor chance decides.
-    Of rows with one label and the same least hashes of six words, as near copies mostly have, the one with the least
-    hash of all its words is used, whatever the order of rows.
+    A word's weight is its smoothed log-odds between toxic and other rows, at least 1.5; its likelihood ratio must also be
+    so large that at most FALSE_SHARE of the words chosen can be there by chance, however many words were tested. A
+    lexicon of many forms so lets in words that few rows hold.
+    Every chosen row counts. Rows with one label and the same six least word hashes, as near copies mostly have, weigh as
+    one row together, so that the words of a text that was copied often don't look significant for that.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label).alias("_y"))
@@ -228,27 +289,30 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
         for batch in batches:
             for part in C.slices(batch, "t"):
                 doc, h, n = read(part.column("t"))
-                doc, h = _distinct(doc, h)
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
                 lists = np.split(h, np.searchsorted(doc, np.arange(1, len(n)))) if len(n) else []
                 mark = lambda x: hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-                near = [mark(np.sort(C.mix64(x ^ np.uint64(0xABCDEF)))[:6]) for x in lists]
-                yield pa.RecordBatch.from_pydict({"y": part.column("y"), "near": pa.array(near, pa.binary()), "all": pa.array([mark(x) for x in lists], pa.binary()), "words": pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64()))})
+                near = [mark(np.unique(C.mix64(x ^ np.uint64(0xABCDEF)))[:6]) for x in lists]
+                yield pa.RecordBatch.from_pydict({"y": part.column("y"), "near": pa.array(near, pa.binary()), "n_words": pa.array(n, pa.int64()), "words": pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64()))})
 
-    read = rows.mapInArrow(words, "y int, near binary, all binary, words array<long>").groupBy("near", "y").agg(F.min_by("words", "all").alias("words"))
-    read = C.materialise(read, "toxic-words")
+    read = C.materialise(rows.mapInArrow(words, "y int, near binary, n_words long, words array<long>"), "toxic-words")
+    shares = read.groupBy("near", "y").agg((1.0 / F.count("*")).alias("share"))
+    read = read.join(C.small(shares), ["near", "y"])
     reader.destroy()
-    n, toxic = read.agg(F.count("*"), F.sum("y")).first()
+    # counted in whole classes, so that the order of a sum doesn't show
+    n, toxic = shares.agg(F.count("*"), F.sum("y")).first()
     toxic = toxic or 0
     if not n or not toxic or toxic == n:
-        return np.zeros(0, np.uint64), np.zeros(0), np.array([0.0, 0.0, 0.0, np.log((toxic + 0.5) / (n - toxic + 0.5))])
-    counts = read.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+        return np.zeros(0, np.uint64), np.zeros(0), np.array([0.0] * FEATURES + [np.log((toxic + 0.5) / (n - toxic + 0.5))])
+    counts = read.select("y", "share", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.round(F.sum(F.col("y") * F.col("share")), 6).alias("t"), F.round(F.sum("share"), 6).alias("n"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - toxic + 1))
     tested = counts.count()
-    least = NormalDist().inv_cdf(1 - 0.05 / max(tested, 1)) ** 2
     cells = [F.col("t"), F.col("n") - F.col("t"), toxic - F.col("t"), n - toxic - F.col("n") + F.col("t")]
-    part = lambda x: F.when(x > 0, x * F.log(x.cast("double"))).otherwise(0.0)
+    part = lambda x: F.when(x > 1e-9, x * F.log(F.greatest(x.cast("double"), F.lit(1e-9)))).otherwise(0.0)
     ratio = 2 * (sum(map(part, cells), F.lit(0.0)) - part(F.col("n")) - part(n - F.col("n")) - toxic * float(np.log(toxic)) - (n - toxic) * float(np.log(n - toxic)) + n * float(np.log(n)))
-    lexicon = counts.where(ratio >= least).withColumn("o", odds).where("o >= 1.5").collect()
+    strong = C.materialise(counts.withColumns({"o": odds, "ratio": ratio}).where("o >= 1.5 and ratio >= 8"), "strong")
+    lexicon = strong.where(F.col("ratio") >= _least_ratio(strong, tested)).collect()
     words_ = np.array([r["w"] for r in lexicon], np.int64).view(np.uint64)
     order = np.argsort(words_)
     words_, weights = words_[order], np.array([r["o"] for r in lexicon])[order]
@@ -260,14 +324,14 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
             lists = batch.column("words")
             h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             n = np.diff(lists.offsets.to_numpy())
-            x = _features(np.repeat(np.arange(len(n)), n), h, n, words_, weights)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1]), "c": pa.array(x[:, 2]), "y": batch.column("y")})
+            x = _features(np.repeat(np.arange(len(n)), n), h, batch.column("n_words").to_numpy(zero_copy_only=False), words_, weights)
+            yield pa.RecordBatch.from_pydict({f"x{k}": pa.array(x[:, k]) for k in range(FEATURES)} | {"y": batch.column("y"), "share": batch.column("share")})
 
     # no more rows than labelled rows were chosen; sorted, so that sums come out the same whatever the order of rows
-    table = read.select("y", "words").mapInArrow(features, "a double, b double, c double, y int").collect()
+    table = read.select("y", "share", "n_words", "words").mapInArrow(features, "".join(f"x{k} double, " for k in range(FEATURES)) + "y int, share double").collect()
     known.destroy()
-    table = np.array(sorted(tuple(r) for r in table), float).reshape(-1, 4)
-    return words_, weights, _fit(table[:, :3], table[:, 3])
+    table = np.array(sorted(tuple(r) for r in table), float).reshape(-1, FEATURES + 2)
+    return words_, weights, _rising(table[:, :FEATURES], table[:, FEATURES], table[:, FEATURES + 1])
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
