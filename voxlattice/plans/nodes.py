@@ -40,13 +40,14 @@ def src5_volume_summary(spark, sf):
     return v.agg(F.count("*").alias("n"), r6(F.min("v")).alias("min"), r6(F.max("v")).alias("max"), r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), (F.count("*") * 4).alias("bytes"))
 
 
-@query(f"""WITH s AS (SELECT avg(v) AS mu, CASE WHEN stddev_pop(v) < 1e-12 THEN 1 ELSE stddev_pop(v) END AS sd FROM vox)
-SELECT vec_id, z, y, x, {R('(v - mu) / sd')} AS value, m AS inside FROM vox, s""")
+@query(f"""WITH s AS (SELECT avg(v) AS mu, CASE WHEN stddev_pop(v) < 1e-12 THEN 1 ELSE stddev_pop(v) END AS sd FROM vox), n AS (SELECT vec_id, (v - mu) / sd AS value, m FROM vox, s)
+SELECT vec_id, count(*) AS voxels, {R('min(value)')} AS least, {R('max(value)')} AS greatest, {R('avg(value)')} AS mean, count(*) FILTER (m) AS inside FROM n GROUP BY vec_id""")
 def src7_normalised_frame(spark, sf):
-    """A frame with mean 0 and deviation 1, and its mask."""
+    """A frame with mean 0 and deviation 1 and its mask, summed up by brick."""
     v = voxels(spark, sf)
     s = v.agg(F.avg("v").alias("mean"), F.when(F.stddev_pop("v") < 1e-12, 1.0).otherwise(F.stddev_pop("v")).alias("sd"))
-    return v.crossJoin(F.broadcast(s)).select("vec_id", "z", "y", "x", r6((F.col("v") - F.col("mean")) / F.col("sd")).alias("value"), F.col("m").alias("inside"))
+    n = v.crossJoin(F.broadcast(s)).select("vec_id", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("value"), "m")
+    return n.groupBy("vec_id").agg(F.count("*").alias("voxels"), r6(F.min("value")).alias("least"), r6(F.max("value")).alias("greatest"), r6(F.avg("value")).alias("mean"), F.count_if("m").alias("inside"))
 
 
 @query(f"""SELECT m.frame + 1 AS frame, l.x, l.y, l.z, l.node_valid AS valid, CASE WHEN l.node_valid THEN {R('m.u')} END AS disp_u, CASE WHEN l.node_valid THEN {R('m.v')} END AS disp_v

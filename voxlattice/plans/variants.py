@@ -213,7 +213,7 @@ def win10_median_vector(spark, sf):
 
 #: A sample's parameters as SQL over the part table; the expressions read alike in both engines.
 _PARAMETERS = {
-    "winsize_x": "2 + p_size", "winsize_y": "4 + p_size % 9", "winsize_z": "8", "step_x": "p_partkey % 7", "step_y": "4", "step_z": "2 + p_size % 5", "voxel_x": "(p_size - 1) / 4.0", "voxel_y": "1.0", "voxel_z": "p_partkey % 50 / 10.0",
+    "winsize_x": "2 + p_size", "winsize_y": "4 + p_size % 9", "winsize_z": "8", "step_x": "p_partkey % 7", "step_y": "4", "step_z": "2 + p_size % 5", "voxel_x": "CASE WHEN p_size % 10 = 7 THEN CAST('Infinity' AS DOUBLE) ELSE CAST((p_size - 1) / 4.0 AS DOUBLE) END", "voxel_y": "1.0", "voxel_z": "p_partkey % 50 / 10.0",
     "prefilter_sigma": "(p_partkey % 13 - 1) / 2.0", "search_x": "p_partkey % 11 - 1", "search_y": "8", "search_z": "p_size - 2", "init_subset": "p_size + 2", "init_guess": "CASE p_partkey % 5 WHEN 0 THEN 'pyramid' WHEN 1 THEN 'ncc' WHEN 2 THEN 'zero' WHEN 3 THEN 'previous' ELSE 'best' END",
     "pyramid_levels": "p_partkey % 6 - 1", "ncc_max_expand": "p_size % 7 - 1", "init_outlier": "p_partkey % 4 - 0.5", "local_outlier": "2.0", "icgn_tol": "p_partkey % 9 / 8.0", "icgn_dp_tol": "p_size / 40.0", "icgn_patience": "p_partkey % 17 - 1", "icgn_max_iter": "p_partkey % 19", "fine_radius": "p_size % 4",
     "coarse_factor": "p_partkey % 10", "stride": "p_size % 6", "interp": "CASE p_size % 4 WHEN 0 THEN 'cubic' WHEN 1 THEN 'bspline' WHEN 2 THEN 'linear' ELSE 'nearest' END", "min_valid": "p_partkey % 12 / 10.0", "cond_max": "p_partkey % 23", "mu": "(p_partkey % 21 - 1) / 1000.0", "beta": "CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size - 10.0 END",
@@ -226,7 +226,7 @@ _PARAMETERS = {
 #: What breaks each rule. Fixed values (names of choices and limits).
 RULES = {
     "winsize_x": "winsize_x < 4 OR winsize_x % 2 <> 0", "winsize_y": "winsize_y < 4 OR winsize_y % 2 <> 0", "winsize_z": "winsize_z < 4 OR winsize_z % 2 <> 0", "step_x": "step_x < 1", "step_y": "step_y < 1", "step_z": "step_z < 1",
-    "overlap": "step_x > winsize_x OR step_y > winsize_y OR step_z > winsize_z", "voxel_x": "NOT voxel_x > 0", "voxel_y": "NOT voxel_y > 0", "voxel_z": "NOT voxel_z > 0", "prefilter_sigma": "prefilter_sigma < 0", "search_radius": "search_x < 0 OR search_y < 0 OR search_z < 0",
+    **{f"voxel_{a}": f"NOT (voxel_{a} > 0 AND voxel_{a} < CAST('Infinity' AS DOUBLE))" for a in "xyz"}, "prefilter_sigma": "prefilter_sigma < 0", "search_radius": "search_x < 0 OR search_y < 0 OR search_z < 0",
     "init_subset": "init_subset < 4 OR init_subset % 2 <> 0", "init_guess_method": "init_guess NOT IN ('pyramid', 'ncc', 'zero', 'previous')", "pyramid_levels": "pyramid_levels < 0", "ncc_max_expand": "ncc_max_expand < 0", "outlier_threshold": "init_outlier < 0 OR local_outlier < 0", "icgn_tol": "NOT (icgn_tol > 0 AND icgn_tol < 1)",
     "icgn_dp_tol": "NOT (icgn_dp_tol > 0 AND icgn_dp_tol < 1)", "icgn_patience": "icgn_patience < 0", "icgn_max_iter": "icgn_max_iter < 1", "pyramid_fine_radius": "fine_radius < 1", "init_coarse_factor": "coarse_factor NOT BETWEEN 1 AND 8", "subset_stride": "stride < 1",
     "stride_samples": "stride > greatest(1, floor(least(winsize_x, winsize_y, winsize_z) / 4))", "interp_method": "interp NOT IN ('cubic', 'bspline', 'linear')", "min_valid_ratio": "NOT (min_valid > 0 AND min_valid <= 1)", "hessian_cond_max": "cond_max <= 1", "mu": "mu <= 0", "beta": "coalesce(beta <= 0, false)", "beta_range": "beta_least <= 0",
@@ -235,6 +235,8 @@ RULES = {
     "reference_mode": "reference_mode NOT IN ('accumulative', 'incremental')", "cumulative_interp": "cumulative_interp NOT IN ('linear', 'cubic')", "backend": "backend NOT IN ('auto', 'numba', 'numpy', 'cuda')", "gradient_mode": "gradient_mode NOT IN ('auto', 'stored', 'on_the_fly')", "on_the_fly": "gradient_mode = 'on_the_fly' AND backend = 'numpy'",
     "n_threads": "n_threads < 0", "tile_local": "tile_local < 0", "tile_disp_margin": "disp_margin < 0", "tile_strain_margin": "strain_margin NOT BETWEEN 0.0 AND 1.0",
 }
+#: What is allowed but named: subsets that don't overlap leave the global step weakly tied.
+WARNINGS = {"overlap": "step_x > winsize_x OR step_y > winsize_y OR step_z > winsize_z"}
 _PAR_SQL = "par AS (SELECT p_partkey AS sample_id, " + ", ".join(f"{e} AS {n}" for n, e in _PARAMETERS.items()) + " FROM part)"
 _BROKEN_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN {e} THEN '{n}' END" for n, e in RULES.items()) + ")"
 
@@ -248,10 +250,11 @@ def _parameters(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("sample_id"), *[F.expr(e).alias(n) for n, e in _PARAMETERS.items()])
 
 
-@query(f"WITH {_PAR_SQL} SELECT sample_id, {_BROKEN_SQL} AS violations FROM par")
+@query(f"WITH {_PAR_SQL} SELECT sample_id, {_BROKEN_SQL} AS violations, CASE WHEN {WARNINGS['overlap']} THEN 'overlap' ELSE '' END AS warnings FROM par")
 def prj11_all_rules(spark, sf):
-    """Every rule of a parameter set as a column; samples name all the rules that they break."""
-    return violations(_parameters(spark, sf)).select("sample_id", "violations")
+    """Every rule of a parameter set as a column; samples name all the rules that they break, and what they are warned of."""
+    said = F.concat_ws(",", *[F.when(F.expr(e), F.lit(n)) for n, e in WARNINGS.items()])
+    return violations(_parameters(spark, sf)).select("sample_id", "violations", said.alias("warnings"))
 
 
 _SERIOUS = ("icgn_max_iter", "gauss_pt_order", "backend", "interp_method")
