@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxlattice.llm import decontam, jaccard, packing, quality, secrets
-from voxlattice.llm.common import materialise, read
+from voxlattice.llm.common import discard, materialise, read
 from voxlattice.llm.queries import CAPACITY, tokenizer
 
 
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, written = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        discard(*written)  # what this stage has read; the last table stays for the rows that run returns
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
