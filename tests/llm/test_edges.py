@@ -175,6 +175,7 @@ def test_tables_are_discarded_only_where_they_were_written(spark, tmp_path):
     C.discard(kept)
     assert not os.path.isdir(folder)
     spark.range(3).write.parquet(f"file://{tmp_path}/x")
+    assert [C._place(u) for u in ("file:///a/b", "file:/a/b", "hdfs://host:8020/a/b", "hdfs:///a/b", "/a/b")] == ["/a/b"] * 5
     with pytest.raises(ValueError):
         C.discard(spark.read.parquet(f"file://{tmp_path}/x"))
 

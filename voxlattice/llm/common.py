@@ -49,16 +49,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(uri: str) -> str:
+    """A path without its scheme and authority, which Spark may add to what the setting says."""
+    return re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", uri)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `materialise` that nothing reads any more; those in a store that pyarrow can't open stay."""
     for df in tables:
-        top = shared_dir(df.sparkSession)
+        top = _place(shared_dir(df.sparkSession))
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            plain = folder if "://" in folder else folder.replace(":/", ":///", 1)
-            if not plain.startswith(top if "://" in top else f"file://{top}"):
+            if not _place(folder).startswith(f"{top}/"):
                 raise ValueError(f"{folder} was not written here")
             try:
-                system, place = fs.FileSystem.from_uri(plain)
+                system, place = fs.FileSystem.from_uri(folder if "://" in folder else folder.replace(":/", ":///", 1))
                 system.delete_dir(place)
             except (pa.ArrowInvalid, OSError):
                 continue
