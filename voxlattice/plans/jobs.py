@@ -30,6 +30,22 @@ def agg11_rigid_motion(spark, sf):
     return motion.fit(f, "rigid", "frame").join(motion.residual(f, "rigid", "frame"), "frame")
 
 
+@query()
+def agg11_rotation_angles(spark, sf):
+    """The rotation of every frame's rigid motion as a vector and as Euler angles."""
+    out = motion.angles(motion.fit(_field(spark, sf), "rigid", "frame"))
+    return out.select("frame", *[r6(c).alias(c) for c in ("rv1", "rv2", "rv3", "rotation_deg", "ex", "ey", "ez")])
+
+
+@query()
+def agg13_rotation_and_stretch(spark, sf):
+    """Every frame's affine deformation as a rotation and a stretch, beside the means of its nodes' components."""
+    f = _field(spark, sf)
+    m = motion.angles(motion.polar(motion.fit(f, "affine", "frame")), "r")
+    means = f.groupBy("frame").agg(*[r6(F.avg(c)).alias(f"mean_{c}") for c in "uvw"])
+    return m.select("frame", *[r6(c).alias(c) for c in ("rotation_deg", "rv1", "rv2", "rv3", "s11", "s22", "s33", "s12", "s13", "s23")]).join(means, "frame")
+
+
 @query()
 def agg13_homogeneous(spark, sf):
     """Affine deformation of every frame and its Green-Lagrange strain."""
