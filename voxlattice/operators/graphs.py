@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .relax import conjugate_gradient
+from .relax import conjugate_gradient, laplace_product
 from .stencil import AXES
 from .store import write
 
@@ -89,7 +89,7 @@ def harmonic_fill(nodes: DataFrame, value: str, ident: str = "node_id", largest:
         system = wide.groupBy("component", F.col("node").alias("node_id")).agg(F.count("*").cast("double").alias("diagonal"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("b"))
         rim = wide.groupBy("component").agg(F.count("known").alias("rim")).where("rim > 0").select("component")
         system = write(system.join(rim, "component").join(gap.select(F.col(ident).alias("node_id"), *AXES), "node_id"))
-        found = conjugate_gradient(system, 1.0, ["component"], 1e-12)
+        found = conjugate_gradient(system, laplace_product(1.0, ["component"]), ["component"], 1e-12)
         alone = wide.select("component", "node").distinct().join(rim, "component", "left_anti").select("node", F.lit(None).cast("double").alias("filled"))
         out = out.union(found.select("node_id", "solution")).union(alone)
     return out.select("node", F.when(~F.isnan("filled"), F.col("filled")).alias("filled"))

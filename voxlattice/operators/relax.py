@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import write
+from .store import discard, write
 from .stencil import AXES
 
 _SIDES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
@@ -19,19 +21,29 @@ def neighbour_sums(rows: DataFrame, keys: list[str], *sums: tuple[str, str]) ->
     return spread.groupBy(*keys, *AXES).agg(*[F.sum(c).alias(n) for c, n in sums])
 
 
-def conjugate_gradient(rows: DataFrame, off: float, keys: list[str], tolerance: float = 1e-10, patience: int = 100) -> DataFrame:
-    """rows (keys, ix, iy, iz, node_id, diagonal, b) with `solution` and `residual`: diagonal * x - off * (sum of x at the rows around) = b.
+def laplace_product(off: float, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Adds ap = diagonal * p - off * (sum of p at the rows around), by one stencil join."""
+
+    def product(state: DataFrame) -> DataFrame:
+        around = neighbour_sums(state, keys, ("p", "_near"))
+        ap = F.col("diagonal") * F.col("p") - off * F.coalesce("_near", F.lit(0.0))
+        return state.join(around, [*keys, *AXES], "left").withColumn("ap", ap).drop("_near")
+
+    return product
 
-    The systems of all keys run side by side. A round is one stencil join and one sum over each key, written to the
-    shared folder; the driver sees a row a key. Rounds end when every key's residual is within the tolerance of its b,
-    or has not fallen for `patience` rounds; `residual` tells which.
+
+def conjugate_gradient(rows: DataFrame, product: Callable[[DataFrame], DataFrame], keys: list[str], tolerance: float = 1e-10, patience: int = 100) -> DataFrame:
+    """rows (keys, ix, iy, iz, node_id, diagonal, b) with `solution` and `residual`: A x = b, where product(rows) adds ap = A p.
+
+    A is symmetric and positive. The systems of all keys run side by side. A round is one product and one sum over each key,
+    written to the shared folder; the round before is deleted then, and the driver sees a row a key. Rounds end when every
+    key's residual is within the tolerance of its b, or has not fallen for `patience` rounds; `residual` tells which.
     """
     state = rows.withColumns({"x": F.lit(0.0), "r": F.col("b"), "p": F.col("b") / F.col("diagonal")})
-    best, since = float("inf"), 0
+    best, since, before = float("inf"), 0, ()
     while True:
-        around = neighbour_sums(state, keys, ("p", "_near"))
-        product = F.col("diagonal") * F.col("p") - off * F.coalesce("_near", F.lit(0.0))
-        state = write(state.join(around, [*keys, *AXES], "left").withColumn("ap", product).drop("_near"))
+        state = write(product(state))
+        discard(*before)
         total = lambda c: F.sum(c / F.col("diagonal"))
         r, ap = F.col("r"), F.col("ap")
         sums = state.groupBy(*keys).agg(total(r * r).alias("rz"), F.sum(F.col("p") * ap).alias("pap"), total(r * ap).alias("rap"), total(ap * ap).alias("aap"), F.sqrt(F.sum(r * r)).alias("_r"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("_b"))
@@ -43,6 +55,7 @@ def conjugate_gradient(rows: DataFrame, off: float, keys: list[str], tolerance:
         # what the sum over the new residual will be follows from this round's sums
         step = F.when((F.col("pap") > 0) & (F.col("left") > tolerance), F.col("rz") / F.col("pap")).otherwise(0.0)
         after = F.col("rz") - 2 * F.col("_step") * F.col("rap") + F.col("_step") * F.col("_step") * F.col("aap")
+        before = (state, sums)
         sums = sums.withColumn("_step", step).withColumn("_turn", F.when(F.col("rz") > 0, F.greatest(after, F.lit(0.0)) / F.col("rz")).otherwise(0.0))
         j = state.join(sums.select(*keys, "_step", "_turn"), keys)
         new_r = r - F.col("_step") * ap

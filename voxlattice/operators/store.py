@@ -27,3 +27,15 @@ def write(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/grid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `write` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for place in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if not re.search(r"/grid-[0-9a-f]{32}$", place):
+                raise ValueError(f"{place} was not written here")
+            path = jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
