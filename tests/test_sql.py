@@ -10,7 +10,7 @@ from voxlattice.catalog import ORACLES, QUERIES
 from voxlattice.plans import batches, cuts, modes, solids, splines, variants
 
 NAMES = sorted(n for n, f in QUERIES.items() if f.__module__ in {m.__name__ for m in (variants, modes, cuts, solids, splines, batches)} and n in ORACLES and n not in ("agg21_auto_mask", "prj12_slice_fill"))  # those two: test_bodies
-NAMES += ["top3_box_sweep", "src7_normalised_frame", "snk6_column_major", "prj17_status_and_pack", "agg5_spatial_temporal", "agg9_histogram", "agg24_difference_statistics", "join3_stencil", "win7_plane_fit", "win10_median_test", "trj2_extensometer", "set4_same_settings"]
+NAMES += ["top3_box_sweep", "src7_normalised_frame", "snk6_column_major", "prj17_status_and_pack", "agg5_spatial_temporal", "agg9_histogram", "agg24_difference_statistics", "join3_stencil", "win7_plane_fit", "win10_median_test", "trj2_extensometer", "set4_same_settings", "fn11_subset_count"]
 
 
 def plain(v):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import strain as st
-from ..operators import stats, stencil, store
+from ..operators import precision, stats, stencil, store
 from ..sources.views import lattice, measurements, table, voxels
 from .nodes import REGIONS, _corner_join
 from .registry import R, query, r6
@@ -485,11 +485,10 @@ def fn10_boolean_correlation(spark, sf):
     return p.select("p_partkey", r6((solid * F.exp(-F.log(1 - phi) * g) - solid) / (phi * (1 - phi))).alias("rho"))
 
 
-@query("SELECT p_partkey AS sample_id, CAST(pow(2 * ((p_size // 2) // (1 + p_partkey % 3)) + 1, 3) AS BIGINT) AS n FROM part")
+@query("SELECT p_partkey AS sample_id, CAST(pow((2 * (p_size // 2)) // (1 + p_partkey % 3) + 1, 3) AS BIGINT) AS n FROM part")
 def fn11_subset_count(spark, sf):
-    """Voxels sampled in a subset of half width w div 2 at a stride."""
-    half = F.expr("p_size div 2")
-    n = 2 * F.floor(half / (1 + F.col("p_partkey") % 3)) + 1
+    """Voxels sampled in a subset of half width w div 2 from one end to the other at a stride."""
+    n, _ = precision.moments(F.expr("p_size div 2"), 1 + F.col("p_partkey") % 3)
     return table(spark, sf, "part").select(F.col("p_partkey").alias("sample_id"), (n * n * n).cast("long").alias("n"))
 
 
