@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import blocks, graphs, motion, solve
+from ..operators import blocks, graphs, motion, pyramid, solve
 from ..operators import stencil as sl
 from ..sources import volumes
 from ..sources.views import lattice, measurements, table, voxels
@@ -88,16 +88,42 @@ def win11_harmonic_fill(spark, sf):
     return graphs.harmonic_fill(n, "g").select("node", r6("filled").alias("filled"))
 
 
-@query()
-def job1_block_matching(spark, sf):
-    """The volume matched to itself moved by a voxel: search and refinement at every brick's centre."""
+def _moved_bricks(spark, sf, by):
+    """Bricks of edge 4 of the volume and of the volume moved along x; what comes in from outside stands still."""
     v = voxels(spark, sf)
     w = sl.Window.partitionBy("y", "z").orderBy("x")
-    moved = v.withColumn("d", F.coalesce(F.max("v").over(w.rangeBetween(-1, -1)), F.col("v")))
+    moved = v.withColumn("d", F.coalesce(F.max("v").over(w.rangeBetween(-by, -by)), F.col("v")))
     order = F.struct(F.col("z") % 4, F.col("y") % 4, F.col("x") % 4)
     packed = moved.groupBy(F.expr("z div 4").alias("bz"), F.expr("y div 4").alias("by"), F.expr("x div 4").alias("bx")).agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "v", "d"))).alias("a"))
-    b = packed.select("bz", "by", "bx", F.transform("a", lambda t: t["v"]).alias("ref"), F.transform("a", lambda t: t["d"]).alias("def"))
-    return blocks.correlate(b, 4, 2, 2, subpixel=False)
+    return packed.select("bz", "by", "bx", F.transform("a", lambda t: t["v"]).alias("ref"), F.transform("a", lambda t: t["d"]).alias("def"))
+
+
+@query()
+def job1_block_matching(spark, sf):
+    """The volume matched to itself moved by a voxel: search and refinement at every brick's centre."""
+    return blocks.correlate(_moved_bricks(spark, sf, 1), 4, 2, 2, subpixel=False)
+
+
+def _brick_nodes(bricks):
+    """A node at every brick's centre."""
+    return bricks.select((F.col("bz") * 64 + F.col("by") * 8 + F.col("bx")).alias("node_id"), *[F.col(f"b{a}").alias(f"i{a}") for a in "xyz"], *[(F.col(f"b{a}") * 4 + 2).alias(a) for a in "zyx"])
+
+
+@query()
+def job2_expanding_search(spark, sf):
+    """The volume moved by five voxels, searched within two: clipped nodes again with four and eight, and how many rounds each took."""
+    b = _moved_bricks(spark, sf, 5)
+    nodes = _brick_nodes(b).withColumns({f"s{a}": F.lit(0) for a in "zyx"})
+    out = pyramid.expanding_search(b, 4, nodes, 2, 2, 2)
+    return out.select("node_id", F.col("tx").alias("u"), F.col("ty").alias("v"), F.col("tz").alias("w"), r6("zncc").alias("zncc"), "clipped", "radius", "rounds")
+
+
+@query()
+def job2_pyramid_search(spark, sf):
+    """The volume moved by four voxels, found on a halved copy first; cleaned by the median test between levels."""
+    b = _moved_bricks(spark, sf, 4)
+    out = pyramid.pyramid_search(b, 4, _brick_nodes(b), 2, 4, 1)
+    return out.select("node_id", *[r6(c).alias(c) for c in ("u", "v", "w", "zncc")], "radius", "rounds")
 
 
 @query()
