@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import KEY
@@ -67,16 +67,18 @@ def search(bricks: DataFrame, edge: int, nodes: DataFrame, half: int, radius: in
     moved = lambda a: F.floor((F.col(a) + F.col(f"s{a}")) / edge).cast("long")
     placed = nodes.select("node_id", *"zyx", "sz", "sy", "sx", *[whole(a).alias(f"r{a}") for a in "zyx"], *[moved(a).alias(f"d{a}") for a in "zyx"])
 
-    def touched(kind: str, origin: list[str], halo: int) -> list[Column]:
+    def touched(kind: str, origin: list[str], halo: int) -> DataFrame:
+        """The bricks that the brick `origin`, grown by the halo, touches."""
         r = -(-halo // edge)
-        near = range(-r, r + 1)
-        return [F.struct(F.lit(kind).alias("kind"), *[(F.col(o) + k).alias(b) for o, k, b in zip(origin, (i, j, m), KEY)]) for i in near for j in near for m in near]
+        near = F.array(*[F.struct(*[F.lit(k).alias(b) for k, b in zip(d, KEY)]) for d in np.ndindex((2 * r + 1,) * 3)])
+        return around.select(*groups, F.explode(near).alias("p")).select(*groups, F.lit(kind).alias("kind"), *[(F.col(o) + F.col(f"p.{b}") - r).alias(b) for o, b in zip(origin, KEY)])
 
     groups = [*_FROM, *_TO]
-    wanted = placed.select(*groups).distinct().select(*groups, F.explode(F.array(*touched("ref", _FROM, half), *touched("def", _TO, half + radius))).alias("p")).select(*groups, "p.*")
+    around = placed.select(*groups).distinct()
+    wanted = touched("ref", _FROM, half).union(touched("def", _TO, half + radius))
     pieces = wanted.join(bricks, KEY).select(*groups, "kind", *KEY, F.when(F.col("kind") == "ref", F.col("ref")).otherwise(F.col("def")).alias("data"))
 
-    def run(key, pieces: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pieces: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         where = np.array(key, dtype=int)
         start, aim = where[:3] * edge - half, where[3:] * edge - half - radius
         f = _box(pieces[pieces["kind"] == "ref"], start, edge + 2 * half, edge)
@@ -123,7 +125,7 @@ def halve(bricks: DataFrame, edge: int) -> DataFrame:
         for b in batches:
             yield b.assign(**{c: [np.asarray(v, float).reshape(half, 2, half, 2, half, 2).mean(axis=(1, 3, 5)).ravel() for v in b[c]] for c in ("ref", "def")})
 
-    def join(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         whole = {c: np.full((edge,) * 3, np.nan) for c in ("ref", "def")}
         for z, y, x, *data in zip(*(rows[k] for k in (*KEY, "ref", "def"))):
             part = tuple(slice(k % 2 * half, k % 2 * half + half) for k in (z, y, x))
