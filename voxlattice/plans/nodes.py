@@ -391,13 +391,17 @@ def join5_block_bricks(spark, sf):
 
 
 def _corner_join(points, nodes, keep_all: bool):
-    """Trilinear sums at points with fractional grid positions gx, gy, gz (key columns: pid)."""
+    """Trilinear sums at points with fractional grid positions gx, gy, gz (key columns: pid).
+
+    The join is a merge join: the planner takes the corners for as small as the points' file, and would send them to every
+    task through the driver.
+    """
     corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (0, 1) for b in (0, 1) for c in (0, 1)])
     c = points.select("pid", "gx", "gy", "gz", F.explode(corners).alias("k"))
     part = lambda g, k: F.when(k == 1, F.col(g) - F.floor(g)).otherwise(1 - (F.col(g) - F.floor(g)))
     w = part("gx", F.col("k.a")) * part("gy", F.col("k.b")) * part("gz", F.col("k.c"))
     c = c.select("pid", *[(F.floor(g) + F.col(f"k.{k}")).alias(i) for g, k, i in (("gx", "a", "ix"), ("gy", "b", "iy"), ("gz", "c", "iz"))], w.alias("w")).where("w > 0")
-    return c.join(nodes, ["ix", "iy", "iz"]).groupBy("pid").agg(F.sum(F.col("w") * F.col("f")).alias("s"), F.sum("w").alias("cover"))
+    return c.join(nodes.hint("merge"), ["ix", "iy", "iz"]).groupBy("pid").agg(F.sum(F.col("w") * F.col("f")).alias("s"), F.sum("w").alias("cover"))
 
 
 _POINTS_SQL = "pts AS (SELECT p_partkey AS pid, (p_partkey % 37) / 4.5 AS gx, (p_partkey % 29) / 3.3 AS gy, (p_partkey % 41) / 3.1 AS gz FROM part)"
