@@ -1,5 +1,6 @@
 """Steps that must not fail or slow down as the tables grow."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxlattice.plans import nodes as pn
@@ -16,3 +17,33 @@ def test_corners_are_not_broadcast(spark):
     out = pn._corner_join(points, nodes, True)
     assert "BroadcastHashJoin" not in plan(out)
     assert {r["pid"]: round(r["s"], 9) for r in out.collect()} == {i: round(2 * i / 7, 9) for i in range(50)}
+
+
+def test_box_sums_beside_places_without_a_node(spark):
+    import itertools
+
+    from voxlattice.operators import stencil
+
+    cells = {p for p in itertools.product(range(7), range(6), range(5)) if not (p[2] >= 3 and p[1] >= 2) and p not in {(3, 1, 1), (4, 1, 1), (0, 5, 0)}} | {(15, 3, 2)}
+    df = spark.createDataFrame([(*p, 1 + p[0] + 10 * p[1] + 100 * p[2]) for p in cells], "ix long, iy long, iz long, s long")
+    got = {(r["ix"], r["iy"], r["iz"]): r["s"] for r in stencil.box_sums(df, ["s"], 2).collect()}
+    assert got == {p: sum(1 + q[0] + 10 * q[1] + 100 * q[2] for q in cells if all(abs(a - b) <= 2 for a, b in zip(p, q))) for p in cells}
+
+
+def test_valid_subsets_of_a_part_layer(spark, duck_part):
+    from voxlattice.catalog import ORACLES, QUERIES
+
+    folder, duck = duck_part
+    got = {tuple(r) for r in QUERIES["prj18_valid_subsets"](spark, folder).select("x", "y", "z", "centre", "fraction", "valid").collect()}
+    assert got == set(duck.execute(f"SELECT x, y, z, centre, fraction, valid FROM ({ORACLES['prj18_valid_subsets']})").fetchall())
+
+
+@pytest.fixture
+def duck_part(sf, tmp_path):
+    """Volumes whose last layer is only begun."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{sf}/embeddings.parquet' WHERE vec_id < 2 * 64 + 16 + 3) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    return str(tmp_path), con

@@ -28,12 +28,33 @@ def erode(body: DataFrame, flag: str, layers: int, *keys: str) -> DataFrame:
     return out.withColumn("core", F.col("_in") == 1).drop("_in")
 
 
-def box_sums(nodes: DataFrame, columns: list[str], reach: int, *keys: str) -> DataFrame:
-    """The columns summed over each node's (2 * reach + 1)-cube, one axis after the other; nodes that aren't there add nothing."""
+def _with_gaps(nodes: DataFrame, axis: str, reach: int, *keys: str) -> DataFrame:
+    """The rows and, within reach of one along the axis and between `_lo` and `_hi` of that axis, a row for every place without one."""
+    here, w = F.col(axis), line(axis, *keys)
+    after = F.least(here + reach, F.lead(axis).over(w) - 1, F.col(f"_hi_{axis}"))
+    before = F.greatest(here - reach, F.lag(axis).over(w) + reach + 1, F.col(f"_lo_{axis}"))
+    places = F.concat(F.array(here), F.when(after > here, F.sequence(here + 1, after)).otherwise(F.array()), F.when(before < here, F.sequence(before, here - 1)).otherwise(F.array()))
+    kept = [c for c in nodes.columns if c in keys or c in AXES or c.startswith(("_lo_", "_hi_"))]
+    rows = nodes.withColumn("_places", places).withColumn("_at", F.explode("_places")).drop("_places")
+    return rows.select(*[(F.col("_at") if c == axis else F.col(c) if c in kept else F.when(F.col("_at") == here, F.col(c))).alias(c) for c in nodes.columns])
+
+
+def box_sums(nodes: DataFrame, columns: list[str], reach: int, *keys: str, gaps: bool = True) -> DataFrame:
+    """The columns summed over each node's (2 * reach + 1)-cube, one axis after the other; nodes that aren't there add nothing.
+
+    Along the first two axes a sum is also kept at places without a node, since nodes beside them need it; without `gaps`
+    it is not, which is right for nodes whose cube is full.
+    """
+    names = nodes.columns
+    rows = nodes.where(" and ".join(f"{a} is not null" for a in AXES)).withColumn("_node", F.lit(True))
+    box = rows.agg(*[f(a).alias(f"_{k}_{a}") for a in AXES[:2] for f, k in ((F.min, "lo"), (F.max, "hi"))])  # one row
+    rows = rows.crossJoin(F.broadcast(box)) if gaps else rows
     for a in AXES:
+        if gaps and a != AXES[-1]:
+            rows = _with_gaps(rows, a, reach, *keys)
         w = line(a, *keys).rangeBetween(-reach, reach)
-        nodes = nodes.withColumns({c: F.sum(c).over(w) for c in columns})
-    return nodes
+        rows = rows.withColumns({c: F.sum(c).over(w) for c in columns})
+    return rows.where("_node").select(*names)
 
 
 def weighted(value: str, axis: str, weights: dict[int, float], *keys: str) -> Column:

@@ -305,7 +305,7 @@ def win6_gradient(spark, sf):
 def win7_plane_fit(spark, sf):
     """Plane-fit gradient over complete 3x3x3 windows from box sums of the field and its moments."""
     n = lattice(spark, sf).select("node_id", "ix", "iy", "iz", F.lit(1).alias("k"), F.col("f").alias("s"), (F.col("f") * F.col("ix")).alias("sx"), (F.col("f") * F.col("iy")).alias("sy"))
-    g = stencil.box_sums(n, ["k", "s", "sx", "sy"], 1).where("k = 27")
+    g = stencil.box_sums(n, ["k", "s", "sx", "sy"], 1, gaps=False).where("k = 27")
     fit = lambda a: (F.col(f"s{a}") - F.col("s") * F.col(f"i{a}")) / 18 / 8
     return g.select("node_id", r6(fit("x")).alias("d_ix"), r6(fit("y")).alias("d_iy"))
 
@@ -548,7 +548,7 @@ def trj3_cumulative(spark, sf):
 def job8_stencil_product(spark, sf):
     """A 27-point stencil matrix times a node vector, inside the grid, from box sums."""
     n = lattice(spark, sf).select("node_id", "ix", "iy", "iz", "f", F.lit(1).alias("k"), F.col("f").alias("s"))
-    return stencil.box_sums(n, ["k", "s"], 1).where("k = 27").select("node_id", r6(27 * F.col("f") - F.col("s")).alias("au"))
+    return stencil.box_sums(n, ["k", "s"], 1, gaps=False).where("k = 27").select("node_id", r6(27 * F.col("f") - F.col("s")).alias("au"))
 
 
 @query(f"""SELECT a.vec_id, {R('corr(a.v, b.v)')} AS zncc FROM vox a JOIN vox b ON b.x = a.x + 1 AND b.y = a.y AND b.z = a.z GROUP BY a.vec_id""")
