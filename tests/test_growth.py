@@ -47,3 +47,21 @@ def duck_part(sf, tmp_path):
     con.execute(f"COPY (SELECT * FROM '{sf}/embeddings.parquet' WHERE vec_id < 2 * 64 + 16 + 3) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     return str(tmp_path), con
+
+
+def test_spline_taps_stay_small(spark):
+    from voxlattice.operators import spline
+
+    df = spark.range(3).select(spline.taps(F.col("id").cast("double"), F.lit(0), F.col("id") + 5).alias("t"))
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert [round(sum(t["w"] for t in r["t"]), 9) for r in df.collect()] == [1.0, 1.0, 1.0]
+
+
+def test_search_broadcasts_no_bricks(spark):
+    from voxlattice.operators import pyramid
+
+    bricks = spark.range(8).selectExpr("id div 4 bz", "id div 2 % 2 by", "id % 2 bx", "transform(sequence(0, 63), i -> double((i * 7 + id) % 11)) ref").selectExpr("*", "ref AS def")
+    nodes = spark.range(1).selectExpr("id node_id", "4L z", "4L y", "4L x", "0L sz", "0L sy", "0L sx")
+    out = pyramid.search(bricks, 4, nodes, 1, 1)
+    assert "BroadcastHashJoin" not in plan(out)
+    assert [tuple(r)[1:4] for r in out.collect()] == [(0, 0, 0)]

@@ -6,6 +6,8 @@ spline that means no curvature there, which closes each line's equations. Values
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,23 +72,43 @@ def coefficients(nodes: DataFrame, value: str) -> DataFrame:
     return out
 
 
+def _step(kept: Column, step: Callable[[Column], Column]) -> Column:
+    """`step` of a value that is computed once, however often the step names it."""
+    return F.get(F.transform(F.array(kept), step), F.lit(0))
+
+
 def taps(g: Column, low: Column, high: Column) -> Column:
-    """The nodes (i, w) along an axis whose weighted coefficients give the value at grid coordinate g."""
+    """The nodes (i, w) along an axis whose weighted coefficients give the value at grid coordinate g.
+
+    Place, cell and weights are steps of their own: written into one another they would grow with the product of their uses.
+    """
     n = (high - low).cast("double")
     far = F.least(F.lit(float(REACH)), n)
+
+    def reflect(u: Column) -> Column:
+        beyond = (u < 0) | (u > n)
+        r = F.when(u < 0, -u).when(u > n, 2 * n - u).otherwise(u)
+        return F.struct(r.alias("r"), beyond.alias("beyond"), F.when(u < 0, low).otherwise(high).cast("long").alias("rim"))
+
+    def cell(s: Column) -> Column:
+        i = F.least(F.floor(s["r"]), F.greatest(n - 1, F.lit(0.0)).cast("long")).cast("double")
+        return F.struct(s["r"].alias("r"), s["beyond"].alias("beyond"), s["rim"].alias("rim"), i.alias("i"))
+
+    def weigh(s: Column) -> Column:
+        t = s["r"] - s["i"]
+        w = [(1 - t) * (1 - t) * (1 - t) / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6]
+        return F.struct(s["beyond"].alias("beyond"), s["rim"].alias("rim"), s["i"].alias("i"), *[v.alias(f"w{k}") for k, v in enumerate(w)])
+
+    def rows(s: Column) -> Column:
+        i, side, w = s["i"], F.when(s["beyond"], -1.0).otherwise(1.0), [s[f"w{k}"] for k in range(4)]
+        first, last = i == 0, i + 1 == n
+        # a coefficient beyond the border is 2 c(0) - c(1)
+        weights = [(F.when(first, i).otherwise(i - 1), F.when(first, 2 * w[0]).otherwise(w[0])), (i + 1, F.when(first, -w[0]).otherwise(0.0)), (i, w[1]), (i + 1, w[2]), (F.when(last, i + 1).otherwise(i + 2), F.when(last, 2 * w[3]).otherwise(w[3])), (i, F.when(last, -w[3]).otherwise(0.0))]
+        out = [F.struct((low + k).cast("long").alias("i"), (side * v).alias("w")) for k, v in weights]
+        return F.array(*out, F.struct(s["rim"].alias("i"), F.when(s["beyond"], 2.0).otherwise(0.0).alias("w")))
+
     u = F.greatest(F.least(g - low, n + far), -far)
-    below, above = u < 0, u > n
-    r = F.when(below, -u).when(above, 2 * n - u).otherwise(u)
-    side = F.when(below | above, -1.0).otherwise(1.0)
-    i = F.least(F.floor(r), F.greatest(n - 1, F.lit(0.0)).cast("long")).cast("double")
-    t = r - i
-    w = [(1 - t) * (1 - t) * (1 - t) / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6]
-    first, last = i == 0, i + 1 == n
-    # a coefficient beyond the border is 2 c(0) - c(1)
-    weights = [(F.when(first, i).otherwise(i - 1), F.when(first, 2 * w[0]).otherwise(w[0])), (i + 1, F.when(first, -w[0]).otherwise(0.0)), (i, w[1]), (i + 1, w[2]), (F.when(last, i + 1).otherwise(i + 2), F.when(last, 2 * w[3]).otherwise(w[3])), (i, F.when(last, -w[3]).otherwise(0.0))]
-    rows = [F.struct((low + k).cast("long").alias("i"), (side * v).alias("w")) for k, v in weights]
-    rows.append(F.struct(F.when(below, low).otherwise(high).cast("long").alias("i"), F.when(below | above, 2.0).otherwise(0.0).alias("w")))
-    some = F.filter(F.array(*rows), lambda x: x["w"] != 0)
+    some = F.filter(_step(_step(_step(_step(u, reflect), cell), weigh), rows), lambda x: x["w"] != 0)
     return F.when(n > 0, some).otherwise(F.array(F.struct(low.cast("long").alias("i"), F.lit(1.0).alias("w"))))
 
 
@@ -100,5 +122,5 @@ def interpolate(points: DataFrame, nodes: DataFrame, value: str, ident: str = "p
     for a in AXES:
         p = p.withColumn(f"_{a}", F.explode(f"t{a}")).drop(f"t{a}")
     rows = p.select(ident, *[F.col(f"_{a}.i").alias(a) for a in AXES], (F.col("_ix.w") * F.col("_iy.w") * F.col("_iz.w")).alias("w"))
-    sums = rows.join(c, list(AXES), "left").groupBy(ident).agg(F.sum(F.col("w") * F.col("c")).alias("value"), F.count_if(F.col("c").isNull()).alias("lost"))
+    sums = rows.join(c.hint("merge"), list(AXES), "left").groupBy(ident).agg(F.sum(F.col("w") * F.col("c")).alias("value"), F.count_if(F.col("c").isNull()).alias("lost"))
     return sums.select(ident, F.when(F.col("lost") == 0, F.col("value")).alias("value"))
