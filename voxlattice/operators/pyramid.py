@@ -76,7 +76,8 @@ def search(bricks: DataFrame, edge: int, nodes: DataFrame, half: int, radius: in
     groups = [*_FROM, *_TO]
     around = placed.select(*groups).distinct()
     wanted = touched("ref", _FROM, half).union(touched("def", _TO, half + radius))
-    pieces = wanted.join(bricks, KEY).select(*groups, "kind", *KEY, F.when(F.col("kind") == "ref", F.col("ref")).otherwise(F.col("def")).alias("data"))
+    # a merge join: the planner knows neither how many bricks a group touches nor how long their arrays are, and would broadcast either
+    pieces = wanted.hint("merge").join(bricks, KEY).select(*groups, "kind", *KEY, F.when(F.col("kind") == "ref", F.col("ref")).otherwise(F.col("def")).alias("data"))
 
     def run(key: tuple, pieces: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         where = np.array(key, dtype=int)
