@@ -65,3 +65,17 @@ def test_search_broadcasts_no_bricks(spark):
     out = pyramid.search(bricks, 4, nodes, 1, 1)
     assert "BroadcastHashJoin" not in plan(out)
     assert [tuple(r)[1:4] for r in out.collect()] == [(0, 0, 0)]
+
+
+def test_samples_over_many_batches(spark):
+    from voxlattice.operators import batch
+
+    rows = spark.range(3000).selectExpr("CASE WHEN id < 2000 THEN id % 7 WHEN id < 2990 THEN id END AS sample_id", "id AS v")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        results, jobs = batch.run_batch(rows, lambda f, _: {"sample_id": [f["sample_id"].iloc[0]], "n": [len(f)], "s": [int(f["v"].sum())]}, "sample_id long, n long, s long")
+        got = {r[0]: r[1:] for r in results.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {i: (len(range(i, 2000, 7)), sum(range(i, 2000, 7))) for i in range(7)} | {i: (1, i) for i in range(2000, 2990)} | {None: (10, sum(range(2990, 3000)))}
+    assert got == want and jobs.where("state = 'done'").count() == len(want)
