@@ -79,3 +79,23 @@ def test_samples_over_many_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {i: (len(range(i, 2000, 7)), sum(range(i, 2000, 7))) for i in range(7)} | {i: (1, i) for i in range(2000, 2990)} | {None: (10, sum(range(2990, 3000)))}
     assert got == want and jobs.where("state = 'done'").count() == len(want)
+
+
+def test_state_is_kept_by_blocks(spark, tmp_path):
+    from voxlattice.streaming import frames
+
+    rows = [(f, n, float(n % 13 + f)) for n in [0, 1, 999, 1000, 2500, -3] for f in (1, 2, 3) if (n, f) != (999, 1)] + [(1, None, 4.0)]
+    for k in range(3):  # late frames first
+        spark.createDataFrame(sorted(rows, key=lambda r: -r[0])[k::3], "frame long, node_id long, u double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("frame long, node_id long, u double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    schedule = spark.createDataFrame([(f, f - 1) for f in (1, 2, 3)], "frame long, ref long")
+    assert frames.BLOCK == 1000
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        frames.totals(stream, schedule).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    finally:
+        spark.conf.unset(name)
+    got = sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("node_id", "frame", "u_total").collect()), key=repr)
+    want = [(n, f, float(sum(n % 13 + g for g in range(1, f + 1)))) for n in [0, 1, 1000, 2500, -3] for f in (1, 2, 3)] + [(None, 1, 4.0)]
+    assert got == sorted(want, key=repr)

@@ -1,13 +1,14 @@
 """Frames as they arrive, in any number of batches and any order: a pair waits until its reference has a total.
 
 Two forms with the same results. `advance` keeps totals and waiting pairs as tables partitioned by frame, so that a stream
-and a batch share code. `totals` keeps them as keyed state, one key a node: its chain of frames never needs another node's.
+and a batch share code. `totals` keeps them as keyed state, one key a block of nodes: a node's chain of frames never needs another node's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,38 +74,48 @@ def complete(total: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(have, "frame", "left").select("frame", F.coalesce("have", F.lit(0)).alias("nodes"), (F.coalesce("have", F.lit(0)) >= F.col("nodes")).alias("complete"))
 
 
+#: Nodes whose ids fall into one block of this many share a state row: a task reads and writes it once a batch.
+BLOCK = 1000
+_STATE = np.dtype([("node_id", "i8"), ("frame", "i8"), ("u", "f8"), ("done", "?")])
+
+
 class Chain(StatefulProcessor):
-    """Keyed state of one node: frame -> total, and frame -> displacement of the pairs that wait for their reference."""
+    """Keyed state of one block of nodes: (node, frame) with its total, or with the displacement of a pair that waits for its reference."""
 
     def __init__(self, reference: dict[int, int]):
         self.reference = reference
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getMapState("total", "frame long", "u double")
-        self.waits = handle.getMapState("waits", "frame long", "u double")
+        self.state = handle.getValueState("pairs", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, float] = {}
-        for frame in rows:
-            for f, u in zip(frame["frame"], frame["u"]):
-                new[int(f)] = max(float(u), new.get(int(f), float("-inf")))
-        for f, u in new.items():
-            if not self.total.containsKey((f,)):
-                self.waits.updateValue((f,), (u,))
-        held = {k[0]: v[0] for k, v in self.waits.iterator()}  # frames of one node that wait
-        out, moved = [], True
-        while moved:
-            moved = False
-            for f in sorted(held):
-                ref = self.reference.get(f)
-                if ref == 0 or ref is not None and self.total.containsKey((ref,)):
-                    total = held.pop(f) + (self.total.getValue((ref,))[0] if ref else 0.0)
-                    self.total.updateValue((f,), (total,))
-                    self.waits.removeKey((f,))
-                    out.append((key[0], f, total))
-                    moved = True
-        if out:
-            yield pd.DataFrame(out, columns=["node_id", "frame", "u_total"])
+        new = pd.concat([r[["node_id", "frame", "u"]] for r in rows], ignore_index=True)
+        if pd.isna(key[0]):  # rows without a node are a block of their own
+            new["node_id"] = 0
+        new = new.astype({"node_id": "int64", "frame": "int64", "u": "float64"}).groupby(["node_id", "frame"], as_index=False)["u"].max().assign(done=False)
+        raw = self.state.get() if self.state.exists() else None
+        held = pd.DataFrame(np.frombuffer(bytes(raw[0]) if raw else b"", _STATE).copy())
+        # a total that is out stays, and a new row replaces one that waits
+        pairs = pd.concat([held[held["done"]], new, held[~held["done"]]], ignore_index=True).drop_duplicates(["node_id", "frame"], ignore_index=True)
+        at = pd.MultiIndex.from_frame(pairs[["node_id", "frame"]])
+        ref = np.array([-1 if (r := self.reference.get(f)) is None else r for f in pairs["frame"]], dtype="int64")
+        known = np.array([self.reference.get(f) is not None for f in pairs["frame"]], dtype=bool)
+        place = at.get_indexer(pd.MultiIndex.from_arrays([pairs["node_id"], ref]))
+        u, done = pairs["u"].to_numpy().copy(), pairs["done"].to_numpy(dtype=bool).copy()
+        before, root = done.copy(), known & (ref == 0)
+        while True:
+            ready = ~done & known & (root | ((place >= 0) & done[place]))
+            if not ready.any():
+                break
+            u[ready] += np.where(root[ready], 0.0, u[place[ready]])
+            done |= ready
+        state = np.zeros(len(pairs), _STATE)
+        state["node_id"], state["frame"], state["u"], state["done"] = pairs["node_id"], pairs["frame"], u, done
+        self.state.update((state.tobytes(),))
+        fresh = done & ~before
+        if fresh.any():
+            node = pairs["node_id"][fresh] if not pd.isna(key[0]) else pd.Series([None] * int(fresh.sum()), dtype=object)
+            yield pd.DataFrame({"node_id": node.to_numpy(), "frame": pairs["frame"][fresh].to_numpy(), "u_total": u[fresh]})
 
     def close(self) -> None:
         pass
@@ -113,11 +124,12 @@ class Chain(StatefulProcessor):
 def totals(stream: DataFrame, schedule: DataFrame) -> DataFrame:
     """(node_id, frame, u_total) of a stream of pairs (frame, node_id, u), each once its reference is known.
 
-    State is kept by node, so a frame's rows may come in any batches and a restart goes on from the query's checkpoint.
-    Needs the RocksDB state store. A total that is out stays; of repeated pairs that wait, the last batch's counts.
+    State is kept by blocks of nodes, so a frame's rows may come in any batches and a restart goes on from the query's
+    checkpoint. Needs the RocksDB state store. A total that is out stays; of repeated pairs that wait, the last batch's counts.
     """
     reference = {r["frame"]: r["ref"] for r in schedule.select("frame", "ref").collect()}  # a row a frame
-    return stream.select("frame", "node_id", "u").groupBy("node_id").transformWithStateInPandas(Chain(reference), "node_id long, frame long, u_total double", "Append", "None")
+    blocks = stream.select("frame", "node_id", "u", F.floor(F.col("node_id") / BLOCK).alias("_block")).groupBy("_block")
+    return blocks.transformWithStateInPandas(Chain(reference), "node_id long, frame long, u_total double", "Append", "None")
 
 
 def follow(stream: DataFrame, schedule: DataFrame, folder: str, checkpoint: str, seen: Callable[[int], None] | None = None):
