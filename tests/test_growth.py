@@ -99,3 +99,23 @@ def test_state_is_kept_by_blocks(spark, tmp_path):
     got = sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("node_id", "frame", "u_total").collect()), key=repr)
     want = [(n, f, float(sum(n % 13 + g for g in range(1, f + 1)))) for n in [0, 1, 1000, 2500, -3] for f in (1, 2, 3)] + [(None, 1, 4.0)]
     assert got == sorted(want, key=repr)
+
+
+def test_cells_give_what_corners_give(spark):
+    nodes = spark.sql("SELECT id % 5 AS ix, id div 5 % 4 AS iy, id div 20 AS iz, double(id * id % 17) AS f FROM range(80) WHERE id % 11 <> 3")
+    points = spark.range(400).selectExpr("id AS pid", "id % 23 / 4.0D - 0.5 AS gx", "id % 19 / 5.0D AS gy", "CASE WHEN id % 50 > 0 THEN id % 17 / 4.0D END AS gz")
+    got = {r["pid"]: (r["s"], r["cover"]) for r in pn._sample(points, pn._cells(nodes)).collect()}
+    want = {r["pid"]: (r["s"], r["cover"]) for r in pn._corner_join(points, nodes, True).collect()}
+    few = {r["pid"]: (r["s"], r["cover"]) for r in pn._corner_join(points, nodes, False).collect()}
+    near = lambda a, b: all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(a, b))
+    assert len(got) == len(want) == 400 and 100 < len(few) < 400
+    assert all(near(got[i], want[i]) and near(want[i], few.get(i, (None, None))) for i in got)
+    assert got[0] == got[50] == (None, None)
+
+
+@pytest.mark.parametrize("name, joins", [("join7_trilinear_or_null", 1), ("trj1_line_by_distance", 1), ("trj1_line_samples", 1), ("trj3_cumulative_chain", 3)])
+def test_points_are_neither_copied_nor_joined_back(spark, sf, name, joins):
+    from voxlattice.catalog import QUERIES
+
+    found = plan(QUERIES[name](spark, sf))
+    assert found.count("SortMergeJoin") == joins and "BroadcastHashJoin" not in found

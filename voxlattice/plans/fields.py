@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import strain as st
 from ..operators import precision, stats, stencil, store
 from ..sources.views import lattice, measurements, table, voxels
-from .nodes import REGIONS, _corner_join
+from .nodes import REGIONS, _cells, _sample
 from .registry import R, query, r6
 
 _SUM = f"count(v) AS n, {R('avg(v)')} AS mean, {R('stddev_pop(v)')} AS std, {R('quantile_cont(v, 0.5)')} AS median, {R('quantile_cont(v, 0.05)')} AS p05, {R('quantile_cont(v, 0.95)')} AS p95, {R('min(v)')} AS min, {R('max(v)')} AS max, {R('sqrt(avg(v * v))')} AS rms"
@@ -511,9 +511,8 @@ def trj1_line_samples(spark, sf):
     """A field sampled at twenty points of a line for each customer's end point."""
     p = table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("i"))
     t = F.col("i") / 19.0
-    p = p.select((F.col("c_custkey") * 100 + F.col("i")).alias("pid"), (t * 9).alias("gx"), (t * (F.col("c_custkey") % 10)).alias("gy"), (t * (F.col("c_custkey") % 13)).alias("gz"))
-    g = _corner_join(p, lattice(spark, sf).select("ix", "iy", "iz", "f"), True)
-    return p.select("pid").join(g, "pid", "left").select(F.expr("pid div 100").alias("line"), (F.col("pid") % 100).alias("i"), F.when(F.col("cover") > 1 - 1e-9, r6("s")).alias("value"))
+    p = p.select(F.col("c_custkey").alias("line"), "i", (t * 9).alias("gx"), (t * (F.col("c_custkey") % 10)).alias("gy"), (t * (F.col("c_custkey") % 13)).alias("gz"))
+    return _sample(p, _cells(lattice(spark, sf))).select("line", "i", F.when(F.col("cover") > 1 - 1e-9, r6("s")).alias("value"))
 
 
 @query(f"""WITH g AS (SELECT a.node_id // 10 AS gauge, frame FROM lat a JOIN lat b ON b.node_id = a.node_id + 9, (SELECT DISTINCT frame FROM meas) f WHERE a.node_id % 10 = 0),

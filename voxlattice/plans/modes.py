@@ -16,7 +16,7 @@ from ..sources import volumes
 from ..sources.views import lattice, measurements, table, voxels
 from ..streaming import frames
 from .fields import _H_SQL, _h, _levels, _LEVELS_SQL, _profiles, _DAYS_SQL
-from .nodes import REGIONS, _REGION_SQL, _corner_join
+from .nodes import REGIONS, _REGION_SQL, _cells, _sample
 from .registry import R, query, r6
 
 _GROW = 16 // 2 + 5 + 6
@@ -257,9 +257,9 @@ def trj1_line_by_distance(spark, sf):
     e = table(spark, sf, "customer").select(k.alias("line"), F.lit(9.0).alias("ex"), (k % 10).cast("double").alias("ey"), (k % 13).cast("double").alias("ez"), length.alias("len"), F.greatest(F.lit(2), F.ceil(2 * length) + 1).cast("long").alias("n"))
     p = e.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     at = lambda c: F.col("i") * F.col(c) / (F.col("n") - 1)
-    p = p.select((F.col("line") * 1000 + F.col("i")).alias("pid"), "line", "i", at("len").alias("distance"), at("ex").alias("gx"), at("ey").alias("gy"), at("ez").alias("gz"))
-    g = _corner_join(p, lattice(spark, sf).select("ix", "iy", "iz", "f"), True)
-    return p.join(g, "pid", "left").select("line", "i", r6("distance").alias("distance"), F.when(F.col("cover") > 1 - 1e-9, r6("s")).alias("value"))
+    p = p.select("line", "i", at("len").alias("distance"), at("ex").alias("gx"), at("ey").alias("gy"), at("ez").alias("gz"))
+    p = _sample(p, _cells(lattice(spark, sf)))
+    return p.select("line", "i", r6("distance").alias("distance"), F.when(F.col("cover") > 1 - 1e-9, r6("s")).alias("value"))
 
 
 # ---- files, archives and streams, over what Spark derives from the tables ----

@@ -390,18 +390,49 @@ def join5_block_bricks(spark, sf):
     return b.select("block", span("x").alias("bx"), "z0", "z1").select("block", "bx", span("z").alias("bz"))
 
 
+def _cells(nodes):
+    """(cx, cy, cz, v0..v7, k0..k7) of every grid cell that touches a node: the sum and number of values at each corner (x fastest)."""
+    corners = F.explode(F.array(*[F.struct(*[F.lit(k >> i & 1).alias(a) for i, a in enumerate("xyz")], F.lit(k).alias("k")) for k in range(8)])).alias("c")
+    c = nodes.select("ix", "iy", "iz", "f", corners).select(*[(F.col(f"i{a}") - F.col(f"c.{a}")).cast("long").alias(f"c{a}") for a in "xyz"], F.col("c.k").alias("k"), "f")
+    here = [F.col("k") == k for k in range(8)]
+    return c.groupBy("cx", "cy", "cz").agg(*[F.sum(F.when(h, F.col("f"))).alias(f"v{k}") for k, h in enumerate(here)], *[F.count_if(h).alias(f"k{k}") for k, h in enumerate(here)])
+
+
+def _sample(points, cells, gx="gx", gy="gy", gz="gz"):
+    """The points with `s` and `cover`: trilinear sum and weight at fractional grid positions (columns, or expressions of theirs);
+    null where no corner of weight is a node.
+
+    A point meets its cell, which holds all eight corners, so that no point is copied. The join is a merge join: the planner
+    takes the cells for as small as the points' file, and would send them to every task through the driver.
+    """
+    g = {a: F.col(e) if isinstance(e, str) else e for a, e in zip("xyz", (gx, gy, gz))}
+    kept = points.columns
+    j = points.withColumns({f"c{a}": F.floor(e) for a, e in g.items()}).join(cells.hint("merge"), ["cx", "cy", "cz"], "left")
+    # shares and weights are columns of their own, so that none is written out eight times in the generated code
+    j = j.withColumns({f"_t{a}": e - F.floor(e) for a, e in g.items()})
+    part = lambda k, i, a: F.col(f"_t{a}") if k >> i & 1 else 1 - F.col(f"_t{a}")
+    j = j.withColumns({f"_w{k}": part(k, 0, "x") * part(k, 1, "y") * part(k, 2, "z") for k in range(8)})
+    total = [F.when(F.col(f"_w{k}") > 0, F.col(f"_w{k}") * F.col(f"v{k}")) for k in range(8)]
+    cover = sum((F.when(F.col(f"_w{k}") > 0, F.col(f"_w{k}") * F.coalesce(f"k{k}", F.lit(0))).otherwise(0.0) for k in range(8)), F.lit(0.0))
+    s = F.when(F.coalesce(*total).isNotNull(), sum((F.coalesce(x, F.lit(0.0)) for x in total), F.lit(0.0)))
+    return j.select(*kept, s.alias("s"), F.when(cover > 0, cover).alias("cover"))
+
+
 def _corner_join(points, nodes, keep_all: bool):
-    """Trilinear sums at points with fractional grid positions gx, gy, gz (key columns: pid).
+    """(pid, s, cover) of the points (pid, gx, gy, gz), for fewer points than nodes: trilinear sum and weight over corners that are
+    nodes. `keep_all` keeps points without such a corner, as nulls.
 
-    The join is a merge join: the planner takes the corners for as small as the points' file, and would send them to every
-    task through the driver.
+    A merge join too, and the only one: points that have to stay go through it, not through a second join.
     """
     corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (0, 1) for b in (0, 1) for c in (0, 1)])
     c = points.select("pid", "gx", "gy", "gz", F.explode(corners).alias("k"))
     part = lambda g, k: F.when(k == 1, F.col(g) - F.floor(g)).otherwise(1 - (F.col(g) - F.floor(g)))
     w = part("gx", F.col("k.a")) * part("gy", F.col("k.b")) * part("gz", F.col("k.c"))
-    c = c.select("pid", *[(F.floor(g) + F.col(f"k.{k}")).alias(i) for g, k, i in (("gx", "a", "ix"), ("gy", "b", "iy"), ("gz", "c", "iz"))], w.alias("w")).where("w > 0")
-    return c.join(nodes.hint("merge"), ["ix", "iy", "iz"]).groupBy("pid").agg(F.sum(F.col("w") * F.col("f")).alias("s"), F.sum("w").alias("cover"))
+    c = c.select("pid", *[(F.floor(g) + F.col(f"k.{k}")).alias(i) for g, k, i in (("gx", "a", "ix"), ("gy", "b", "iy"), ("gz", "c", "iz"))], w.alias("w"))
+    c = c if keep_all else c.where("w > 0")
+    j = c.join(nodes.withColumn("_here", F.lit(True)).hint("merge"), ["ix", "iy", "iz"], "left" if keep_all else "inner")
+    used = F.col("_here") & (F.col("w") > 0)
+    return j.groupBy("pid").agg(F.sum(F.when(used, F.col("w") * F.col("f"))).alias("s"), F.sum(F.when(used, F.col("w"))).alias("cover"))
 
 
 _POINTS_SQL = "pts AS (SELECT p_partkey AS pid, (p_partkey % 37) / 4.5 AS gx, (p_partkey % 29) / 3.3 AS gy, (p_partkey % 41) / 3.1 AS gz FROM part)"
@@ -418,7 +449,7 @@ def _points(spark, sf):
 def join6_interpolate(spark, sf):
     """Linear interpolation of a dense grid field at points inside the grid."""
     n = lattice(spark, sf).select("ix", "iy", "iz", "f")
-    return _corner_join(_points(spark, sf), n, True).where(F.col("cover") > 1 - 1e-9).select("pid", r6("s").alias("value"))
+    return _corner_join(_points(spark, sf), n, False).where(F.col("cover") > 1 - 1e-9).select("pid", r6("s").alias("value"))
 
 
 @query(f"WITH {_POINTS_SQL}, {_CORNER_SQL}, g AS (SELECT pid, sum(w * f) AS s, sum(w) AS cover FROM cor JOIN (SELECT * FROM lat WHERE node_valid) USING (ix, iy, iz) WHERE w > 0 GROUP BY pid) SELECT pts.pid, CASE WHEN cover > 1 - 1e-9 THEN {R('s')} END AS value FROM pts LEFT JOIN g ON pts.pid = g.pid")
@@ -426,7 +457,7 @@ def join7_trilinear_or_null(spark, sf):
     """Trilinear samples, null where a node with weight has no value."""
     p = _points(spark, sf)
     n = lattice(spark, sf).where("node_valid").select("ix", "iy", "iz", "f")
-    return p.select("pid").join(_corner_join(p, n, False), "pid", "left").select("pid", F.when(F.col("cover") > 1 - 1e-9, r6("s")).alias("value"))
+    return _corner_join(p, n, True).select("pid", F.when(F.col("cover") > 1 - 1e-9, r6("s")).alias("value"))
 
 
 @query(f"""WITH c AS (SELECT node_id, ix // 3 AS cx, iy // 3 AS cy, iz // 3 AS cz, node_valid, f FROM lat WHERE ix % 3 = 0 AND iy % 3 = 0 AND iz % 3 = 0),
