@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..operators import stencil, store
 from ..sources.views import lattice, measurements, table, voxels
-from .nodes import REGIONS, _CORNER_SQL, _REGION_SQL, _corner_join
+from .nodes import REGIONS, _CORNER_SQL, _REGION_SQL, _cells, _corner_join, _sample
 from .registry import R, query, r6
 
 AXES = stencil.AXES
@@ -95,7 +95,7 @@ def join6_nearest_outside(spark, sf):
     p = table(spark, sf, "part").crossJoin(F.broadcast(n.agg(F.max("iz").alias("mz"))))
     held = lambda g, hi: F.least(F.greatest(g, F.lit(0.0)), hi)
     p = p.select(k.alias("pid"), held((k % 37) / 2.5 - 2, F.lit(9.0)).alias("gx"), held((k % 29) / 2.2 - 1.5, F.lit(9.0)).alias("gy"), held((k % 41) * 0.9 - 3, F.col("mz").cast("double")).alias("gz"))
-    return _corner_join(p, n, True).select("pid", r6("s").alias("value"))
+    return _corner_join(p, n, False).select("pid", r6("s").alias("value"))
 
 
 _MOMENTS = [("w", "1.0"), *((f"s{a}", f"i{a}") for a in "xyz"), *((f"s{a}{b}", f"i{a} * i{b}") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))]
@@ -346,15 +346,13 @@ def trj3_cumulative_chain(spark, sf):
     the grid the nearest edge holds."""
     n = lattice(spark, sf).select("node_id", *AXES, "f")
     top = F.broadcast(n.agg(F.max("iz").cast("double").alias("mz")))
-    s = n.select("node_id", *[F.col(f"i{a}").cast("double").alias(f"p{a}") for a in "xyz"])
-    grid = n.select(*AXES, "f")
+    s = n.select("node_id", *AXES, *[F.col(f"i{a}").cast("double").alias(f"p{a}") for a in "xyz"]).crossJoin(top)
+    cells = store.write(_cells(n))
+    held = lambda a, hi: F.least(F.greatest(F.col(f"p{a}"), F.lit(0.0)), hi)
     for pair in _PAIRS:
-        held = lambda a, hi: F.least(F.greatest(F.col(f"p{a}"), F.lit(0.0)), hi)
-        points = s.crossJoin(top).select(F.col("node_id").alias("pid"), held("x", F.lit(9.0)).alias("gx"), held("y", F.lit(9.0)).alias("gy"), held("z", F.col("mz")).alias("gz"))
-        moved = _corner_join(points, grid, True).select(F.col("pid").alias("node_id"), "s")
-        s = s.join(moved, "node_id").select("node_id", *[(F.col(f"p{a}") + c * F.col("s")).alias(f"p{a}") for a, c in zip("xyz", pair)])
-    j = s.join(n.select("node_id", *AXES), "node_id")
-    return j.select("node_id", *[r6((F.col(f"p{a}") - F.col(f"i{a}")) * 8).alias(c) for a, c in zip("xyz", "uvw")])
+        s = _sample(s, cells, held("x", F.lit(9.0)), held("y", F.lit(9.0)), held("z", F.col("mz"))).where("cover is not null")
+        s = s.select("node_id", *AXES, "mz", *[(F.col(f"p{a}") + c * F.col("s")).alias(f"p{a}") for a, c in zip("xyz", pair)])
+    return s.select("node_id", *[r6((F.col(f"p{a}") - F.col(f"i{a}")) * 8).alias(c) for a, c in zip("xyz", "uvw")])
 
 
 @query(f"SELECT z, y, count(*) AS n, {R('sum(v * x)')} AS weighed, {R('min(v)')} AS min, {R('max(v)')} AS max FROM vox GROUP BY z, y")
