@@ -208,6 +208,21 @@ def test_jaccard(spark, docs, k, num):
     assert jaccard.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    near = [words[:i] + [f"x{i}"] + words[i + 1 :] for i in range(0, 60, 3)]  # every two of them may link or not
+    far = [words[: 60 - k] for k in range(12)] + [[f"y{i}" for i in range(30)], [f"y{i}" for i in range(31)]]
+    rows = list(enumerate(" ".join(t) for t in [words, words, *near, *far, []]))
+    sets = {i: frozenset(tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)) for i, t in rows}
+    links = {s: sum(t != s and 100 * len(s & t) >= 90 * len(s | t) for t in set(sets.values()) if t) if s else 0 for s in sets.values()}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1000, 4):  # one block, several blocks
+        monkeypatch.setattr(jaccard, "LINK_ROWS", most)
+        got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_join(table).collect()}
+        assert got == {i: links[sets[i]] for i in got} and max(got.values()) > 5
+    assert jaccard.jaccard_join(table, links=False).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_quality(docs):
     got = {(r["doc_id"], r["n_words"]): r for r in quality.score(docs).collect()}
     for r in docs.collect():
