@@ -11,7 +11,7 @@ from itertools import permutations, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stencil import AXES, line
+from .stencil import AXES, bounded, line, with_gaps
 
 CENTRE = 13
 STEPS = {"ix": 1, "iy": 3, "iz": 9}
@@ -31,14 +31,20 @@ def _shifted(value: Column, axis: str, step: int, keys: tuple[str, ...]) -> Colu
     return value if step == 0 else F.first(value).over(line(axis, *keys).rangeBetween(step, step))
 
 
-def around(nodes: DataFrame, columns: list[str], *keys: str, clamp: bool = False) -> DataFrame:
-    """Columns <name>_around: the 27 values of each node's window; null where there is no node, or with `clamp` the nearest one's."""
+def around(nodes: DataFrame, columns: list[str], *keys: str, clamp: bool = False, gaps: bool = False) -> DataFrame:
+    """Columns <name>_around: the 27 values of each node's window; null where there is no node, or with `clamp` the nearest one's.
+
+    With `gaps` values are also passed on over places of the grid without a node; without it all nodes have to be rows.
+    """
     held = nodes.withColumns({f"{c}_around": F.array(c) for c in columns})
+    held = bounded(held.withColumn("_node", F.lit(True))) if gaps else held
     for k, a in enumerate(AXES):
+        held = with_gaps(held, a, 1, *keys) if gaps and a != AXES[-1] else held
         none = lambda c, n=3**k: F.array_repeat(F.lit(None).cast(nodes.schema[c].dataType), n)
-        side = lambda c, s: F.coalesce(_shifted(F.col(f"{c}_around"), a, s, keys), F.col(f"{c}_around") if clamp else none(c))  # noqa: B023, E731
-        held = held.withColumns({f"{c}_around": F.concat(side(c, -1), F.col(f"{c}_around"), side(c, 1)) for c in columns})
-    return held
+        own = lambda c: F.coalesce(f"{c}_around", none(c)) if gaps else F.col(f"{c}_around")  # noqa: B023, E731
+        side = lambda c, s: F.coalesce(_shifted(F.col(f"{c}_around"), a, s, keys), own(c) if clamp else none(c))  # noqa: B023, E731
+        held = held.withColumns({f"{c}_around": F.concat(side(c, -1), own(c), side(c, 1)) for c in columns})
+    return held.where("_node").select(*nodes.columns, *[f"{c}_around" for c in columns]) if gaps else held
 
 
 def window_masks(nodes: DataFrame, flags: list[str], *keys: str) -> DataFrame:

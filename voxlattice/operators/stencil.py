@@ -28,7 +28,14 @@ def erode(body: DataFrame, flag: str, layers: int, *keys: str) -> DataFrame:
     return out.withColumn("core", F.col("_in") == 1).drop("_in")
 
 
-def _with_gaps(nodes: DataFrame, axis: str, reach: int, *keys: str) -> DataFrame:
+def bounded(nodes: DataFrame) -> DataFrame:
+    """The rows that have a place, with the grid's bounds along the first two axes beside them, as `with_gaps` needs them."""
+    rows = nodes.where(" and ".join(f"{a} is not null" for a in AXES))
+    box = rows.agg(*[f(a).alias(f"_{k}_{a}") for a in AXES[:2] for f, k in ((F.min, "lo"), (F.max, "hi"))])  # one row
+    return rows.crossJoin(F.broadcast(box))
+
+
+def with_gaps(nodes: DataFrame, axis: str, reach: int, *keys: str) -> DataFrame:
     """The rows and, within reach of one along the axis and between `_lo` and `_hi` of that axis, a row for every place without one."""
     here, w = F.col(axis), line(axis, *keys)
     after = F.least(here + reach, F.lead(axis).over(w) - 1, F.col(f"_hi_{axis}"))
@@ -46,12 +53,11 @@ def box_sums(nodes: DataFrame, columns: list[str], reach: int, *keys: str, gaps:
     it is not, which is right for nodes whose cube is full.
     """
     names = nodes.columns
-    rows = nodes.where(" and ".join(f"{a} is not null" for a in AXES)).withColumn("_node", F.lit(True))
-    box = rows.agg(*[f(a).alias(f"_{k}_{a}") for a in AXES[:2] for f, k in ((F.min, "lo"), (F.max, "hi"))])  # one row
-    rows = rows.crossJoin(F.broadcast(box)) if gaps else rows
+    rows = nodes.withColumn("_node", F.lit(True))
+    rows = bounded(rows) if gaps else rows.where(" and ".join(f"{a} is not null" for a in AXES))
     for a in AXES:
         if gaps and a != AXES[-1]:
-            rows = _with_gaps(rows, a, reach, *keys)
+            rows = with_gaps(rows, a, reach, *keys)
         w = line(a, *keys).rangeBetween(-reach, reach)
         rows = rows.withColumns({c: F.sum(c).over(w) for c in columns})
     return rows.where("_node").select(*names)

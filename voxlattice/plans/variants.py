@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import stencil, store
+from ..operators import reach, stencil, store
 from ..sources.views import lattice, measurements, table, voxels
 from .nodes import REGIONS, _CORNER_SQL, _REGION_SQL, _cells, _corner_join, _sample
 from .registry import R, query, r6
@@ -187,26 +187,18 @@ SELECT node_id, {R('coalesce(size, 0)')} AS fluctuation, coalesce(size, 0) > 3 A
 def win10_median_vector(spark, sf):
     """Median test of three components on a mesh cut between ix 4 and 5: neighbours on the node's own side, invalid ones left
     out, six at least; a neighbour's fluctuation is about its own median."""
-    n = lattice(spark, sf).where("node_valid").select("node_id", *AXES, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), v.alias("v")) for c, v in (("u", F.col("f")), ("v", F.col("f") * F.col("f")), ("w", 1 / F.col("f")))])).alias("k"))
-    n = n.select("node_id", *AXES, "k.c", "k.v")
-
-    def around(rows, value):
-        """The same-side neighbours' values of each node and component, as a list."""
-        spread = rows.select("c", *AXES, F.col(value).alias("o"), F.explode(stencil.offsets(1)).alias("d"))
-        spread = spread.select("c", *[(F.col(f"i{a}") + F.col(f"d.d{a}")).alias(f"i{a}") for a in "xyz"], "o", (F.col("ix") < 5).alias("side"))
-        return spread.where("(ix < 5) = side").groupBy("c", *AXES).agg(F.collect_list("o").alias("l"))
-
-    def median(c):
-        s, k = F.array_sort(c), F.size(c)
-        return F.when(k > 0, (F.get(s, F.floor((k - 1) / 2).cast("int")) + F.get(s, F.floor(k / 2).cast("int"))) / 2)
-
-    m = n.join(around(n, "v"), ["c", *AXES]).select("node_id", "c", *AXES, F.size("l").alias("k"), F.abs(F.col("v") - median("l")).alias("d"))
-    m = store.write(m)
-    r = m.join(around(m, "d"), ["c", *AXES], "left").select("node_id", "k", (F.col("d") / (median("l") + 0.1)).alias("q"))
-    s = r.groupBy("node_id").agg(F.sqrt(F.sum(F.when((F.col("k") >= 6) & F.col("q").isNotNull(), F.col("q") * F.col("q")).otherwise(0.0))).alias("size"))
-    out = lattice(spark, sf).where("node_valid").select("node_id").join(s, "node_id", "left")
-    size = F.coalesce("size", F.lit(0.0))
-    return out.select("node_id", r6(size).alias("fluctuation"), (size > 3).alias("outlier"))
+    n = lattice(spark, sf)
+    f = F.when(F.col("node_valid"), F.col("f"))
+    n = n.select("node_id", *AXES, "node_valid", f.alias("u"), (f * f).alias("v"), (1 / f).alias("w"))
+    cells = lambda test: F.lit(reach.cells(lambda *d: any(d) and test(d[0])))
+    side = F.when(F.col("ix") == 4, cells(lambda dx: dx < 1)).when(F.col("ix") == 5, cells(lambda dx: dx > -1)).otherwise(cells(lambda dx: True))
+    near = lambda c: reach.within(F.col(f"{c}_around"), side)
+    parts = ("u", "v", "w")
+    n = reach.around(n, list(parts), gaps=True).select("node_id", *AXES, "node_valid", *[F.size(F.array_compact(near(c))).alias(f"k{c}") for c in parts], *[F.abs(F.col(c) - reach.median(near(c))).alias(f"d{c}") for c in parts])
+    n = reach.around(n, [f"d{c}" for c in parts], gaps=True).where("node_valid")
+    n = n.select("node_id", *[F.when(F.col(f"k{c}") >= 6, F.col(f"d{c}") / (reach.median(near(f"d{c}")) + 0.1)).alias(f"q{c}") for c in parts])
+    size = F.sqrt(sum((F.coalesce(F.col(f"q{c}") * F.col(f"q{c}"), F.lit(0.0)) for c in parts), F.lit(0.0)))
+    return n.select("node_id", r6(size).alias("fluctuation"), (size > 3).alias("outlier"))
 
 
 # ---- parameters, schedules, batches ----
