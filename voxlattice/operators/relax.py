@@ -38,8 +38,14 @@ def conjugate_gradient(rows: DataFrame, product: Callable[[DataFrame], DataFrame
     A is symmetric and positive. The systems of all keys run side by side. A round is one product and one sum over each key,
     written to the shared folder; the round before is deleted then, and the driver sees a row a key. Rounds end when every
     key's residual is within the tolerance of its b, or has not fallen for `patience` rounds; `residual` tells which.
+    A column `start`, if there is one, says where x begins.
     """
-    state = rows.withColumns({"x": F.lit(0.0), "r": F.col("b"), "p": F.col("b") / F.col("diagonal")})
+    if "start" in rows.columns:
+        begun = product(rows.withColumn("p", F.col("start"))).withColumns({"x": F.col("start"), "r": F.col("b") - F.col("ap")})
+        rows = rows.drop("start")
+        state = begun.select(*rows.columns, "x", "r", (F.col("r") / F.col("diagonal")).alias("p"))
+    else:
+        state = rows.withColumns({"x": F.lit(0.0), "r": F.col("b"), "p": F.col("b") / F.col("diagonal")})
     best, since, before = float("inf"), 0, ()
     while True:
         state = write(product(state))
