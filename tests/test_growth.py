@@ -203,3 +203,22 @@ def test_near_correlations_need_no_transform(spark, monkeypatch):
     monkeypatch.setattr(solve, "transform", None)
     got = run()
     assert got.keys() == want.keys() == {0, 1} and all(np.allclose(got[k], want[k], rtol=1e-9) for k in got)
+
+
+def test_bricks_go_to_few_groups(spark):
+    import numpy as np
+    import pandas as pd
+
+    from voxlattice.operators import blocks
+
+    v = np.arange(8 * 12 * 44, dtype=float).reshape(8, 12, 44)
+    there = [k for k in np.ndindex(2, 3, 11) if k != (1, 1, 4)]
+    block = lambda k: tuple(slice(4 * i, 4 * i + 4) for i in k)
+    df = spark.createDataFrame([(*map(int, k), v[block(k)].ravel().tolist()) for k in there], "bz long, by long, bx long, data array<double>")
+    v[block((1, 1, 4))] = np.nan
+    grown = np.pad(v, 7, constant_values=np.nan)
+    want = {k: [float(np.nansum(b)), int(np.isnan(b).sum())] for k in there for b in [grown[tuple(slice(4 * i, 4 * i + 18) for i in k)]]}
+    work = lambda key, boxes: pd.DataFrame([(*key, float(np.nansum(boxes["data"])), int(np.isnan(boxes["data"]).sum()))], columns=["bz", "by", "bx", "s", "n"])
+    out = blocks.map_blocks(df, 4, 7, work, "bz long, by long, bx long, s double, n long")
+    assert {tuple(r)[:3]: list(r)[3:] for r in out.collect()} == want
+    assert "Join" not in plan(out)  # 125 copies a brick were joined with the bricks

@@ -40,19 +40,41 @@ def assemble(frame: pd.DataFrame, edge: int, halo: int, data: str = "data") -> n
 
 
 def map_blocks(bricks: DataFrame, edge: int, halo: int, work: Callable[[tuple, dict[str, np.ndarray]], pd.DataFrame], schema: str, volumes: tuple[str, ...] = ("data",), extra: str | None = None) -> DataFrame:
-    """Apply work(brick key, {volume: grown box}) to every brick, one task group each; `extra` names an array of the brick's
-    own that work gets as a third argument."""
-    packed = bricks.select(*KEY, F.struct(*volumes, *([extra] if extra else [])).alias("data"))
-
-    def run(key, frame):
-        boxes = {v: assemble(frame.assign(one=[d[v] for d in frame["data"]]), edge, halo, "one") for v in volumes}
-        key = tuple(int(k) for k in key)
-        if not extra:
-            return work(key, boxes)
-        own = next(d for b, d in zip(zip(frame["bz"], frame["by"], frame["bx"]), frame["data"]) if b == key)
-        return work(key, boxes, np.asarray(own[extra], dtype=float))
-
-    return with_halo(packed, edge, halo).groupBy("tz", "ty", "tx").applyInPandas(run, schema)
+    """Apply work(brick key, {volume: grown box}) to every brick; `extra` names an array of the brick's own that work gets as a
+    third argument.
+
+    A task group is a cube of bricks, some 32 voxels an edge, so that a brick goes to the few cubes it touches and not to every
+    brick around.
+    """
+    side, reach = max(1, 32 // edge), -(-halo // edge)
+    near = bricks.select(*[F.col(k).cast("long").alias(k) for k in KEY], *volumes, *([extra] if extra else []))
+    groups = [f"g{k[1]}" for k in KEY]
+    for k, g in zip(KEY, groups):
+        near = near.withColumn(g, F.explode(F.sequence(F.floor((F.col(k) - reach) / side), F.floor((F.col(k) + reach) / side))))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        places = frame[KEY].to_numpy(np.int64)
+        first = np.array(key, np.int64) * side
+        own = ((places >= first) & (places < first + side)).all(1)
+        if not own.any():
+            return pd.DataFrame()
+        span = side * edge + 2 * halo
+        held = {v: np.full((span,) * 3, np.nan) for v in volumes}
+        for i, at in enumerate((places - first) * edge + halo):
+            lo, hi = np.maximum(at, 0), np.minimum(at + edge, span)
+            if (hi > lo).all():
+                for v in volumes:
+                    raw = np.asarray(frame[v].iloc[i], dtype=np.float64).reshape((edge,) * 3)
+                    held[v][tuple(map(slice, lo, hi))] = raw[tuple(map(slice, lo - at, hi - at))]
+        out = []
+        for i in np.flatnonzero(own):
+            low = (places[i] - first) * edge
+            boxes = {v: held[v][tuple(slice(a, a + edge + 2 * halo) for a in low)].copy() for v in volumes}
+            args = [np.asarray(frame[extra].iloc[i], dtype=float)] if extra else []
+            out.append(work(tuple(map(int, places[i])), boxes, *args))
+        return pd.concat([f for f in out if len(f)] or out[:1], ignore_index=True)
+
+    return near.groupBy(*groups).applyInPandas(run, schema)
 
 
 # ---- matching one volume to another ----
