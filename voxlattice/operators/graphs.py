@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import schwarz
 from .relax import conjugate_gradient, laplace_product
 from .stencil import AXES
 from .store import write
@@ -37,59 +39,42 @@ def least_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def harmonic_fill(nodes: DataFrame, value: str, ident: str = "node_id", largest: int = 20_000) -> DataFrame:
-    """(node, filled): missing nodes take the mean of their direct neighbours, solved exactly per connected gap.
+def harmonic_fill(nodes: DataFrame, value: str, ident: str = "node_id", largest: int = schwarz.SIZE**3) -> DataFrame:
+    """(node, filled): missing nodes take the mean of their direct neighbours; see `harmonic_fills`."""
+    return harmonic_fills(nodes, [value], ident, largest).select("node", F.col(value).alias("filled"))
 
-    Gaps do not influence each other, so each is one linear system: up to `largest` nodes within a task, beyond it by
-    conjugate gradients over the node table, all such gaps side by side. A gap without a known neighbour stays null.
+
+def harmonic_fills(nodes: DataFrame, values: list[str], ident: str = "node_id", largest: int = schwarz.SIZE**3, tolerance: float = 1e-12) -> DataFrame:
+    """(node, values): the nodes where the first value is missing, and with it all others, as means of their direct neighbours.
+
+    All gaps and values are one grid system, solved in overlapping boxes of up to `largest` places; what reaches too far for
+    that is finished by conjugate gradients over the missing nodes. A gap without a known neighbour stays null: beside the
+    values runs a field that is one at every known node, which becomes one in all other gaps and nought there.
     """
-    sides = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a, b, c in sides])).alias("d")
-    gap = nodes.where(F.col(value).isNull())
-    of = grid_components(gap, ident)
-    shifted = nodes.select(F.col(ident).alias("other"), F.col(value).alias("known"), near, *AXES).select("other", "known", *[(F.col(a) + F.col(f"d.{a[1]}")).alias(a) for a in AXES])
-    rows = gap.select(F.col(ident).alias("node"), *AXES).join(shifted, list(AXES)).join(of, "node").select("component", "node", "other", "known")
-    rows = write(rows.join(of.groupBy("component").agg(F.count("*").alias("size")), "component"))
-    wide = rows.where(F.col("size") > largest)
-    rows = rows.where(F.col("size") <= largest).drop("size")
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(frame["node"].to_numpy())
-        at = np.searchsorted(ids, frame["node"].to_numpy())
-        known = frame["known"].to_numpy(dtype=float)
-        rim = ~np.isnan(known)
-        if not rim.any():
-            return pd.DataFrame({"node": ids, "filled": np.nan})
-        degree = np.bincount(at, minlength=len(ids)).astype(float)
-        right = np.bincount(at[rim], weights=known[rim], minlength=len(ids))
-        other = np.searchsorted(ids, frame["other"].to_numpy()[~rim])
-        own = at[~rim]
-        if len(ids) <= 600:
-            a = np.diag(degree)
-            a[own, other] -= 1
-            return pd.DataFrame({"node": ids, "filled": np.linalg.solve(a, right)})
-        x, r = np.zeros(len(ids)), right.copy()
-        p, rr = r / degree, 0.0
-        z = p.copy()
-        rz = r @ z
-        for _ in range(10 * len(ids)):
-            ap = degree * p - np.bincount(own, weights=p[other], minlength=len(ids))
-            step = rz / (p @ ap)
-            x, r = x + step * p, r - step * ap
-            if np.abs(r).max() < 1e-12 * max(1.0, np.abs(right).max()):
-                break
-            z = r / degree
-            rr, rz = rz, r @ z
-            p = z + rz / rr * p
-        return pd.DataFrame({"node": ids, "filled": x})
-
-    kind = nodes.schema[ident].dataType.simpleString()
-    out = rows.groupBy("component").applyInPandas(solve, f"node {kind}, filled double")
-    if wide.limit(1).count():
-        system = wide.groupBy("component", F.col("node").alias("node_id")).agg(F.count("*").cast("double").alias("diagonal"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("b"))
-        rim = wide.groupBy("component").agg(F.count("known").alias("rim")).where("rim > 0").select("component")
-        system = write(system.join(rim, "component").join(gap.select(F.col(ident).alias("node_id"), *AXES), "node_id"))
-        found = conjugate_gradient(system, laplace_product(1.0, ["component"]), ["component"], 1e-12)
-        alone = wide.select("component", "node").distinct().join(rim, "component", "left_anti").select("node", F.lit(None).cast("double").alias("filled"))
-        out = out.union(found.select("node_id", "solution")).union(alone)
-    return out.select("node", F.when(~F.isnan("filled"), F.col("filled")).alias("filled"))
+    size = max(1, int(round(largest ** (1 / 3))))
+    held = {v: f"_v{i}" for i, v in enumerate(values)}
+    systems = [*held.values(), "_one"]
+    rows = nodes.select(F.col(ident).alias("node_id"), *AXES, F.col(values[0]).isNull().alias("gap"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(c) for v, c in held.items()])
+    schema = StructType([*rows.select("node_id", *AXES).schema.fields, *(StructField(c, DoubleType()) for c in ("diagonal", *(f"b_{s}" for s in systems)))])
+
+    def sides(frame: pd.DataFrame, box: schwarz.Box) -> pd.DataFrame:
+        """Of the box's own missing nodes the number of nodes around, and what the known ones add up to."""
+        mine = box.own & frame["gap"].to_numpy(bool)
+        known = box.columns["there"] & ~box.columns["gap"]
+        out = frame.loc[mine, ["node_id", *AXES]].copy()
+        total = lambda v: schwarz.around(v).ravel()[box.at[mine]]
+        out["diagonal"] = np.maximum(total(box.columns["there"].astype(float)), 1.0)  # a node by itself is a gap by itself
+        for c in held.values():
+            out[f"b_{c}"] = total(np.where(known, box.columns[c], 0.0))
+        return out.assign(b__one=total(known.astype(float)))
+
+    gaps = schwarz.boxed(rows, [], size, 1, ["gap", *held.values()], sides, schema)
+
+    def finish(state: DataFrame) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(f"b_{s}").alias("b"), F.col(f"x_{s}").alias("start")) for s in systems])).alias("s")
+        stacked = write(state.select("node_id", *AXES, "diagonal", each).select("node_id", *AXES, "diagonal", "s.*"))
+        found = conjugate_gradient(stacked, laplace_product(1.0, ["system"]), ["system"], tolerance)
+        return found.groupBy("node_id").agg(*[F.max(F.when(F.col("system") == s, F.col("solution"))).alias(f"x_{s}") for s in systems])
+
+    done = schwarz.solve(gaps, [], schwarz.laplace(1.0), ["diagonal"], systems, tolerance, finish, size)
+    return done.select(F.col("node_id").alias("node"), *[F.when(F.col("x__one") > 0.5, F.col(f"x_{c}")).alias(v) for v, c in held.items()])
