@@ -37,3 +37,43 @@ def test_gaps_that_reach_far_are_finished(spark, monkeypatch):
     monkeypatch.setattr(schwarz, "solve", lambda *a: whole(*a, slow=0.0))  # finished by conjugate gradients
     got = {r["node"]: (r["v"], r["w"]) for r in graphs.harmonic_fills(df, ["v", "w"]).collect()}
     assert len(got) == 28 and all(abs(v - 2 * k) < 1e-9 and abs(w - 1) < 1e-9 for k, (v, w) in got.items())
+
+
+def test_search_goes_by_cubes_of_bricks(spark, monkeypatch, tmp_path):
+    from voxlattice.operators import pyramid
+
+    f = np.random.default_rng(32).normal(size=(16, 16, 36))
+    moved = np.roll(f, 2, axis=2)
+    cut = lambda v, k: v[tuple(slice(4 * i, 4 * i + 4) for i in k)].ravel().tolist()
+    bricks = list(np.ndindex(4, 4, 9))
+    table = spark.createDataFrame([(*map(int, k), cut(f, k), cut(moved, k)) for k in bricks], "bz long, by long, bx long, ref array<double>, def array<double>")
+    nodes = spark.createDataFrame([(i, *(4 * int(c) + 2 for c in k), 0, 0, 0) for i, k in enumerate(bricks)], "node_id long, z long, y long, x long, sz long, sy long, sx long")
+    kept, log = pyramid._box, str(tmp_path / "boxes")
+
+    def counted(*args):
+        with open(log, "a") as out:
+            out.write(".")
+        return kept(*args)
+
+    monkeypatch.setattr(pyramid, "_box", counted)
+    got = {r["node_id"]: (r["tz"], r["ty"], r["tx"]) for r in pyramid.search(table, 4, nodes, 1, 2).where("zncc > 0.999").collect()}
+    assert {i for i, t in got.items() if t == (0, 0, 2)} >= {i for i, k in enumerate(bricks) if 0 < k[2] < 8}
+    assert len(open(log).read()) == 4  # two boxes for each of two cubes, where each of 144 bricks had its own
+
+
+def test_peak_in_a_box_with_absent_voxels():
+    from voxlattice.operators import pyramid
+
+    rng = np.random.default_rng(33)
+    a, g = rng.normal(size=(3, 3, 3)), np.full((12, 12, 12), np.nan)
+    g[4:11, 5:12, 2:9] = rng.normal(size=(7, 7, 7))
+    g[9, 9, 4] = np.nan
+    windows = np.lib.stride_tricks.sliding_window_view(g, a.shape).reshape(1000, 27)
+    d = windows - windows.mean(1, keepdims=True)
+    score = d @ (a - a.mean()).ravel() / np.sqrt((d * d).sum(1) * ((a - a.mean()) ** 2).sum())
+    found, value = pyramid.peak(a, g)
+    assert found == np.unravel_index(np.nanargmax(score), (10, 10, 10)) and abs(value - np.nanmax(score)) < 1e-12
+    g[:] = np.nan
+    assert pyramid.peak(a, g)[0] is None
+    g[4:6] = 1.0
+    assert pyramid.peak(a, g)[0] is None  # thinner than the subset

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import KEY
-from .graphs import harmonic_fill
+from .graphs import harmonic_fills
 from .reach import fluctuation, reachable
 from .stencil import AXES, at
 from .store import discard, write
@@ -32,17 +32,42 @@ def peak(a: np.ndarray, g: np.ndarray) -> tuple[tuple[int, int, int] | None, flo
     """Where in the box g the subset a has its greatest zero-mean normalised correlation (the first of equal ones), and that."""
     if a.size == 0 or np.isnan(a).any() or any(n < k for n, k in zip(g.shape, a.shape)):
         return None, np.nan
+    # windows with absent voxels don't count, so the box shrinks to where voxels are
+    there, first = ~np.isnan(g), []
+    for axis in range(3):
+        held = np.flatnonzero(there.any(axis=tuple(k for k in range(3) if k != axis)))
+        if len(held) == 0:
+            return None, np.nan
+        first.append(int(held[0]))
+        g = g[tuple(slice(held[0], held[-1] + 1) if k == axis else slice(None) for k in range(3))]
+    if any(n < k for n, k in zip(g.shape, a.shape)):
+        return None, np.nan
     a = a - a.mean()
     power = (a * a).sum()
-    windows = np.lib.stride_tricks.sliding_window_view(g, a.shape)
-    sums, squares = windows.sum(axis=(3, 4, 5)), np.einsum("ijkabc,ijkabc->ijk", windows, windows)
+    count = [n - k + 1 for n, k in zip(g.shape, a.shape)]
+    at = lambda v, d: v[tuple(slice(p, p + n) for p, n in zip(d, count))]
+    sums, squares = _windows(g, a.shape), _windows(g * g, a.shape)
+    # every window adds up in the same order, so that equal windows stay equal
+    cross, part = np.zeros(count), np.empty(count)
+    for d in np.ndindex(a.shape):
+        np.multiply(at(g, d), a[d], out=part)
+        cross += part
     spread = squares - sums * sums / a.size
     flat = ~(spread > 1e-12 * squares) | ~(power > 0)  # also windows with absent voxels
-    score = np.where(flat, -np.inf, np.einsum("ijkabc,abc->ijk", windows, a) / np.sqrt(np.where(flat, 1.0, spread) * max(power, 1e-300)))
+    score = np.where(flat, -np.inf, cross / np.sqrt(np.where(flat, 1.0, spread) * max(power, 1e-300)))
     best = int(np.argmax(score))
     if not np.isfinite(score.flat[best]):
         return None, np.nan
-    return tuple(int(k) for k in np.unravel_index(best, score.shape)), float(score.flat[best])
+    return tuple(int(k) + f for k, f in zip(np.unravel_index(best, score.shape), first)), float(score.flat[best])
+
+
+def _windows(v: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of every window of that shape, axis by axis."""
+    for axis, k in enumerate(shape):
+        n = v.shape[axis] - k + 1
+        v = sum(np.moveaxis(v, axis, 0)[i : i + n] for i in range(k))
+        v = np.moveaxis(v, 0, axis)
+    return v
 
 
 def _box(pieces: pd.DataFrame, lo: np.ndarray, side: int, edge: int) -> np.ndarray:
@@ -59,19 +84,22 @@ def _box(pieces: pd.DataFrame, lo: np.ndarray, side: int, edge: int) -> np.ndarr
 def search(bricks: DataFrame, edge: int, nodes: DataFrame, half: int, radius: int) -> DataFrame:
     """(node_id, tz, ty, tx, zncc, clipped): each node's best shift within the radius of its start sz, sy, sx.
 
-    Nodes are grouped by the brick of their centre and the brick of where they start; a group gets the bricks around the
-    two, so that its memory doesn't depend on how far things moved. A subset or a whole search without voxels gives a null
+    Nodes are grouped by the cube of bricks, some 32 voxels an edge, of their centre and the cube of where they start; a group
+    gets the bricks around the two, so that its memory doesn't depend on how far things moved. A subset or a whole search without voxels gives a null
     correlation. `clipped`: the best shift lies on the search's border.
     """
-    whole = lambda a: F.floor(F.col(a) / edge).cast("long")
-    moved = lambda a: F.floor((F.col(a) + F.col(f"s{a}")) / edge).cast("long")
+    side = max(1, 32 // edge)
+    span = side * edge
+    whole = lambda a: F.floor(F.col(a) / span).cast("long")
+    moved = lambda a: F.floor((F.col(a) + F.col(f"s{a}")) / span).cast("long")
     placed = nodes.select("node_id", *"zyx", "sz", "sy", "sx", *[whole(a).alias(f"r{a}") for a in "zyx"], *[moved(a).alias(f"d{a}") for a in "zyx"])
 
     def touched(kind: str, origin: list[str], halo: int) -> DataFrame:
-        """The bricks that the brick `origin`, grown by the halo, touches."""
-        r = -(-halo // edge)
-        near = F.array(*[F.struct(*[F.lit(k).alias(b) for k, b in zip(d, KEY)]) for d in np.ndindex((2 * r + 1,) * 3)])
-        return around.select(*groups, F.explode(near).alias("p")).select(*groups, F.lit(kind).alias("kind"), *[(F.col(o) + F.col(f"p.{b}") - r).alias(b) for o, b in zip(origin, KEY)])
+        """The bricks that the cube `origin`, grown by the halo, touches."""
+        r, out = -(-halo // edge), around.select(*groups, F.lit(kind).alias("kind"))
+        for o, b in zip(origin, KEY):
+            out = out.withColumn(b, F.explode(F.sequence(F.col(o) * side - r, F.col(o) * side + side - 1 + r)))
+        return out
 
     groups = [*_FROM, *_TO]
     around = placed.select(*groups).distinct()
@@ -81,9 +109,9 @@ def search(bricks: DataFrame, edge: int, nodes: DataFrame, half: int, radius: in
 
     def run(key: tuple, pieces: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         where = np.array(key, dtype=int)
-        start, aim = where[:3] * edge - half, where[3:] * edge - half - radius
-        f = _box(pieces[pieces["kind"] == "ref"], start, edge + 2 * half, edge)
-        g = _box(pieces[pieces["kind"] == "def"], aim, edge + 2 * (half + radius), edge)
+        start, aim = where[:3] * span - half, where[3:] * span - half - radius
+        f = _box(pieces[pieces["kind"] == "ref"], start, span + 2 * half, edge)
+        g = _box(pieces[pieces["kind"] == "def"], aim, span + 2 * (half + radius), edge)
         out = []
         for ident, centre, s in zip(rows["node_id"], rows[["z", "y", "x"]].to_numpy(int), rows[["sz", "sy", "sx"]].to_numpy(int)):
             cut = lambda v, lo, reach, c: v[tuple(slice(p - reach, p + reach + 1) for p in c - lo)]
@@ -150,11 +178,8 @@ def clean(nodes: DataFrame, threshold: float = 2.0) -> DataFrame:
     kept = write(flagged.withColumns({c: F.when(apart <= threshold, F.col(c)) for c in ("tz", "ty", "tx")}).select("node_id", *AXES, "tz", "ty", "tx"))
     if not kept.where("tz is null").limit(1).count():
         return kept
-    out = kept
-    for c in ("tz", "ty", "tx"):
-        fill = harmonic_fill(kept, c).select(F.col("node").alias("node_id"), F.col("filled").alias("_f"))
-        out = out.join(fill, "node_id", "left").withColumn(c, F.coalesce(c, "_f", F.lit(0.0))).drop("_f")
-    return write(out)
+    filled = harmonic_fills(kept, ["tz", "ty", "tx"]).select(F.col("node").alias("node_id"), *[F.col(c).alias(f"_{c}") for c in ("tz", "ty", "tx")])
+    return write(kept.join(filled, "node_id", "left").select("node_id", *AXES, *[F.coalesce(c, f"_{c}", F.lit(0.0)).alias(c) for c in ("tz", "ty", "tx")]))
 
 
 def pyramid_search(bricks: DataFrame, edge: int, nodes: DataFrame, half: int, radius: int, levels: int, threshold: float = 2.0) -> DataFrame:
