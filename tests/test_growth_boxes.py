@@ -77,3 +77,19 @@ def test_peak_in_a_box_with_absent_voxels():
     assert pyramid.peak(a, g)[0] is None
     g[4:6] = 1.0
     assert pyramid.peak(a, g)[0] is None  # thinner than the subset
+
+
+def test_median_test_copies_no_node_to_its_neighbours(spark, sf, tmp_path):
+    """A part layer and gaps: as the SQL says, and without a join of 26 copies a node."""
+    import duckdb
+
+    from voxlattice.catalog import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{sf}/orders.parquet' WHERE o_orderkey < 1237 AND o_orderkey % 7 <> 3 AND o_orderkey // 100 NOT BETWEEN 4 AND 6 OR o_orderkey = 555) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    out = QUERIES["win10_median_test"](spark, str(tmp_path))
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT node_id, residual, outlier FROM ({ORACLES['win10_median_test']})").fetchall()}
+    got = {r["node_id"]: (r["residual"], r["outlier"]) for r in out.collect()}
+    assert got == want and 555 not in got and any(v[0] is None for v in got.values())

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import strain as st
-from ..operators import precision, stats, stencil, store
+from ..operators import precision, schwarz, stats, stencil, store
 from ..sources.views import lattice, measurements, table, voxels
 from .nodes import REGIONS, _cells, _sample
 from .registry import R, query, r6
@@ -344,18 +347,31 @@ def win10_median_test(spark, sf):
     """Universal median test on 26 neighbours, edges repeating the nearest node; the upper middle value. A node's distance from
     its neighbours' median is held against the median of its neighbours' own distances."""
     n = lattice(spark, sf).select("node_id", "ix", "iy", "iz", "f")
-    top = n.agg(F.max("iz").alias("mz"))
-
-    def middle(rows, value):
-        """(node_id, middle value around) of every node: a clamped stencil join."""
-        c = n.crossJoin(F.broadcast(top)).select("node_id", F.explode(stencil.offsets(1)).alias("d"), "ix", "iy", "iz", "mz")
-        edge = lambda a, hi: F.least(F.greatest(F.col(f"i{a}") + F.col(f"d.d{a}"), F.lit(0)), hi)
-        c = c.select("node_id", edge("x", F.lit(9)).alias("ix"), edge("y", F.lit(9)).alias("iy"), edge("z", F.col("mz")).alias("iz"))
-        return c.join(rows.select("ix", "iy", "iz", value), ["ix", "iy", "iz"]).groupBy("node_id").agg(F.get(F.array_sort(F.collect_list(value)), F.lit(13)).alias("m"))
-
-    d = store.write(n.join(middle(n, "f"), "node_id").select("node_id", "ix", "iy", "iz", F.abs(F.col("f") - F.col("m")).alias("d")))
-    q = F.col("d") / (F.col("m") + 0.1)
-    return d.join(middle(d, "d"), "node_id").select("node_id", r6(q).alias("residual"), (q > 2).alias("outlier"))
+    n = n.crossJoin(F.broadcast(n.agg(F.max("iz").alias("mz"))))
+
+    def around(v, low, last, none):
+        """What the 26 places around every place of a dense box hold, edges repeating the nearest place."""
+        held = np.pad(v, 1, constant_values=none)  # from low - 1 on
+        held = held[np.ix_(*[np.clip(np.clip(np.arange(a - 1, a + n + 1), 0, hi) - a + 1, 0, n + 1) for a, n, hi in zip(low, v.shape, last)])]
+        return np.stack([held[tuple(slice(k, k + n) for k, n in zip(c, v.shape))] for c in np.ndindex((3, 3, 3)) if c != (1, 1, 1)], -1)
+
+    def middle(v, low, last):
+        near = around(v, low, last, np.nan)
+        near.partition(13, axis=-1)  # absent ones come last
+        return near[..., 13]
+
+    def judge(frame, box):
+        low, last = frame[["ix", "iy", "iz"]].min().to_numpy(int), (9, 9, int(frame["mz"].iloc[0]))
+        v = np.where(box.columns["there"], box.columns["f"], np.nan)
+        d = np.abs(v - middle(v, low, last))
+        q = d / (middle(d, low, last) + 0.1)
+        judged = box.own & around(box.columns["there"], low, last, False).any(-1).ravel()[box.at]
+        return pd.DataFrame({"node_id": frame["node_id"].to_numpy()[judged], "q": q.ravel()[box.at[judged]]})
+
+    schema = StructType([n.schema["node_id"], StructField("q", DoubleType())])
+    done = schwarz.boxed(n, [], schwarz.SIZE, 2, ["f"], judge, schema)
+    q = F.when(~F.isnan("q"), F.col("q"))
+    return done.select("node_id", r6(q).alias("residual"), (q > 2).alias("outlier"))
 
 
 # ---- sorts, limits, samples ----
