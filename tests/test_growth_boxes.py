@@ -107,3 +107,16 @@ def test_bodies_go_by_cubes_of_bricks(spark, monkeypatch):
     assert slices.count() == 80 and rounds == [0]  # a slice lies in one cube, and no body has to be named for its holes
     assert bodies.clean_mask(table, 4).count() == 80
     assert edges[1] <= 2 * 2 * 64  # labels on either side of the two faces between three cubes of 8 layers
+
+
+def test_largest_body_is_labelled_by_cubes(spark, sf, monkeypatch):
+    import duckdb
+
+    from voxlattice.catalog import ORACLES, QUERIES
+    from voxlattice.operators import graphs
+
+    monkeypatch.setattr(graphs, "grid_components", None)  # edges of all voxels
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    got = {tuple(r) for r in QUERIES["agg21_largest_body"](spark, sf).select("component", "size", "largest").collect()}
+    assert got == set(con.execute(f"SELECT component, size, largest FROM ({ORACLES['agg21_largest_body']})").fetchall())

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import bodies, reach, store
 from ..operators import stencil as sl
 from ..sources import volume_source
-from ..sources.views import lattice, voxels
-from .jobs import bricks
+from ..sources.views import lattice
+from .jobs import bricks, mask
 from .registry import R, query, r6
 
 # ---- volume files ----
@@ -117,17 +117,9 @@ def win10_median_cut(spark, sf):
 # ---- bodies, holes and elements across gaps ----
 
 
-def _mask(spark, sf, level: float | None):
-    """Bricks of the voxels above a level (none: the mean)."""
-    b = bricks(spark, sf)
-    mean = voxels(spark, sf).agg(F.avg("v").alias("level")) if level is None else None
-    b = b.crossJoin(F.broadcast(mean)) if level is None else b.withColumn("level", F.lit(level))
-    return b.select("bz", "by", "bx", F.transform("data", lambda v: (v > F.col("level")).cast("double")).alias("mask"))
-
-
-def _counts(mask):
+def _counts(kept):
     n = lambda c: F.size(F.filter("mask", lambda x: x == c)).cast("long")
-    return mask.select("bz", "by", "bx", n(True).alias("voxels"))
+    return kept.select("bz", "by", "bx", n(True).alias("voxels"))
 
 
 _SIDES = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) n(a, b, c)"
@@ -151,13 +143,13 @@ z AS (SELECT lab FROM l GROUP BY lab ORDER BY count(*) DESC, min(rank) LIMIT 1)
 SELECT CAST(k.z // 4 AS BIGINT) AS bz, CAST(k.y // 4 AS BIGINT) AS by, CAST(k.x // 4 AS BIGINT) AS bx, count(*) FILTER (l.lab = (SELECT lab FROM z)) AS voxels FROM k JOIN l ON l.rank = k.rank GROUP BY ALL""")
 def agg21_auto_mask(spark, sf):
     """Voxels above the mean, their holes filled, the largest body kept; counted by brick."""
-    return _counts(bodies.clean_mask(_mask(spark, sf, None), 4))
+    return _counts(bodies.clean_mask(mask(spark, sf, None), 4))
 
 
 @query(f"""WITH RECURSIVE {_outside(_SIDES.replace(', (0, 0, 1), (0, 0, -1)', ''))} SELECT CAST(p.z // 4 AS BIGINT) AS bz, CAST(p.y // 4 AS BIGINT) AS by, CAST(p.x // 4 AS BIGINT) AS bx, count(*) FILTER (m OR o.x IS NULL) AS voxels FROM p LEFT JOIN o ON o.x = p.x AND o.y = p.y AND o.z = p.z GROUP BY ALL""")
 def prj12_slice_fill(spark, sf):
     """Holes filled slice by slice; counted by brick."""
-    return _counts(bodies.clean_mask(_mask(spark, sf, None), 4, keep_largest=False, axes=(1, 2)))
+    return _counts(bodies.clean_mask(mask(spark, sf, None), 4, keep_largest=False, axes=(1, 2)))
 
 
 _LEVEL = -0.06
@@ -171,11 +163,11 @@ br AS (SELECT el.ix, el.iy, el.iz, count(fl.x) FILTER (fl.x % 4 = 0 AND fl.y % 4
 @query(f"WITH RECURSIVE {_ELEMENTS} SELECT iz, iy, ix, bridging FROM br")
 def join11_bridging_elements(spark, sf):
     """Elements of a node grid whose corners the material in their box doesn't join."""
-    return bodies.bridging(_mask(spark, sf, _LEVEL), 4, 4)
+    return bodies.bridging(mask(spark, sf, _LEVEL), 4, 4)
 
 
 @query(f"""WITH RECURSIVE {_ELEMENTS}, g AS (SELECT 'iz' AS axis, iz, iy + u AS iy, ix + v AS ix, bridging FROM br, range(2) q(u), range(2) w(v) UNION ALL SELECT 'iy', iz + u, iy, ix + v, bridging FROM br, range(2) q(u), range(2) w(v) UNION ALL SELECT 'ix', iz + u, iy + v, ix, bridging FROM br, range(2) q(u), range(2) w(v))
 SELECT iz, iy, ix, axis, bool_and(bridging) AS cut FROM g GROUP BY iz, iy, ix, axis""")
 def join11_mask_cut_edges(spark, sf):
     """Edges of the node grid that the mask cuts: all elements that hold them bridge a gap."""
-    return bodies.cut_edges(bodies.bridging(_mask(spark, sf, _LEVEL), 4, 4))
+    return bodies.cut_edges(bodies.bridging(mask(spark, sf, _LEVEL), 4, 4))

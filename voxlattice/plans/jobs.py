@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import blocks, graphs, motion, pyramid, solve
+from ..operators import blocks, bodies, graphs, motion, pyramid, solve, store
 from ..operators import stencil as sl
 from ..sources import volumes
 from ..sources.views import lattice, measurements, table, voxels
@@ -19,6 +19,14 @@ def bricks(spark, sf):
     return table(spark, sf, "embeddings").select(F.expr("vec_id div 64").alias("bz"), (F.expr("vec_id div 8") % 8).alias("by"), (v % 8).alias("bx"), F.col("embedding").cast("array<double>").alias("data"))
 
 
+def mask(spark, sf, level: float | None):
+    """Bricks of the voxels above a level (none: the mean)."""
+    b = bricks(spark, sf)
+    mean = voxels(spark, sf).agg(F.avg("v").alias("level")) if level is None else None
+    b = b.crossJoin(F.broadcast(mean)) if level is None else b.withColumn("level", F.lit(level))
+    return b.select("bz", "by", "bx", F.transform("data", lambda v: (v > F.col("level")).cast("double")).alias("mask"))
+
+
 def _field(spark, sf):
     return measurements(spark, sf).join(lattice(spark, sf).where("node_valid").select("node_id", "x", "y", "z"), "node_id")
 
@@ -72,13 +80,10 @@ u AS (SELECT rank AS seed, rank FROM k WHERE rank NOT IN (SELECT rank FROM j) UN
 SELECT component, size, component = (SELECT component FROM q ORDER BY size DESC, component LIMIT 1) AS largest FROM q""")
 def agg21_largest_body(spark, sf):
     """Voxels above the mean: the connected bodies and which is the largest."""
-    v = voxels(spark, sf)
-    ids = v.select((F.col("x") + 32 * F.col("y") + 1024 * F.col("z")).alias("node_id"), F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("z").alias("iz"), "v")
-    body = ids.crossJoin(F.broadcast(ids.agg(F.avg("v").alias("level")))).where("v > level").select("node_id", *sl.AXES)
-    parts = graphs.grid_components(body)
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    top = sizes.agg(F.max(F.struct("size", -F.col("component"))).alias("m"))
-    return sizes.crossJoin(F.broadcast(top)).select("component", "size", (-F.col("component") == F.col("m.col2")).alias("largest"))
+    parts = bodies.sizes(mask(spark, sf, None), 4).select(((F.col("z") * 32 + F.col("y")) * 32 + F.col("x")).alias("component"), "size")
+    parts = store.write(parts)
+    top = parts.agg(F.max(F.struct("size", -F.col("component"))).alias("m"))
+    return parts.crossJoin(F.broadcast(top)).select("component", "size", (-F.col("component") == F.col("m.col2")).alias("largest"))
 
 
 @query()
