@@ -120,3 +120,16 @@ def test_largest_body_is_labelled_by_cubes(spark, sf, monkeypatch):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     got = {tuple(r) for r in QUERIES["agg21_largest_body"](spark, sf).select("component", "size", "largest").collect()}
     assert got == set(con.execute(f"SELECT component, size, largest FROM ({ORACLES['agg21_largest_body']})").fetchall())
+
+
+def test_slices_reach_python_as_plain_numbers(spark, sf, monkeypatch):
+    from voxlattice.catalog import QUERIES
+    from voxlattice.sources import volumes
+
+    seen = []
+    kept = volumes.stack_slices
+    monkeypatch.setattr(volumes, "stack_slices", lambda slices, edge: seen.append(slices) or kept(slices, edge))
+    assert QUERIES["src3_stack_slices"](spark, sf).count() == 1
+    plan = seen[0]._jdf.queryExecution().analyzed().toString()
+    child = seen[0]._jdf.queryExecution().analyzed().children().head()
+    assert "MapInPandas" in plan and child.schema().apply("cells").dataType().simpleString() == "array<float>"

@@ -271,14 +271,17 @@ def src3_stack_slices(spark, sf):
 
     def images(batches):
         for b in batches:
-            out = []
-            for cells in b["cells"]:
-                raw = io.BytesIO()
-                np.save(raw, np.array([c["v"] for c in cells], "<f4").reshape(32, 32))
-                out.append(raw.getvalue())
-            yield b[["path", "z"]].assign(content=out)
+            for k in range(0, len(b), 64):
+                part, out = b.iloc[k : k + 64], []
+                for cells in part["cells"]:
+                    raw = io.BytesIO()
+                    np.save(raw, np.asarray(cells, "<f4").reshape(32, 32))
+                    out.append(raw.getvalue())
+                yield part[["path", "z"]].assign(content=out)
 
     s = voxels(spark, sf).groupBy(F.lit("stack").alias("path"), F.col("z").cast("int").alias("z")).agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("cells")).where("size(cells) = 1024")
+    # plain numbers: a batch of cells as structs would be ten million Python objects
+    s = s.select("path", "z", F.transform("cells", lambda c: c["v"].cast("float")).alias("cells"))
     bricks = volumes.stack_slices(s.mapInPandas(images, "path string, z int, content binary"), 4)
     return volumes.brick_moments(bricks).select("path", "n", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
 
