@@ -133,3 +133,18 @@ def test_slices_reach_python_as_plain_numbers(spark, sf, monkeypatch):
     plan = seen[0]._jdf.queryExecution().analyzed().toString()
     child = seen[0]._jdf.queryExecution().analyzed().children().head()
     assert "MapInPandas" in plan and child.schema().apply("cells").dataType().simpleString() == "array<float>"
+
+
+def test_coarse_to_fine_copies_no_node_to_its_corners(spark, sf, tmp_path):
+    """Gaps in the lattice, also where coarse nodes end early: as the SQL says, each node in one group."""
+    import duckdb
+
+    from voxlattice.catalog import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{sf}/orders.parquet' WHERE o_orderkey % 17 <> 5 AND o_orderkey // 100 NOT IN (6, 12)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    out = QUERIES["join8_coarse_to_fine"](spark, str(tmp_path))
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().executedPlan().toString()
+    want = dict(con.execute(f"SELECT node_id, value FROM ({ORACLES['join8_coarse_to_fine']})").fetchall())
+    assert {r["node_id"]: r["value"] for r in out.collect()} == want and len(want) > 1000

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..operators import graphs, store
@@ -475,14 +478,32 @@ def join8_coarse_to_fine(spark, sf):
     filled = _nearest_fill(c, exact=True).select("node_id", F.col("value").alias("g"))
     c = c.join(filled, "node_id", "left").select(*[F.col(f"i{a}").alias(f"c{a}") for a in "xyz"], F.coalesce("g", "f").alias("f"))
     top = c.agg(*[(F.max(f"c{a}") - 1).alias(f"m{a}") for a in "xyz"])
-    p = n.crossJoin(F.broadcast(top)).select("node_id", *[(F.col(f"i{a}") / 3.0).alias(f"g{a}") for a in "xyz"], *[F.least(F.expr(f"i{a} div 3"), F.col(f"m{a}")).alias(f"{a}0") for a in "xyz"])
-    corners = F.explode(F.array(*[F.struct(*[F.lit(k >> i & 1).alias(a) for i, a in enumerate("xyz")]) for k in range(8)])).alias("d")
-    w = F.lit(1.0)
+    # a node goes to one block of coarse cells, a coarse node to the few blocks whose cells it is a corner of
+    size, block = 16, [f"b{a}" for a in "xyz"]
+    p = n.crossJoin(F.broadcast(top)).select("node_id", *[f"i{a}" for a in "xyz"], *[F.least(F.expr(f"i{a} div 3"), F.col(f"m{a}")).alias(f"{a}0") for a in "xyz"])
+    p = p.select("*", *[F.floor(F.col(f"{a}0") / size).alias(f"b{a}") for a in "xyz"])
     for a in "xyz":
-        t = F.col(f"g{a}") - F.col(f"{a}0")
-        w = w * F.when(F.col(f"d.{a}") == 1, t).otherwise(1 - t)
-    k = p.select("*", corners).select("node_id", *[(F.col(f"{a}0") + F.col(f"d.{a}")).alias(f"c{a}") for a in "xyz"], w.alias("w"))
-    return k.join(c, ["cx", "cy", "cz"]).groupBy("node_id").agg(r6(F.sum(F.col("w") * F.col("f"))).alias("value"))
+        c = c.withColumn(f"b{a}", F.explode(F.sequence(F.floor((F.col(f"c{a}") - 1) / size), F.floor(F.col(f"c{a}") / size))))
+
+    def between(key, nodes, coarse):
+        first = np.array(key, np.int64) * size
+        value, there = np.full((size + 1,) * 3, np.nan), np.zeros((size + 1,) * 3, bool)
+        at = tuple((coarse[["cx", "cy", "cz"]].to_numpy(np.int64) - first).T)
+        value[at], there[at] = coarse["f"], True
+        low = nodes[["x0", "y0", "z0"]].to_numpy(np.int64)
+        t = nodes[["ix", "iy", "iz"]].to_numpy(float) / 3.0 - low
+        total, known, some = np.zeros(len(nodes)), np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
+        for k in np.ndindex((2, 2, 2)):
+            corner = tuple((low - first + k).T)
+            w = np.where(k, t, 1 - t).prod(axis=1)
+            v = value[corner]
+            total += np.where(np.isnan(v), 0.0, w * v)
+            known |= ~np.isnan(v)
+            some |= there[corner]
+        return pd.DataFrame({"node_id": nodes["node_id"][some], "s": np.where(known, total, np.nan)[some]})
+
+    done = p.groupBy(*block).cogroup(c.groupBy(*block)).applyInPandas(between, StructType([n.schema["node_id"], StructField("s", DoubleType())]))
+    return done.select("node_id", F.when(~F.isnan("s"), r6("s")).alias("value"))
 
 
 def _nearest_fill(nodes, exact=False):
