@@ -148,3 +148,18 @@ def test_coarse_to_fine_copies_no_node_to_its_corners(spark, sf, tmp_path):
     assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().executedPlan().toString()
     want = dict(con.execute(f"SELECT node_id, value FROM ({ORACLES['join8_coarse_to_fine']})").fetchall())
     assert {r["node_id"]: r["value"] for r in out.collect()} == want and len(want) > 1000
+
+
+def test_a_chain_of_frames_follows_in_one_pass(spark, monkeypatch, tmp_path):
+    from voxlattice.operators import store
+    from voxlattice.streaming import frames
+
+    written, kept = [], store.write
+    monkeypatch.setattr(store, "write", lambda df: written.append(1) or kept(df))
+    schedule = spark.createDataFrame([(f, f - 1) for f in range(1, 7)], "frame long, ref long")
+    pairs = spark.createDataFrame([(f, n, 1.0) for f in range(1, 7) for n in (-3, 5, 1005) if (f, n) != (4, 5)], "frame long, node_id long, u double")
+    frames.advance(pairs, schedule, f"{tmp_path}/a")
+    got = {(r["frame"], r["node_id"]): r["u_total"] for r in spark.read.parquet(f"{tmp_path}/a/total").collect()}
+    assert got == {(f, n): float(f) for f in range(1, 7) for n in (-3, 5, 1005) if n != 5 or f < 4}
+    assert sorted(map(tuple, frames.waiting(spark, f"{tmp_path}/a").collect())) == [(5, 5, 1.0), (6, 5, 1.0)]
+    assert len(written) == 1  # not a round of joins a frame

@@ -26,6 +26,8 @@ def _stored(spark: SparkSession, folder: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Nodes whose ids fall into one block of this many are followed together: a group of rows, or a state row that a task reads and writes once a batch.
+BLOCK = 1000
 _WAITING = "version long, node_id long, u double, frame long"
 
 
@@ -36,6 +38,34 @@ def waiting(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(F.col("version") == (current if current is not None else -1)).select("frame", "node_id", "u")
 
 
+def _chains(key: tuple, new: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+    """Of one block of nodes the pairs that aren't stored: with their total where the reference has one by now, else as they are."""
+    if not len(new):
+        return pd.DataFrame({"node_id": [], "frame": [], "u": [], "done": []})
+    alone = pd.isna(key[0])  # rows without a node are one node
+    ref = new["ref"].to_numpy(np.int64)
+    frame = np.concatenate([new["frame"].to_numpy(np.int64), have["frame"].to_numpy(np.int64)])
+    node = np.zeros(len(frame), np.int64) if alone else np.concatenate([new["node_id"].to_numpy(np.int64), have["node"].to_numpy(np.int64)]) - int(key[0]) * BLOCK
+    u = np.concatenate([new["u"].to_numpy(float), have["u_total"].to_numpy(float)])
+    names, n = np.unique(np.concatenate([frame, ref])), len(new)
+    pair = lambda node, frame: node * len(names) + np.searchsorted(names, frame)
+    pairs = pair(node, frame)
+    fresh = ~np.isin(pairs[:n], pairs[n:])
+    done = np.arange(len(pairs)) >= n
+    order = np.lexsort((~done, pairs))  # a stored pair before a new one
+    wanted = pair(node[:n], ref)
+    at = np.minimum(np.searchsorted(pairs[order], wanted), len(pairs) - 1)
+    place = np.where(pairs[order][at] == wanted, order[at], -1)
+    while True:
+        ready = fresh & ~done[:n] & ((ref == 0) | ((place >= 0) & done[place]))
+        if not ready.any():
+            break
+        u[:n][ready] += np.where(ref[ready] == 0, 0.0, u[place[ready]])
+        done[:n] |= ready
+    ids = [None] * int(fresh.sum()) if alone else node[:n][fresh] + int(key[0]) * BLOCK
+    return pd.DataFrame({"node_id": pd.Series(ids, dtype="Int64"), "frame": frame[:n][fresh], "u": u[:n][fresh], "done": done[:n][fresh]})
+
+
 def advance(new: DataFrame, schedule: DataFrame, folder: str) -> None:
     """Add pair displacements (frame, node_id, u) to the stored cumulative ones, parents before children.
 
@@ -50,18 +80,18 @@ def advance(new: DataFrame, schedule: DataFrame, folder: str) -> None:
     rows = held.unionByName(new.select("frame", "node_id", "u", F.lit(True).alias("fresh"))).groupBy("frame", "node_id").agg(F.max(F.struct("fresh", "u")).alias("m"))
     # the schedule has a row a frame
     rows = rows.select("frame", "node_id", F.col("m.u").alias("u")).join(F.broadcast(schedule), "frame", "left")
-    key = ["frame", "node_id"]
-    for _ in range(schedule.count()):
-        done = _stored(spark, f"{folder}/total", "node_id long, u_total double, frame long")
-        have = done.select(F.col("frame").alias("ref"), "node_id", F.col("u_total").alias("before"))
-        ready = rows.where("ref = 0").select(*key, F.col("u").alias("u_total")).unionByName(rows.join(have, ["ref", "node_id"]).select(*key, (F.col("u") + F.col("before")).alias("u_total")))
-        fresh = store.write(ready.join(done.select(*key), key, "left_anti"))
-        if not fresh.limit(1).count():
-            break
-        # a run that breaks off after this write finds these rows stored and leaves them
-        fresh.write.mode("append").partitionBy("frame").parquet(f"{folder}/total")
     done = _stored(spark, f"{folder}/total", "node_id long, u_total double, frame long")
-    left = rows.join(done.select(*key), key, "left_anti")
+    block = F.floor(F.col("node_id") / BLOCK)
+    have = done.select("frame", F.col("node_id").alias("node"), "u_total").withColumn("_stored_block", F.floor(F.col("node") / BLOCK))
+    scheduled = rows.where("ref is not null").withColumn("_block", block)
+    # a node's chain never leaves its block, so all frames follow in one pass
+    out = scheduled.groupBy("_block").cogroup(have.groupBy("_stored_block")).applyInPandas(_chains, "node_id long, frame long, u double, done boolean")
+    out = store.write(out.withColumn("u", F.when(~F.isnan("u"), F.col("u"))))
+    fresh = out.where("done").select("node_id", F.col("u").alias("u_total"), "frame")
+    # a run that breaks off after this write finds these rows stored and leaves them
+    if fresh.limit(1).count():
+        fresh.write.mode("append").partitionBy("frame").parquet(f"{folder}/total")
+    left = out.where("not done").select("frame", "node_id", "u").unionByName(rows.where("ref is null").join(done.select("frame", "node_id"), ["frame", "node_id"], "left_anti").select("frame", "node_id", "u"))
     version = (_stored(spark, f"{folder}/pointer", "version long").agg(F.max("version")).first()[0] or 0) + 1
     # an earlier run that broke off may have left part of this version: it is replaced
     left.select(F.lit(version).cast("long").alias("version"), "node_id", "u", "frame").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{folder}/waiting")
@@ -74,8 +104,6 @@ def complete(total: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(have, "frame", "left").select("frame", F.coalesce("have", F.lit(0)).alias("nodes"), (F.coalesce("have", F.lit(0)) >= F.col("nodes")).alias("complete"))
 
 
-#: Nodes whose ids fall into one block of this many share a state row: a task reads and writes it once a batch.
-BLOCK = 1000
 _STATE = np.dtype([("node_id", "i8"), ("frame", "i8"), ("u", "f8"), ("done", "?")])
 
 
