@@ -122,3 +122,41 @@ def test_strain_measures(spark):
         assert np.isclose(r["ea"], ((np.eye(3) - np.linalg.inv(f @ f.T)) / 2)[0, 1])
         d = s - np.trace(s) / 3 * np.eye(3)
         assert np.isclose(r["vm"], math.sqrt(2 / 3 * (d * d).sum()))
+
+
+def test_block_matching_takes_every_step(spark):
+    """The quadratic through 27 correlations, Gauss-Newton after it, and the peak's share of the energy, against single subsets."""
+    f, c, half, radius = speckle((24, 24, 24)), np.array([12, 12, 12]), 3, 2
+    shift = np.array([0.4, -0.7, 1.3])
+    phase = sum(np.fft.fftfreq(24).reshape([-1 if a == k else 1 for a in range(3)]) * shift[k] for k in range(3))
+    g = np.fft.ifftn(np.fft.fftn(f) * np.exp(-2j * math.pi * phase)).real
+    cut = lambda v, at: v[tuple(slice(a - half, a + half + 1) for a in at)].ravel()
+    want = np.array([np.corrcoef(cut(f, c), cut(g, c + d - radius))[0, 1] for d in np.ndindex(5, 5, 5)])
+    maps, flat = blocks.correlation_maps(f, g, c[None], half, radius)
+    assert np.allclose(maps[0], want) and not flat.any()
+    whole, zncc, sub, pce, border = blocks.peaks(maps, flat, radius)
+    assert whole[0].tolist() == (np.array(list(np.ndindex(5, 5, 5))[want.argmax()]) - radius).tolist() and not border[0] and zncc[0] == pytest.approx(want.max())
+    assert pce[0] == pytest.approx((want.max() - want.min()) ** 2 / ((want - want.min()) ** 2).mean())
+    around = np.array(list(np.ndindex(3, 3, 3))) - 1
+    x, y, z = around.T
+    c27 = want.reshape(5, 5, 5)[tuple((whole[0] + radius + around).T)]
+    a = np.linalg.lstsq(np.stack([np.ones(27), x, y, z, x * x, y * y, z * z, x * y, x * z, y * z], 1), c27, rcond=None)[0]
+    top = np.linalg.solve([[2 * a[4], a[7], a[8]], [a[7], 2 * a[5], a[9]], [a[8], a[9], 2 * a[6]]], -a[1:4])
+    assert np.allclose(sub[0], top) and np.abs(whole + sub - shift).max() < 0.5
+    got = blocks.correlate(brick_table(spark, 8, ref=f, **{"def": g}), 8, half, radius).where("bz = 1 and by = 1 and bx = 1").first()
+    assert got["n_iter"] > 0 and got["pce"] == pytest.approx(pce[0]) and got["ok"] and got["zncc"] > zncc[0]
+    assert np.abs(np.array([got[k] for k in "wvu"]) - shift).max() < 0.1
+
+
+def test_block_matching_query_refines_and_recovers_the_shift(spark, sf):
+    from voxlattice.catalog import QUERIES
+
+    got = QUERIES["job1_block_matching"](spark, sf).where("ok").toPandas()
+    assert (got["n_iter"] > 0).mean() > 0.6 and (got["pce"] > 1).all()
+    assert np.abs(got[["u", "v", "w"]] - [1, 0, 0]).to_numpy().max() < 1e-6
+
+
+def test_flat_subsets_match_nothing(spark):
+    f = np.full((16, 16, 16), 0.1)
+    got = blocks.correlate(brick_table(spark, 8, ref=f, **{"def": f}), 8, 2, 1).collect()
+    assert len(got) == 8 and all(r["zncc"] is None and r["pce"] is None and not r["ok"] and not r["clipped"] and r["n_iter"] == 0 for r in got)

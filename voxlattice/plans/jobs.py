@@ -106,7 +106,7 @@ def _moved_bricks(spark, sf, by):
 @query()
 def job1_block_matching(spark, sf):
     """The volume matched to itself moved by a voxel: search and refinement at every brick's centre."""
-    return blocks.correlate(_moved_bricks(spark, sf, 1), 4, 2, 2, subpixel=False)
+    return blocks.correlate(_moved_bricks(spark, sf, 1), 4, 2, 2)
 
 
 def _brick_nodes(bricks):
