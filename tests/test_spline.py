@@ -65,3 +65,27 @@ def test_linear_fields_and_gaps(spark):
     assert got == {1: pytest.approx(0.6 - 2.7 + 0.95), 2: pytest.approx(-2.4 - 3.4 + 1.25), 3: pytest.approx(8.0)}
     holes = [(*n[:3], None if n[:3] == (2, 1, 1) else n[3]) for n in nodes if n[:3] != (0, 3, 2)]
     assert {r["value"] for r in spline.interpolate(points, make(holes), "f").collect()} == {None}
+
+
+def test_long_lines_go_by_stretches(spark):
+    rng = np.random.default_rng(4)
+    shape, lo = (3, 1, 1300), (0, 0, -7)
+    f = rng.normal(size=shape)
+    rows = [(*(int(a + b) for a, b in zip(n, lo)), float(f[n])) for n in itertools.product(*map(range, shape))]
+    make = lambda rows: spark.createDataFrame(rows, "ix long, iy long, iz long, f double")
+    c = f
+    for axis in range(3):
+        c = np.apply_along_axis(dense, axis, c)
+    border = spline.LINE + lo[2]
+    points = [(i, float(rng.uniform(-1, 3)), 0.0, float(z)) for i, z in enumerate([*(border + rng.uniform(-3, 3, 30)), *(lo[2] + rng.uniform(-12, 1312, 40)), border, border - 1, lo[2], lo[2] + 1299])]
+    table = spark.createDataFrame(points, "pid long, gx double, gy double, gz double")
+    got = {r["pid"]: r["value"] for r in spline.interpolate(table, make(rows), "f").collect()}
+    for i, x, _, z in points:
+        assert got[i] == pytest.approx(at(np.array([at(line, z - lo[2]) for line in c[:, 0]]), x), abs=1e-9)
+    # no row holds a whole line
+    s = spline._stretches(make(rows).withColumnRenamed("f", "c"), "iz", lo[2], lo[2] + 1299)
+    assert max(len(r["c"]) for r in s.select("c").collect()) <= spline.LINE + 3 and s.count() == 9
+    # a gap voids its line from end to end, and no other
+    far = spark.createDataFrame([(1, 0.3, 0.0, 100.0), (2, 2.0, 0.0, 100.0)], "pid long, gx double, gy double, gz double")
+    got = {r["pid"]: r["value"] for r in spline.interpolate(far, make([n for n in rows if n[:3] != (0, 0, 1200)]), "f").collect()}
+    assert got[1] is None and got[2] == pytest.approx(c[2, 0, 107] * 4 / 6 + (c[2, 0, 106] + c[2, 0, 108]) / 6)
