@@ -343,3 +343,25 @@ def test_toxicity_held_out(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "what an idiot you moron scum"), (4, "what an 1d10t you m0r0n sc u m")], "doc_id long, text string")
     scored = {r["doc_id"]: r for r in toxicity.score(odd.union(docs.select("doc_id", "text").where("doc_id > 4")), labels).collect() if r["doc_id"] in (1, 2, None, 4)}
     assert scored[1]["score"] == scored[2]["score"] < 0.3 and scored[None]["predicted"] == 1 and scored[4]["predicted"] == 1
+
+
+def test_the_query_finds_every_link(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from voxlattice.llm import queries
+    from voxlattice.llm.oracles import ORACLES
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [words, words, *[words[:i] + [f"x{i}"] + words[i + 1 :] for i in range(0, 60, 3)], *[words[: 60 - k] for k in range(6)], [f"y{i}" for i in range(30)], [f"y{i}" for i in range(31)], []]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found, count = [], jaccard._all_links
+    monkeypatch.setattr(jaccard, "_all_links", lambda *args: found.append(count(*args)) or found[-1])
+    got = queries.op7_jaccard_join(spark, str(tmp_path))
+    sets = {frozenset(tuple(t[j : j + 3]) for j in range(len(t) - 2)) for t in texts if t}
+    links = sum(s != t and 100 * len(s & t) >= 90 * len(s | t) for s in sets for t in sets)
+    assert sum(r["n_links"] for r in found[0].collect()) == links > 2 * len(sets)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = con.execute(ORACLES["op7_jaccard_join"])
+    assert got.columns == [d[0] for d in result.description]
+    assert sorted(map(tuple, got.collect())) == sorted(result.fetchall())
