@@ -365,3 +365,17 @@ def test_the_query_finds_every_link(spark, tmp_path, monkeypatch):
     result = con.execute(ORACLES["op7_jaccard_join"])
     assert got.columns == [d[0] for d in result.description]
     assert sorted(map(tuple, got.collect())) == sorted(result.fetchall())
+
+
+def test_tasks_share_a_large_component(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = [words[:i] + [f"x{i}"] + words[i + 1 :] for i in range(60)] + [words]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "LINK_SHARED", 10)
+    seen, write = [], jaccard.C.materialise
+    monkeypatch.setattr(jaccard.C, "materialise", lambda df, name: write(df, name) if name != "large" else seen.append(write(df, name)) or seen[-1])
+    monkeypatch.setattr(jaccard.C, "discard", lambda *tables: None)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_join(table).collect()}
+    sets = [frozenset(tuple(t[j : j + 3]) for j in range(len(t) - 2)) for t in texts]
+    assert got == {i: sum(s != t and 100 * len(s & t) >= 90 * len(s | t) for t in sets) for i, s in enumerate(sets)}
+    assert seen[0].select("block").distinct().count() > 4 and seen[0].select("blocks").distinct().first()[0] == 7
